@@ -25,9 +25,22 @@ _FREQUENT = ("lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "mdash", "nda
 _REF_BUT = "&(?!(?:{});)[#a-zA-Z]"
 
 
+_KEY, _VALUE = "\ufdd4", "\ufdd5"
+
+
 @functools.cache
-def _named_table() -> dict[str, str]:
-    return {k: v for k, v in html5.items() if k.endswith(";")}
+def _table() -> str:
+    """All named references in one string, which keeps the plan small: key mark, name, value mark, text."""
+    return "".join(f"{_KEY}{k}{_VALUE}{v}" for k, v in html5.items()) + _KEY
+
+
+def _lookup(name: Column) -> Column:
+    """Text of a named reference, NULL when there is none."""
+    table = F.lit(_table())
+    return let(
+        F.instr(table, F.concat(F.lit(_KEY), name, F.lit(_VALUE))),
+        lambda at: F.when(at > 0, F.substring_index(F.substr(table, at + F.length(name) + 2), _KEY, 1)),
+    )
 
 
 @functools.cache
@@ -42,11 +55,6 @@ def _cp1252_row() -> str:
     return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
-def _literal_map(d: dict[str, str]) -> Column:
-    flat = [F.lit(x) for kv in d.items() for x in kv]
-    return F.create_map(*flat)
-
-
 def _code_point(cp: Column) -> Column:
     as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
     control = (
@@ -79,13 +87,10 @@ def _named(tok: Column) -> Column:
         cond = name == n + ";"
         frequent = F.when(cond, F.lit(html5[n + ";"])) if frequent is None else frequent.when(cond, F.lit(html5[n + ";"]))
     legacy = F.regexp_extract(tok, "^&(" + "|".join(_legacy_names()) + ")", 1)
-    by_prefix = F.when(legacy == "", tok).otherwise(
-        F.concat(
-            F.try_element_at(_literal_map({k: html5[k] for k in _legacy_names()}), legacy),
-            F.substr(tok, F.length(legacy) + 2),
-        )
+    by_prefix = let(
+        legacy, lambda p: F.when(p == "", tok).otherwise(F.concat(_lookup(p), F.substr(tok, F.length(p) + 2)))
     )
-    full = F.when(F.endswith(tok, F.lit(";")), F.try_element_at(_literal_map(_named_table()), name))
+    full = F.when(F.endswith(tok, F.lit(";")), _lookup(name))
     return frequent.otherwise(F.coalesce(full, by_prefix))
 
 
