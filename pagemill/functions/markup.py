@@ -138,14 +138,18 @@ def raw_text(html: Column) -> Column:
     return to_text(canon(html))
 
 
+_ATTR = r"""([^\s"'<>/=]+)[\t\n\r\f ]*=[\t\n\r\f ]*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one tag, decoded; NULL when absent."""
-    pat = r"""([^\s"'<>/=]+)[\t\n\r\f ]*=[\t\n\r\f ]*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    keys = F.transform(F.regexp_extract_all(tag, F.lit(pat), F.lit(1)), F.lower)
-    vals = F.regexp_extract_all(tag, F.lit(pat), F.lit(2))
-    at = F.array_position(keys, F.lit(name)).cast("int")
-    v = F.get(vals, at - 1)
-    return decode_entities(re_sub(v, r"""^["']|["']$""", ""))
+
+    def value(t: Column) -> Column:
+        keys = F.transform(F.regexp_extract_all(t, F.lit(_ATTR), F.lit(1)), lambda k: F.lower(k))
+        return F.get(F.regexp_extract_all(t, F.lit(_ATTR), F.lit(2)), F.array_position(keys, F.lit(name)).cast("int") - 1)
+
+    present = let(tag, lambda t: F.when(F.contains(F.lower(t), F.lit(name)), value(t)))
+    return decode_entities(re_sub(present, r"""^["']|["']$""", ""))
 
 
 def tags_of(c: Column, *tag_names: str) -> Column:

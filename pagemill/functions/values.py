@@ -26,8 +26,7 @@ def _month_number(name: Column) -> Column:
     return (F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(name))).cast("string")
 
 
-def to_date(text: Column) -> Column:
-    """DATE from year-first, Chinese or English month-name notation; NULL for anything else."""
+def _parsed_date(text: Column) -> Column:
     part = F.regexp_extract
     iso = (
         F.when(F.rlike(text, F.lit(_NUMERIC_DATE)), _iso(*(part(text, _NUMERIC_DATE, i) for i in (1, 2, 3))))
@@ -43,6 +42,11 @@ def to_date(text: Column) -> Column:
     return iso.try_cast("date")
 
 
+def to_date(text: Column) -> Column:
+    """DATE from year-first, Chinese or English month-name notation; NULL for anything else."""
+    return let(text, _parsed_date)
+
+
 def to_iso_date(text: Column) -> Column:
     return F.date_format(to_date(text), "yyyy-MM-dd")
 
@@ -60,16 +64,19 @@ def price_currency(text: Column) -> Column:
     )
 
 
-def price_text(text: Column) -> Column:
-    """``¥1,234.56`` or ``$1,234.56``; NULL when there is no number or no known currency."""
+def _formatted_price(text: Column) -> Column:
+    currency = price_currency(text)
     sign = (
-        F.when(price_currency(text) == "USD", F.lit("$"))
-        .when(price_currency(text) == "CNY", F.lit("¥"))
-        .when(price_currency(text) == "EUR", F.lit("€"))
+        F.when(currency == "USD", F.lit("$")).when(currency == "CNY", F.lit("¥")).when(currency == "EUR", F.lit("€"))
     )
     return F.concat(sign, F.format_number(price_amount(text), 2))
 
 
+def price_text(text: Column) -> Column:
+    """``¥1,234.56`` or ``$1,234.56``; NULL when there is no number or no known currency."""
+    return let(text, _formatted_price)
+
+
 def tidy(text: Column) -> Column:
     """Drop tags, make punctuation ASCII, collapse whitespace to single blanks."""
     s = re_sub(text, r"</?[a-zA-Z][^>]*>", " ")
