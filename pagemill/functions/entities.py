@@ -8,12 +8,11 @@ references takes a chain of literal replacements instead, ``&amp;`` last, which
 from __future__ import annotations
 
 import functools
-from html.entities import html5
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from pagemill.functions.binding import let
+from pagemill.functions.binding import let, quoted, sql_let
 
 _REF = r"&(?:#[xX][0-9a-fA-F]++|#[0-9]++|[a-zA-Z][a-zA-Z0-9]*+);?+"
 _TOKEN = _REF + r"|[^&]++|&"
@@ -29,18 +28,21 @@ _KEY, _VALUE = "\ufdd4", "\ufdd5"
 
 
 @functools.cache
-def _table() -> str:
-    """All named references in one string, which keeps the plan small: key mark, name, value mark, text."""
-    return "".join(f"{_KEY}{k}{_VALUE}{v}" for k, v in html5.items()) + _KEY
+def _table(full: bool) -> str:
+    """Named references in one string, which keeps the plan small: key mark, name, value mark, text.
 
+    The short table has the HTML 4 names only, the full one everything HTML 5 lists.
+    """
+    names = {k: v for k, v in html5.items() if full or k.rstrip(";") in name2codepoint}
+    return "".join(f"{_KEY}{k}{_VALUE}{v}" for k, v in names.items()) + _KEY
 
-def _lookup(name: Column) -> Column:
+
+def _lookup(name: str, full: bool) -> str:
     """Text of a named reference, NULL when there is none."""
-    table = F.lit(_table())
-    return let(
-        F.instr(table, F.concat(F.lit(_KEY), name, F.lit(_VALUE))),
-        lambda at: F.when(at > 0, F.substring_index(F.substr(table, at + F.length(name) + 2), _KEY, 1)),
-    )
+    table = quoted(_table(full))
+    key = f"concat({quoted(_KEY)}, {name}, {quoted(_VALUE)})"
+    found = f"substring_index(substr({table}, at + length({name}) + 2), {quoted(_KEY)}, 1)"
+    return sql_let("at", f"instr({table}, {key})", f"CASE WHEN at > 0 THEN {found} END")
 
 
 @functools.cache
@@ -55,69 +57,56 @@ def _cp1252_row() -> str:
     return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
-def _code_point(cp: Column) -> Column:
-    as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    control = (
-        cp.between(0x1, 0x8) | (cp == 0xB) | cp.between(0xE, 0x1F) | (cp == 0x7F)
-        | cp.between(0xFDD0, 0xFDEF) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    )
-    return (
-        F.when(cp.isNull() | (cp == 0) | (cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF), F.lit("�"))
-        .when(cp == 0x0D, F.lit("\r"))
-        .when(cp.between(0x80, 0x9F), F.substring(F.lit(_cp1252_row()), (cp - 0x7F).cast("int"), F.lit(1)))
-        .when(control, F.lit(""))
-        .otherwise(as_char)
-    )
-
-
-def _numeric(tok: Column) -> Column:
-    digits = F.regexp_extract(tok, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
-    short = F.when(F.length(digits) > 9, F.lit("fffffff")).otherwise(F.concat(F.lit("0"), digits))
-    hexa = F.conv(short, 16, 10).cast("bigint")
-    deci = F.when(F.length(digits) > 9, F.lit(0x7FFFFFFF).cast("bigint")).otherwise(
-        F.concat(F.lit("0"), digits).try_cast("bigint")
-    )
-    return _code_point(F.when(F.lower(F.substring(tok, 3, 1)) == "x", hexa).otherwise(deci))
-
-
-def _named(tok: Column) -> Column:
-    name = F.substr(tok, F.lit(2))
-    frequent = None
-    for n in _FREQUENT:
-        cond = name == n + ";"
-        frequent = F.when(cond, F.lit(html5[n + ";"])) if frequent is None else frequent.when(cond, F.lit(html5[n + ";"]))
-    legacy = F.regexp_extract(tok, "^&(" + "|".join(_legacy_names()) + ")", 1)
-    by_prefix = let(
-        legacy, lambda p: F.when(p == "", tok).otherwise(F.concat(_lookup(p), F.substr(tok, F.length(p) + 2)))
-    )
-    full = F.when(F.endswith(tok, F.lit(";")), _lookup(name))
-    return frequent.otherwise(F.coalesce(full, by_prefix))
-
-
-def _decode_token(tok: Column) -> Column:
-    return (
-        F.when(~F.startswith(tok, F.lit("&")) | (F.length(tok) < 3), tok)
-        .when(F.substring(tok, 2, 1) == "#", _numeric(tok))
-        .otherwise(_named(tok))
-    )
-
-
-def _replace_each(text: Column, wanted) -> Column:
-    for n in wanted:
-        text = F.regexp_replace(text, F.lit(f"&{n};"), F.lit(html5[n + ";"]))
-    return text
+def _code_point(digits: str) -> str:
+    """Character of a numeric reference; ``digits`` is SQL for the code point or NULL."""
+    return sql_let("cp", digits, f"""CASE
+        WHEN cp IS NULL OR cp = 0 OR cp > 1114111 OR cp BETWEEN 55296 AND 57343 THEN {quoted(chr(0xFFFD))}
+        WHEN cp = 13 THEN {quoted(chr(13))}
+        WHEN cp BETWEEN 128 AND 159 THEN substring({quoted(_cp1252_row())}, CAST(cp - 127 AS INT), 1)
+        WHEN cp BETWEEN 1 AND 8 OR cp = 11 OR cp BETWEEN 14 AND 31 OR cp = 127 OR cp BETWEEN 64976 AND 65007
+             OR (cp & 65534) = 65534 THEN ''
+        ELSE decode(unhex(lpad(hex(cp), 8, '0')), 'UTF-32') END""")
+
+
+def _numeric(tok: str) -> str:
+    digits = f"regexp_extract({tok}, '^&#[xX]?0*([0-9a-fA-F]*)', 1)"
+    value = f"""CASE WHEN length(d) > 9 THEN 2147483647L
+        WHEN lower(substring({tok}, 3, 1)) = 'x' THEN CAST(conv(concat('0', d), 16, 10) AS BIGINT)
+        ELSE try_cast(concat('0', d) AS BIGINT) END"""
+    return sql_let("d", digits, _code_point(value))
 
 
-def _decode(text: Column) -> Column:
-    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), _decode_token), "")
-    return (
-        F.when(~F.contains(text, F.lit("&")), text)
-        .when(~F.rlike(text, F.lit(_REF_BUT.format("amp"))), _replace_each(text, ("amp",)))
-        .when(~F.rlike(text, F.lit(_REF_BUT.format("|".join(_FREQUENT)))), _replace_each(text, _FREQUENT))
-        .otherwise(tokens)
-    )
+def _named(tok: str, full: bool) -> str:
+    """A named reference; without semicolon the longest legacy name at its start counts."""
+    whole = f"substr({tok}, 2)"
+    if not full:
+        return f"coalesce({_lookup(whole, full)}, {tok})"
+    legacy = f"regexp_extract({tok}, {quoted('^&(' + '|'.join(_legacy_names()) + ')')}, 1)"
+    prefix = sql_let("p", legacy, f"CASE WHEN p = '' THEN {tok} ELSE concat({_lookup('p', full)}, substr({tok}, length(p) + 2)) END")
+    return f"coalesce(CASE WHEN endswith({tok}, ';') THEN {_lookup(whole, full)} END, {prefix})"
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace named, legacy (without semicolon) and numeric character references."""
-    return let(text, _decode)
+def _replace_each(text: str, wanted) -> str:
+    for n in wanted:
+        text = f"regexp_replace({text}, '&{n};', {quoted(html5[n + ';'])})"
+    return text
+
+
+@functools.cache
+def _decode(full: bool) -> str:
+    """SQL over ``v``."""
+    token = f"""CASE WHEN NOT startswith(k, '&') OR length(k) < 3 THEN k
+        WHEN substring(k, 2, 1) = '#' THEN {_numeric("k")} ELSE {_named("k", full)} END"""
+    return f"""CASE WHEN NOT contains(v, '&') THEN v
+        WHEN NOT rlike(v, {quoted(_REF_BUT.format("amp"))}) THEN {_replace_each("v", ("amp",))}
+        WHEN NOT rlike(v, {quoted(_REF_BUT.format("|".join(_FREQUENT)))}) THEN {_replace_each("v", _FREQUENT)}
+        ELSE array_join(transform(regexp_extract_all(v, {quoted(_TOKEN)}, 0), k -> {token}), '') END"""
+
+
+def decode_entities(text: Column, full: bool = False) -> Column:
+    """Replace named, legacy (without semicolon) and numeric character references.
+
+    ``full`` knows all HTML 5 names; it is meant for body text, since its table travels in the
+    plan with every use. Titles, link texts and attribute values know the HTML 4 names.
+    """
+    return let(text, _decode(full))

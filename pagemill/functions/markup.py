@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.binding import let
+from pagemill.functions.binding import let, quoted
 from pagemill.functions.entities import decode_entities
 
 TAG, OPEN, CLOSE, NL = "﷐", "﷑", "﷒", "﷓"
@@ -116,7 +116,7 @@ def to_text(c: Column) -> Column:
     Blanks next to a tag vanish in the blank-run pass; only text with other whitespace
     (line breaks, no-break spaces) needs the edge pass.
     """
-    s = let(decode_entities(_lines(c)), lambda v: F.when(F.rlike(v, F.lit(_ODD_SPACE)), re_sub(v, _EDGE, "")).otherwise(v))
+    s = let(decode_entities(_lines(c), full=True), lambda v: F.when(F.rlike(v, F.lit(_ODD_SPACE)), re_sub(v, _EDGE, "")).otherwise(v))
     s = re_sub(re_sub(s, NL, " \n "), rf"[ \t{TAG}]{{2,}}|{TAG}", " ")
     s = re_sub(s, rf"\n[{WS}]*\n[{WS}]*\n+", "\n\n")
     return none_if_empty(F.btrim(s, F.lit(WS_CHARS)))
@@ -141,15 +141,14 @@ def raw_text(html: Column) -> Column:
 _ATTR = r"""([^\s"'<>/=]+)[\t\n\r\f ]*=[\t\n\r\f ]*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one tag, decoded; NULL when absent."""
+def attribute(tag: Column, name: str, decode: bool = True) -> Column:
+    """Value of an attribute of one tag; NULL when absent."""
 
-    def value(t: Column) -> Column:
-        keys = F.transform(F.regexp_extract_all(t, F.lit(_ATTR), F.lit(1)), lambda k: F.lower(k))
-        return F.get(F.regexp_extract_all(t, F.lit(_ATTR), F.lit(2)), F.array_position(keys, F.lit(name)).cast("int") - 1)
-
-    present = let(tag, lambda t: F.when(F.contains(F.lower(t), F.lit(name)), value(t)))
-    return decode_entities(re_sub(present, r"""^["']|["']$""", ""))
+    pick = lambda group: f"regexp_extract_all(v, {quoted(_ATTR)}, {group})"
+    at = f"CAST(array_position(transform({pick(1)}, k -> lower(k)), {quoted(name)}) AS INT) - 1"
+    present = let(tag, f"CASE WHEN contains(lower(v), {quoted(name)}) THEN get({pick(2)}, {at}) END")
+    bare = re_sub(present, r"""^["']|["']$""", "")
+    return decode_entities(bare) if decode else bare
 
 
 def tags_of(c: Column, *tag_names: str) -> Column:

@@ -36,7 +36,7 @@ def title(c: Column) -> Column:
 def meta_content(c: Column, *wanted: str) -> Column:
     """``content`` of the first meta tag whose name or property is one of ``wanted``."""
     maybe = lambda t: F.rlike(t, F.lit("(?i)" + names(re.escape(w) for w in wanted)))
-    either = lambda t: maybe(t) & F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"))).isin(*wanted)
+    either = lambda t: maybe(t) & F.lower(F.coalesce(attribute(t, "name", False), attribute(t, "property", False))).isin(*wanted)
     hit = F.get(F.filter(tags_of(c, "meta"), either), F.lit(0))
     return none_if_empty(F.trim(attribute(hit, "content")))
 

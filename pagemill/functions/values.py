@@ -80,8 +80,7 @@ def price_text(text: Column) -> Column:
 def tidy(text: Column) -> Column:
     """Drop tags, make punctuation ASCII, collapse whitespace to single blanks."""
     s = re_sub(text, r"</?[a-zA-Z][^>]*>", " ")
-    for full, plain in zip(FULL_WIDTH, ASCII_FORM):
-        s = F.replace(s, F.lit(full), F.lit(plain))
+    s = let(s, lambda v: F.when(F.rlike(v, F.lit(f"[{FULL_WIDTH}]")), F.translate(v, FULL_WIDTH, ASCII_FORM)).otherwise(v))
     return F.btrim(re_sub(s, f"[{WS}]+", " "), F.lit(WS_CHARS))
 
 

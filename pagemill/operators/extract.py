@@ -108,7 +108,7 @@ def product(c: Column, url: Column) -> Column:
 def paper(c: Column, url: Column) -> Column:
     authors = F.filter(
         F.transform(
-            F.filter(markup.tags_of(c, "meta"), lambda t: F.lower(markup.attribute(t, "name")) == "citation_author"),
+            F.filter(markup.tags_of(c, "meta"), lambda t: F.lower(markup.attribute(t, "name", False)) == "citation_author"),
             lambda t: markup.attribute(t, "content"),
         ),
         lambda a: a != "",
