@@ -45,10 +45,12 @@ def task_page(spark, sf_dir):
     return ops.list_tasks(_tasks(spark, sf_dir), 40, 100).select("task_id", "name", "created_at")
 
 
-def task_point_lookup(spark, sf_dir):
-    """One task by id and the documents of one run: filters that reach the scan."""
-    d = inputs.shop_documents(spark, sf_dir).where(F.col("run_id") == "run-7")
-    return d.select("id", "run_id", "source_url")
+def documents_of_run(spark, sf_dir):
+    """Documents of one run: the filter reaches the scan, which reads three columns."""
+    d = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("title")
+    )
+    return d.where(F.col("run_id") == 7)
 
 
 def frontier_dedup(spark, sf_dir):
@@ -229,7 +231,7 @@ def template_resolution(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        task_validation, task_page, task_point_lookup, frontier_dedup, registry_merge, document_upsert, image_upsert, attachment_upsert,
+        task_validation, task_page, documents_of_run, frontier_dedup, registry_merge, document_upsert, image_upsert, attachment_upsert,
         task_partial_update, task_cascade_delete, only_after_filter, provider_resolution, param_merge, template_resolution,
     )
 }
@@ -256,7 +258,7 @@ SELECT task_id, array_to_string(list_filter([
   CASE WHEN len(urls) < 1 THEN 'At least one URL is required' END, CASE WHEN len(bad) > 0 THEN 'Invalid URL format: ' || bad[1] END],
   lambda x: x IS NOT NULL), '; ') AS reasons FROM b""",
     "task_page": f"WITH {_TASKS} SELECT task_id, name, created_at FROM tasks ORDER BY created_at, task_id LIMIT 100 OFFSET 40",
-    "task_point_lookup": f"WITH {inputs.SHOP_DOCUMENTS} SELECT id, run_id, source_url FROM shop_documents WHERE run_id = 'run-7'",
+    "documents_of_run": "SELECT o_orderkey AS id, o_custkey AS run_id, o_orderpriority AS title FROM orders WHERE o_custkey = 7",
     "frontier_dedup": f"""WITH {_TASKS},
 u AS (SELECT task_id, deduplication_enabled AS dd, unnest(urls) AS url, generate_subscripts(urls, 1) AS idx,
              c_custkey FROM tasks),
