@@ -71,6 +71,7 @@ def export_tasks(json_rows: DataFrame, path: str, fmt: str) -> None:
     if fmt == "json":
         json_rows.select("task").write.mode("overwrite").text(path)
     elif fmt == "yaml":
-        json_rows.select(F.concat(F.lit("---\n"), json_to_yaml(F.col("task")))).write.mode("overwrite").text(path, lineSep="")
+        document = F.rtrim(json_to_yaml(F.col("task")), F.lit("\n"))
+        json_rows.select(F.concat(F.lit("---\n"), document)).write.mode("overwrite").text(path)
     else:
         raise ValueError("Format must be 'json' or 'yaml'")
