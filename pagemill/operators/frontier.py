@@ -50,17 +50,18 @@ def minus_registry(frontier: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def processed_occurrences(attempts: DataFrame) -> DataFrame:
-    """Attempts that really run when a URL repeats inside a deduplicated run.
+    """Attempts that really run when a URL repeats inside a run.
 
-    A URL is tried until its first success; later occurrences are skipped. The first success per
-    URL comes from an aggregate with partial combine, so a URL that fills a third of the run is
-    no single-task window; the join back splits on skew.
+    With ``deduplication_enabled`` a URL is tried until its first success and later occurrences are
+    skipped; without it every occurrence runs. The first success per URL comes from an aggregate
+    with partial combine, so a URL that fills a third of the run is no single-task window; the join
+    back splits on skew.
     """
     keys = ["run_id", "url"]
-    first_ok = attempts.where("ok").groupBy(*keys).agg(F.min("idx").alias("first_ok"))
+    first_ok = attempts.where("ok AND deduplication_enabled").groupBy(*keys).agg(F.min("idx").alias("first_ok"))
     return (
         attempts.join(first_ok, keys, "left")
-        .where(F.col("first_ok").isNull() | (F.col("idx") <= F.col("first_ok")))
+        .where(~F.col("deduplication_enabled") | F.col("first_ok").isNull() | (F.col("idx") <= F.col("first_ok")))
         .drop("first_ok")
     )
 

@@ -43,6 +43,19 @@ def text_versions(pages: DataFrame, threshold: Column | None = None) -> DataFram
     )
 
 
+def given_versions(plain: Column, raw: Column, fit: Column, fit_html: Column) -> Column:
+    """struct<raw, fit, fit_html> of text made elsewhere: a plain text serves as both versions."""
+    none = F.lit(None).cast("string")
+    return F.when(
+        plain.isNotNull(), F.struct(plain.alias("raw"), plain.alias("fit"), none.alias("fit_html"))
+    ).otherwise(F.struct(raw.alias("raw"), fit.alias("fit"), fit_html.alias("fit_html")))
+
+
+def single_text(plain: Column, raw: Column, fit: Column) -> Column:
+    """The one text of a page: plain, else full, else cleaned."""
+    return F.coalesce(plain, raw, fit)
+
+
 def reduction(raw: Column, fit: Column) -> Column:
     """Share of characters that cleaning removed; NULL without raw text, may be negative."""
     n = F.length(raw)

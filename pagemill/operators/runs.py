@@ -138,15 +138,15 @@ def manifest(runs: DataFrame, tasks: DataFrame, counts: DataFrame, error_rows: D
     """One JSON manifest per run: counters, configuration, first errors.
 
     ``tasks`` carries the merged provider and model; runs without a task yield no manifest
-    (see ``orphan_runs``).
+    (see ``orphan_runs``). The error total follows from the counters.
     """
     summary = (
         first_errors(error_rows)
         .groupBy("run_id")
         .agg(F.sort_array(F.collect_list(F.struct("rn", "url", "error", "stage", "ts"))).alias("first"))
     )
-    totals = error_rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_errors"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = n("urls_failed") + n("stage2_errors")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     listed = F.transform(
         "first",
@@ -158,15 +158,14 @@ def manifest(runs: DataFrame, tasks: DataFrame, counts: DataFrame, error_rows: D
         n("documents_created").alias("documents_created"),
         F.struct("urls", "deduplication_enabled", "llm_provider", "llm_model").alias("configuration"),
         F.when(
-            F.col("total_errors") > 0,
-            F.struct("total_errors", F.lit(True).alias("error_log_available"), listed.alias("error_summary")),
+            total > 0,
+            F.struct(total.alias("total_errors"), F.lit(True).alias("error_log_available"), listed.alias("error_summary")),
         ).alias("errors"),
     )
     return (
         runs.select("run_id", "task_id", "started_at")
         .join(tasks, "task_id")
         .join(counts, "run_id", "left")
-        .join(totals, "run_id", "left")
         .join(summary, "run_id", "left")
         .select("run_id", F.to_json(body).alias("manifest"))
     )
@@ -265,12 +264,12 @@ def latest_status(history: DataFrame, *, order: Sequence[str] = ("ts", "seq"), o
     )
 
 
-def gaps(runs: DataFrame, bucket: str = "day") -> DataFrame:
+def gaps(runs: DataFrame, bucket: str = "hour") -> DataFrame:
     """Duration of each run and seconds since the previous run of its task.
 
-    The previous run is found inside a (task, day) bucket; only the first run of a bucket looks
+    The previous run is found inside a (task, hour) bucket; only the first run of a bucket looks
     at the last run of the task's bucket before it. So a task with a third of all runs is spread
-    over its days, and the window over whole tasks sees one row per day.
+    over its hours, and the window over whole tasks sees one row per hour.
     """
     order = ["created_at", "run_id"]
     rows = runs.withColumn("bucket", F.date_trunc(bucket, "created_at"))

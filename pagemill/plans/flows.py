@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import markup
 from pagemill.operators import extract, frontier, tasks as task_ops, upsert
 from pagemill.plans import pages as page_plans, sqltext as q
-from pagemill.plans.inputs import table, text
+from pagemill.plans.inputs import heavy, table, text
 from pagemill.session import shared_dir
 from pagemill.sources import readers, schemas, tables
 from pagemill.streaming import jobs
@@ -18,7 +18,7 @@ from pagemill.streaming import jobs
 
 def _definitions(spark, sf_dir):
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return heavy(spark, sf_dir, "customer").select(
         F.col("c_name").alias("name"), F.when(k % 3 == 0, F.lit("描述: 1")).alias("description"),
         F.array(text("https://a.example.org/", k), text("https://b.example.org/", k)).alias("urls"),
         F.create_map(F.lit("api_key"), F.lit("hidden"), F.lit("temperature"), F.lit("0.2")).alias("llm_params"),
@@ -67,7 +67,7 @@ def artifact_sink(spark, sf_dir):
     """Cleaned pages written by run and kind, then listed from the written folders."""
     from pagemill.operators.pages import text_versions
 
-    p = table(spark, sf_dir, "pages")
+    p = heavy(spark, sf_dir, "pages")
     docs = text_versions(p).select(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 3).cast("int")).alias("run_date"),
         text("run-", F.col("page_id") % 5).alias("run_id"), F.col("page_id").alias("id"), "raw", "fit",
@@ -76,13 +76,9 @@ def artifact_sink(spark, sf_dir):
     )
     base = shared_dir(spark, "artifacts")
     tables.write_artifacts(docs, base)
-    out = None
-    for kind in ("markdown", "markdown_cleaned", "json"):
-        part = spark.read.parquet(f"{base}/{kind}").groupBy("run_date", "run_id").agg(
-            F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("chars")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return spark.read.parquet(base).groupBy("run_date", "run_id", "kind").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("chars")
+    )
 
 
 def blob_index(spark, sf_dir):
@@ -93,7 +89,7 @@ def blob_index(spark, sf_dir):
 
 def pluggable_extractor(spark, sf_dir):
     """A user function over batches of cleaned text; rows it refuses become error rows."""
-    p = table(spark, sf_dir, "pages").select(
+    p = heavy(spark, sf_dir, "pages").select(
         text("run-", F.col("page_id") % 5).alias("run_id"), "url", markup.clean_text(F.col("html")).alias("content"),
         F.when(F.col("page_id") % 50 == 7, F.lit("refuse")).otherwise(F.lit("count")).alias("prompt"), F.lit(None).cast("string").alias("schema"),
     )
@@ -109,7 +105,7 @@ def pluggable_extractor(spark, sf_dir):
 def stream_page_ingest(spark, sf_dir):
     pages = readers.page_stream(spark, f"{sf_dir}/pages.parquet")
     out = shared_dir(spark, "ingest")
-    jobs.run_available(jobs.ingest(pages), f"{out}/data", f"{out}/checkpoint")
+    jobs.run_available(jobs.ingest(pages, spark.sparkContext.defaultParallelism), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").select("page_id", F.md5("raw").alias("raw_md5"), F.md5("fit").alias("fit_md5"))
 
 

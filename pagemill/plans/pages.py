@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pagemill.functions import markup, page, urls, values
 from pagemill.operators import extract, frontier, media, pages as ops
 from pagemill.plans import sqltext as q
-from pagemill.plans.inputs import table, text
+from pagemill.plans.inputs import heavy, table, text
 
 
 
 def page_clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", markup.clean_text(F.col("html")).alias("clean"))
+    return heavy(spark, sf_dir, "pages").select("page_id", markup.clean_text(F.col("html")).alias("clean"))
 
 
 def page_raw_vs_clean(spark, sf_dir):
-    v = ops.text_versions(table(spark, sf_dir, "pages"))
+    v = ops.text_versions(heavy(spark, sf_dir, "pages"))
     raw, fit = F.col("raw"), F.col("fit")
     return v.select(
         "page_id", F.length(raw).alias("raw_len"), F.length(fit).alias("fit_len"), F.md5(raw).alias("raw_md5"),
@@ -27,7 +27,7 @@ def page_raw_vs_clean(spark, sf_dir):
 
 def host_cleaning_stats(spark, sf_dir):
     """Flagship: clean every page, account for the effect per host."""
-    staged = ops.with_canon(table(spark, sf_dir, "pages").select("url", "html"))
+    staged = ops.with_canon(heavy(spark, sf_dir, "pages").select("url", "html"))
     sized = staged.select(
         urls.host(F.col("url")).alias("host"),
         F.coalesce(F.length(markup.to_text(F.col("canon"))), F.lit(0)).alias("raw_len"),
@@ -38,7 +38,7 @@ def host_cleaning_stats(spark, sf_dir):
 
 def page_select_content(spark, sf_dir):
     """Selector resolution with a task setting on a part of the pages, then the selected element's text."""
-    p = ops.with_canon(table(spark, sf_dir, "pages"))
+    p = ops.with_canon(heavy(spark, sf_dir, "pages"))
     css = F.when(F.col("page_id") % 5 == 1, F.lit("div.ad"))
     own = F.when(F.col("page_id") % 5 == 2, F.lit("h1")).when(F.col("page_id") % 5 == 3, F.lit(".missing"))
     chosen = p.withColumn("sel", page.content_selector(css, own))
@@ -50,22 +50,22 @@ def page_select_content(spark, sf_dir):
 
 
 def page_density_prune(spark, sf_dir):
-    p = ops.with_canon(table(spark, sf_dir, "pages"))
-    return p.select("page_id", page.dense_text(F.col("canon"), F.lit(0.0)).alias("fit")).where(F.col("fit").isNotNull())
+    p = ops.with_canon(heavy(spark, sf_dir, "pages"))
+    return p.select("page_id", page.dense_text(F.col("canon"), F.lit(0.0)).alias("fit"))
 
 
 def page_metadata(spark, sf_dir):
-    m = ops.with_canon(table(spark, sf_dir, "pages")).select("page_id", page.metadata(F.col("canon")).alias("m"))
+    m = ops.with_canon(heavy(spark, sf_dir, "pages")).select("page_id", page.metadata(F.col("canon")).alias("m"))
     return m.select("page_id", "m.title", "m.description", "m.language", F.size("m.keywords").alias("n_keywords"))
 
 
 def page_links(spark, sf_dir):
-    return ops.links(table(spark, sf_dir, "pages")).drop("url")
+    return ops.links(heavy(spark, sf_dir, "pages")).drop("url")
 
 
 def host_link_stats(spark, sf_dir):
     """Link and media counts per host of the page."""
-    links = ops.links(table(spark, sf_dir, "pages"))
+    links = ops.links(heavy(spark, sf_dir, "pages"))
     return links.groupBy(urls.host(F.col("url")).alias("host")).agg(
         F.count(F.lit(1)).alias("links"),
         F.count_if(F.col("kind") == "internal").alias("internal"),
@@ -77,7 +77,7 @@ def host_link_stats(spark, sf_dir):
 def _pictured(spark, sf_dir):
     """Pages whose navigation links became pictures, which the given pages lack."""
     html = F.regexp_replace("html", r'<li><a href="([^"]*)">([^<]*)</a></li>', '<li><img src="$1.png?w=1" alt="$2"></li>')
-    return table(spark, sf_dir, "pages").withColumn("html", html)
+    return heavy(spark, sf_dir, "pages").withColumn("html", html)
 
 
 def page_media(spark, sf_dir):
@@ -103,7 +103,7 @@ def page_media_counts(spark, sf_dir):
 
 
 def page_stage2_input(spark, sf_dir):
-    v = ops.text_versions(table(spark, sf_dir, "pages"))
+    v = ops.text_versions(heavy(spark, sf_dir, "pages"))
     blanked = F.when(F.col("page_id") % 4 == 1, F.lit("  ")).otherwise(F.col("fit"))
     raw = F.when(F.col("page_id") % 8 == 5, F.lit(None).cast("string")).otherwise(F.col("raw"))
     s = v.select("page_id", ops.stage2_input(raw, blanked, F.col("fit_html"), F.col("html"), F.col("html")).alias("s"))
@@ -116,20 +116,20 @@ def url_canonical(spark, sf_dir):
         "r_root": "/a/./b/../c?x=1", "r_up": "../up/x.pdf", "r_name": "name", "r_query": "?q=2", "r_fragment": "#f",
         "r_scheme": "//cdn.example.org/p", "r_full": "https://other.example.org/z",
     }
-    return table(spark, sf_dir, "pages").select(
+    return heavy(spark, sf_dir, "pages").select(
         "page_id", urls.host(u).alias("host"), urls.filename(u).alias("filename"),
         *(urls.resolve(u, F.lit(r)).alias(name) for name, r in refs.items()),
     )
 
 
 def page_article_records(spark, sf_dir):
-    p = extract.extract_by_rules(ops.with_canon(table(spark, sf_dir, "pages")), "article")
+    p = extract.extract_by_rules(ops.with_canon(heavy(spark, sf_dir, "pages")), "article")
     g = lambda k: F.get_json_object("record", f"$.{k}").alias(k)
     return p.select("page_id", g("title"), g("author"), g("published_date"), g("content"), F.get_json_object("record", "$.keywords").alias("keywords"))
 
 
 def page_list_records(spark, sf_dir):
-    p = extract.extract_by_rules(ops.with_canon(table(spark, sf_dir, "pages")), "list_page")
+    p = extract.extract_by_rules(ops.with_canon(heavy(spark, sf_dir, "pages")), "list_page")
     return p.select(
         "page_id", F.get_json_object("record", "$.page_title").alias("page_title"),
         F.get_json_object("record", "$.total_count").cast("int").alias("total_count"),
@@ -139,7 +139,7 @@ def page_list_records(spark, sf_dir):
 
 
 def list_to_detail_frontier(spark, sf_dir):
-    p = extract.extract_by_rules(ops.with_canon(table(spark, sf_dir, "pages")), "list_page")
+    p = extract.extract_by_rules(ops.with_canon(heavy(spark, sf_dir, "pages")), "list_page")
     return frontier.items_frontier(p.withColumnRenamed("record", "structured_data"))
 
 
@@ -152,7 +152,7 @@ def product_records(spark, sf_dir):
         F.lit("</span><ul class='features'><li>size "), F.col("p_size").cast("string"),
         F.lit("</li><li>new</li></ul><dl><dt>Size</dt><dd>"), F.col("p_size").cast("string"), F.lit("</dd></dl></body></html>"),
     )
-    p = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"), text("https://shop.example.org/p/", F.col("p_partkey")).alias("url"))
+    p = heavy(spark, sf_dir, "part").select("p_partkey", html.alias("html"), text("https://shop.example.org/p/", F.col("p_partkey")).alias("url"))
     r = extract.extract_by_rules(ops.with_canon(p), "product")
     g = lambda k: F.get_json_object("record", f"$.{k}")
     return r.select(
@@ -171,7 +171,7 @@ def paper_records(spark, sf_dir):
         F.lit("'><meta name='citation_publication_date' content='2024/3/"), (F.col("doc_id") % 28 + 1).cast("string"),
         F.lit("'></head><body><div class='abstract'>"), safe, F.lit("</div></body></html>"),
     )
-    d = table(spark, sf_dir, "documents").select("doc_id", html.alias("html"), F.lit("https://p.example.org/").alias("url"))
+    d = heavy(spark, sf_dir, "documents").select("doc_id", html.alias("html"), F.lit("https://p.example.org/").alias("url"))
     r = extract.extract_by_rules(ops.with_canon(d), "paper")
     g = lambda k: F.get_json_object("record", f"$.{k}")
     return r.select(
@@ -247,7 +247,7 @@ SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'css_selector (backward compatibili
          WHEN 2 THEN 'user-provided content_selector' WHEN 3 THEN 'user-provided content_selector'
          ELSE 'heuristic with prioritized default candidates' END AS reason,
        element <> '' AS found, {q.to_text("CASE WHEN element <> '' THEN element ELSE html2 END")} AS content FROM e""",
-    "page_density_prune": f"WITH {q.DENSE} SELECT page_id, fit FROM dense",
+    "page_density_prune": f"WITH {q.DENSE} SELECT p.page_id, fit FROM pages p LEFT JOIN dense USING (page_id)",
     "page_metadata": f"""SELECT page_id, nullif({_TITLE}, '') AS title, CAST(NULL AS VARCHAR) AS description,
        regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 0 AS n_keywords FROM pages""",
     "page_links": f"WITH {_LINKS} SELECT page_id, pos, href, text, absolute, 'internal' AS kind FROM resolved",

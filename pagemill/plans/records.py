@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import page, records, values
 from pagemill.operators import pages as ops
 from pagemill.plans import sqltext as q
-from pagemill.plans.inputs import table, text
+from pagemill.plans.inputs import heavy, table, text
 
 TITLE_SCHEMA = '{"type":"object","properties":{"title":{"type":"string"},"url":{"type":"string"}},"required":["title","url"]}'
 PAPER_SCHEMA = {
@@ -32,7 +32,7 @@ PRODUCT_SCHEMA = {
 
 def page_record_normalized(spark, sf_dir):
     """Records of every shape, one per page, against a per-row schema."""
-    p = ops.with_canon(table(spark, sf_dir, "pages")).select("page_id", "url", page.title(F.col("canon")).alias("title"))
+    p = ops.with_canon(heavy(spark, sf_dir, "pages")).select("page_id", "url", page.title(F.col("canon")).alias("title"))
     m = F.col("page_id") % 6
     full = F.to_json(F.struct("title", "url", F.lit(False).alias("error")))
     raw = (
@@ -57,7 +57,7 @@ def page_record_conformance(spark, sf_dir):
         '","total_count":', F.when(i % 2 == 0, F.lit("3")).otherwise(F.lit("3.5")),
         ',"items":[{"title":"a","url":"u"}', F.when(i % 8 == 0, F.lit(',{"title":"b"}')).otherwise(F.lit("")), "]}",
     )
-    v = table(spark, sf_dir, "pages").select("page_id", records.violations(json, PAPER_SCHEMA).alias("v"))
+    v = heavy(spark, sf_dir, "pages").select("page_id", records.violations(json, PAPER_SCHEMA).alias("v"))
     return v.select(
         "page_id", F.size("v").alias("n_violations"),
         F.array_join(F.transform("v", lambda x: F.concat_ws(" ", x["path"], x["rule"])), "; ").alias("violations"),
@@ -76,7 +76,7 @@ def record_typed(spark, sf_dir):
 
 def record_key_preview(spark, sf_dir):
     """First ten keys of wide records and how often each preview occurs."""
-    li = table(spark, sf_dir, "lineitem")
+    li = heavy(spark, sf_dir, "lineitem")
     record = F.to_json(F.struct(*(F.col(c) if c != "l_tax" else F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax") for c in li.columns)))
     return (
         li.select(F.array_join(records.key_preview(record), ",").alias("keys"))
@@ -98,7 +98,7 @@ def stage2_status(spark, sf_dir):
 
     Primary and fallback answers come as separate attempt rows and are joined to the page rows.
     """
-    e = table(spark, sf_dir, "events").withColumn("m", F.col("event_id") % 11)
+    e = heavy(spark, sf_dir, "events").withColumn("m", F.col("event_id") % 11)
     m, u = F.col("m"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int") % 4
     first = e.where(m != 3).select(
@@ -131,7 +131,7 @@ def date_price_normalize(spark, sf_dir):
     c = F.col("o_totalprice").cast("decimal(18,2)")
     j = F.col("o_orderkey") % 4
     price = F.when(j == 0, text("¥", c)).when(j == 1, text("$", F.format_number("o_totalprice", 2))).when(j == 2, text(c, " 元")).otherwise(F.lit("free"))
-    return table(spark, sf_dir, "orders").select(
+    return heavy(spark, sf_dir, "orders").select(
         "o_orderkey", values.to_iso_date(shown).alias("iso_date"), values.price_text(price).alias("price"),
         values.price_currency(price).alias("currency"),
         values.tidy(text("<b>", F.col("o_orderpriority"), "</b>，  ok！")).alias("note"),

@@ -45,6 +45,12 @@ def task_page(spark, sf_dir):
     return ops.list_tasks(_tasks(spark, sf_dir), 40, 100).select("task_id", "name", "created_at")
 
 
+def task_lookup(spark, sf_dir):
+    """One task by id: the filter reaches the scan."""
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return t.where(F.col("id") == 42)
+
+
 def documents_of_run(spark, sf_dir):
     """Documents of one run: the filter reaches the scan, which reads three columns."""
     d = table(spark, sf_dir, "orders").select(
@@ -65,8 +71,7 @@ def frontier_dedup(spark, sf_dir):
     tried = open_.select(
         F.col("task_id").alias("run_id"), "idx", "url", "deduplication_enabled", ((n + F.col("idx")) % 4 != 0).alias("ok")
     )
-    once = frontier.processed_occurrences(tried.where("deduplication_enabled"))
-    return once.unionByName(tried.where(~F.col("deduplication_enabled"))).select("run_id", "idx", "url", "ok")
+    return frontier.processed_occurrences(tried).select("run_id", "idx", "url", "ok")
 
 
 def registry_merge(spark, sf_dir):
@@ -231,7 +236,7 @@ def template_resolution(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        task_validation, task_page, documents_of_run, frontier_dedup, registry_merge, document_upsert, image_upsert, attachment_upsert,
+        task_validation, task_page, task_lookup, documents_of_run, frontier_dedup, registry_merge, document_upsert, image_upsert, attachment_upsert,
         task_partial_update, task_cascade_delete, only_after_filter, provider_resolution, param_merge, template_resolution,
     )
 }
@@ -258,6 +263,7 @@ SELECT task_id, array_to_string(list_filter([
   CASE WHEN len(urls) < 1 THEN 'At least one URL is required' END, CASE WHEN len(bad) > 0 THEN 'Invalid URL format: ' || bad[1] END],
   lambda x: x IS NOT NULL), '; ') AS reasons FROM b""",
     "task_page": f"WITH {_TASKS} SELECT task_id, name, created_at FROM tasks ORDER BY created_at, task_id LIMIT 100 OFFSET 40",
+    "task_lookup": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 42",
     "documents_of_run": "SELECT o_orderkey AS id, o_custkey AS run_id, o_orderpriority AS title FROM orders WHERE o_custkey = 7",
     "frontier_dedup": f"""WITH {_TASKS},
 u AS (SELECT task_id, deduplication_enabled AS dd, unnest(urls) AS url, generate_subscripts(urls, 1) AS idx,

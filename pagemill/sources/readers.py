@@ -17,6 +17,18 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan of few files over all cores before heavy per-row text work.
+
+    Only a scan with fewer partitions than the cluster has cores is shuffled; a large table keeps
+    its scan partitions and pays nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def stream_path(path: str) -> str:
     """The path as a pattern that matches only itself: a stream accepts a single file only that way."""
     return f"{path[:-1]}[{path[-1]}]"
@@ -35,9 +47,11 @@ def yaml_to_json(text: Column) -> Column:
     def batch(texts: pd.Series) -> pd.Series:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
         def one(t):
             try:
-                return json.dumps(yaml.safe_load(t), ensure_ascii=False, default=str)
+                return json.dumps(yaml.load(t, loader), ensure_ascii=False, default=str)
             except (yaml.YAMLError, AttributeError, TypeError):
                 return None
 
@@ -52,8 +66,11 @@ def json_to_yaml(text: Column) -> Column:
     def batch(texts: pd.Series) -> pd.Series:
         import yaml
 
+        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
         return texts.map(
-            lambda t: None if t is None else yaml.safe_dump(json.loads(t), default_flow_style=False, allow_unicode=True)
+            lambda t: None
+            if t is None
+            else yaml.dump(json.loads(t), Dumper=dumper, default_flow_style=False, allow_unicode=True)
         )
 
     return F.pandas_udf(batch, T.StringType())(text)

@@ -21,37 +21,51 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
     return path
 
 
+def current_version(spark: SparkSession, base: str) -> tuple[int, str]:
+    """Number and path of the highest version; the list has one small row per version."""
+    listed = spark.read.schema(_VERSIONS).option("recursiveFileLookup", "true").parquet(f"{base}/versions")
+    return tuple(listed.agg(F.max("version"), F.max_by("path", "version")).first())
+
+
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """Rows of the highest version; the list itself has one small row per version."""
-    latest = spark.read.schema(_VERSIONS).option("recursiveFileLookup", "true").parquet(f"{base}/versions").agg(F.max_by("path", "version")).first()
-    return spark.read.parquet(latest[0])
+    return spark.read.parquet(current_version(spark, base)[1])
 
 
-def write_by_run(df: DataFrame, path: str) -> None:
+def write_by_run(df: DataFrame, path: str, *outer: str) -> None:
     """Write rows below ``run_date=/run_id=`` folders, replacing only the runs in ``df``.
 
-    The rebalance hint gathers each run in few files and splits a run that would overload a task.
+    ``outer`` columns become folders above these. The rebalance hint gathers each folder in few
+    files and splits one that would overload a task.
     """
+    folders = [*outer, "run_date", "run_id"]
     (
-        df.hint("rebalance", "run_date", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date", "run_id").parquet(path)
+        df.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders).parquet(path)
     )
 
 
-def write_artifacts(documents: DataFrame, base: str) -> None:
-    """Raw text, cleaned text and records of documents, one dataset per kind.
+def artifact_rows(documents: DataFrame) -> DataFrame:
+    """One row per artifact: kind, run_date, run_id, id, content.
 
-    Needs run_date, run_id, id, raw, fit, structured_data, success. A record is written only
-    where extraction succeeded and the record is not empty.
+    Needs run_date, run_id, id, raw, fit, structured_data, success. A record is kept only where
+    extraction succeeded and the record is not empty.
     """
     from pagemill.functions.records import truthy
 
-    keys = ["run_date", "run_id", "id"]
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    write_by_run(documents.where(has("raw")).select(*keys, F.col("raw").alias("content")), f"{base}/markdown")
-    write_by_run(documents.where(has("fit")).select(*keys, F.col("fit").alias("content")), f"{base}/markdown_cleaned")
-    record = F.col("success") & truthy(F.col("structured_data"))
-    write_by_run(documents.where(record).select(*keys, F.col("structured_data").alias("content")), f"{base}/json")
+    made = lambda cond, kind, c: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.col(c).alias("content")))
+    kinds = F.array_compact(
+        F.array(
+            made(has("raw"), "markdown", "raw"), made(has("fit"), "markdown_cleaned", "fit"),
+            made(F.col("success") & truthy(F.col("structured_data")), "json", "structured_data"),
+        )
+    )
+    return documents.select("run_date", "run_id", "id", F.inline(kinds))
+
+
+def write_artifacts(documents: DataFrame, base: str) -> None:
+    """Raw text, cleaned text and records of documents below ``kind=``, in one pass over the documents."""
+    write_by_run(artifact_rows(documents), base, "kind")
 
 
 def write_run_logs(manifests: DataFrame, index: DataFrame, errors: DataFrame, base: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import frontier, pages as page_ops, upsert
+from pagemill.sources import tables
 
 REGISTRY_COLUMNS = ["url", "task_id", "first_crawled_at", "last_crawled_at", "crawl_count"]
 
@@ -30,8 +31,13 @@ def per_batch(stream: DataFrame, write, checkpoint: str, mode: str = "append") -
     q.awaitTermination()
 
 
-def ingest(pages: DataFrame) -> DataFrame:
-    """Raw pages to cleaned pages; stateless, so it scales with the input alone."""
+def ingest(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Raw pages to cleaned pages; stateless, so it scales with the input alone.
+
+    ``partitions`` spreads micro-batches of few large files over the cores.
+    """
+    if partitions:
+        pages = pages.repartition(partitions)
     return page_ops.text_versions(pages).select("page_id", "url", "raw", "fit", "fallback_used")
 
 
@@ -48,11 +54,24 @@ def registry_deltas(crawls: DataFrame, out: str, checkpoint: str) -> None:
     per_batch(crawls, write, checkpoint)
 
 
-def read_registry(spark: SparkSession, out: str, snapshot: DataFrame | None = None) -> DataFrame:
-    deltas = spark.read.parquet(out).select(*REGISTRY_COLUMNS)
-    if snapshot is None:
-        snapshot = deltas.limit(0)
-    return upsert.merge_registry(snapshot, deltas)
+def read_registry(spark: SparkSession, out: str, snapshots: str | None = None) -> DataFrame:
+    """The registry now: the current snapshot, if there are any, plus the deltas after it.
+
+    A snapshot's version is the number of the last batch it contains, so the newer deltas are
+    picked by partition pruning.
+    """
+    deltas = spark.read.parquet(out)
+    if snapshots is None:
+        return upsert.merge_registry(deltas.limit(0).select(*REGISTRY_COLUMNS), deltas)
+    version, path = tables.current_version(spark, snapshots)
+    return upsert.merge_registry(spark.read.parquet(path), deltas.where(F.col("batch") > version))
+
+
+def compact_registry(spark: SparkSession, out: str, snapshots: str, first: bool = False) -> None:
+    """Fold all deltas so far into a new snapshot; ``first`` starts the list of snapshots."""
+    last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    folded = read_registry(spark, out, None if first else snapshots)
+    tables.write_version(folded, snapshots, last)
 
 
 def dedup_bounded(urls: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

@@ -102,6 +102,9 @@ def test_streamed_registry_equals_batch(spark, tmp_path):
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 4
     want = sorted(map(tuple, upsert.registry_rows(spark.read.parquet(src)).collect()))
     assert sorted(map(tuple, jobs.read_registry(spark, out).collect())) == want
+    snaps = str(tmp_path / "snapshots")
+    jobs.compact_registry(spark, out, snaps, first=True)
+    assert sorted(map(tuple, jobs.read_registry(spark, out, snaps).collect())) == want
     jobs.registry_deltas(stream, out, str(tmp_path / "cp"))  # nothing new, nothing counted twice
     assert sorted(map(tuple, jobs.read_registry(spark, out).collect())) == want
 
@@ -134,3 +137,14 @@ def test_ingest_equals_batch(spark, sf_dir, tmp_path):
     batch = jobs.ingest(readers.pages(spark, f"{sf_dir}/pages.parquet"))
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)) == key(batch)
+
+
+def test_compaction_between_batches(spark, tmp_path):
+    src, out, snaps, cp = (str(tmp_path / n) for n in ("in", "out", "snaps", "cp"))
+    jobs.registry_deltas(crawl_files(spark, src), out, cp)
+    jobs.compact_registry(spark, out, snaps, first=True)
+    jobs.registry_deltas(crawl_files(spark, src), out, cp)
+    want = sorted(map(tuple, upsert.registry_rows(spark.read.parquet(src)).collect()))
+    assert sorted(map(tuple, jobs.read_registry(spark, out, snaps).collect())) == want
+    jobs.compact_registry(spark, out, snaps)
+    assert sorted(map(tuple, jobs.read_registry(spark, out, snaps).collect())) == want

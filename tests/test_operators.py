@@ -73,7 +73,9 @@ def test_registry_is_global_and_optional(spark):
 
 def test_failures_retry_until_first_success(spark):
     rows = [("r", 1, "u", False), ("r", 2, "u", True), ("r", 3, "u", True), ("r", 4, "u", False), ("r", 1, "v", False), ("r", 5, "v", False)]
-    df = spark.createDataFrame(rows, "run_id string, idx int, url string, ok boolean")
+    df = spark.createDataFrame(rows, "run_id string, idx int, url string, ok boolean").withColumn("deduplication_enabled", F.lit(True))
+    every = df.withColumn("deduplication_enabled", F.lit(False))
+    assert frontier.processed_occurrences(every).count() == 6
     assert rowset(frontier.processed_occurrences(df), "url", "idx") == [("u", 1), ("u", 2), ("v", 1), ("v", 5)]
 
 

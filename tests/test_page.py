@@ -121,3 +121,10 @@ def test_reduction(spark):
     df = spark.createDataFrame([("abcd", "ab"), ("ab", "abcd"), ("", "x"), (None, None)], "r string, f string")
     got = [tuple(x) for x in df.select(ops.reduction(F.col("r"), F.col("f")), ops.ineffective(F.col("r"), F.col("f"))).collect()]
     assert got == [(0.5, False), (-1.0, True), (None, None), (None, None)]
+
+
+def test_given_versions(spark):
+    df = spark.createDataFrame([("p", "r", "f", "h"), (None, "r", "f", "h"), (None, None, "f", None)], "p string, r string, f string, h string")
+    c = F.col
+    got = [(tuple(x.v), x.s) for x in df.select(ops.given_versions(c("p"), c("r"), c("f"), c("h")).alias("v"), ops.single_text(c("p"), c("r"), c("f")).alias("s")).collect()]
+    assert got == [(("p", "p", None), "p"), (("r", "f", "h"), "r"), ((None, "f", None), "f")]
