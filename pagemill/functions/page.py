@@ -129,13 +129,14 @@ def content_selector(css_selector: Column, selector: Column) -> Column:
     )
 
 
-_SIMPLE = r"""^(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+|\[[\w-]+(?:=(?:"[^"\]]*"|'[^'\]]*'|[\w-]+))?\])*$"""
+_COMPOUND = r"""(?:[a-zA-Z][\w-]*+|\*)?(?:[.#][\w-]++|\[[\w-]++(?:=(?:"[^"\]]*+"|'[^'\]]*+'|[\w-]++))?\])*+"""
+_MEMBER = rf"^(?!\s*$){_COMPOUND}(?:\s+{_COMPOUND})*$"
 
 
 def selector_supported(selector: Column) -> Column:
-    """True when every member of the comma list is tag, .class, #id, [attr] or a mix of these."""
+    """True when every member of the comma list is made of tag, .class, #id and [attr], with blanks for descendants."""
     parts = F.transform(F.split(selector, ","), lambda v: F.trim(v))
-    return F.forall(parts, lambda p: (p != "") & F.rlike(p, F.lit(_SIMPLE)))
+    return F.forall(parts, lambda p: F.rlike(p, F.lit(_MEMBER)))
 
 
 def _start_tag_pattern(simple: Column) -> Column:
@@ -187,23 +188,47 @@ def _element_from(c: Column, at: Column) -> Column:
     return let(F.substr(c, at), cut)
 
 
+def _all_elements(c: Column, simple: Column) -> Column:
+    """Every element that matches one compound selector, in page order."""
+    cuts = F.split(F.concat(F.lit(" "), c), F.concat(F.lit("(?="), _start_tag_pattern(simple), F.lit(")")))
+
+    def elements(pieces: Column) -> Column:
+        n = F.size(pieces)
+        rest = lambda i: F.array_join(F.slice(pieces, i + 1, n), "")
+        found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: _element_from(rest(i), F.lit(1)))
+        return F.when(n > 1, found).otherwise(F.array().cast("array<string>"))
+
+    return let(cuts, elements)
+
+
+def _first_match(c: Column, member: Column) -> Column:
+    """First element for one member of a selector list: a compound, or a chain of descendants."""
+
+    def pick(chain: Column) -> Column:
+        alone = let(
+            F.regexp_instr(c, _start_tag_pattern(F.get(chain, F.lit(0)))), lambda at: F.when(at > 0, _element_from(c, at))
+        )
+        inside = lambda e: re_sub(e, f"^{TAG}<[a-zA-Z]{TAIL}", "")
+        nested = F.aggregate(
+            F.slice(chain, F.lit(2), F.size(chain)),
+            _all_elements(c, F.get(chain, F.lit(0))),
+            lambda found, step: F.flatten(F.transform(found, lambda e: _all_elements(inside(e), step))),
+        )
+        return F.when(F.size(chain) == 1, alone).otherwise(F.get(nested, F.lit(0)))
+
+    return let(F.regexp_extract_all(member, F.lit(r"((?:[^\s\[]|\[[^\]]*\])+)"), F.lit(1)), pick)
+
+
 def select_content(c: Column, selector: Column) -> Column:
     """First element that matches the selector list, members tried in order; NULL when none does.
 
     Unsupported members are skipped; ``selector_supported`` tells them apart.
     """
-    members = F.filter(
-        F.transform(F.split(selector, ","), lambda v: F.trim(v)), lambda p: (p != "") & F.rlike(p, F.lit(_SIMPLE))
+    members = F.filter(F.transform(F.split(selector, ","), lambda v: F.trim(v)), lambda p: F.rlike(p, F.lit(_MEMBER)))
+    return F.aggregate(
+        members, F.lit(None).cast("string"), lambda acc, member: F.coalesce(acc, _first_match(c, member))
     )
 
-    def first(acc: Column, member: Column) -> Column:
-        hit = let(
-            F.regexp_instr(c, _start_tag_pattern(member)), lambda at: F.when(at > 0, _element_from(c, at))
-        )
-        return F.coalesce(acc, hit)
-
-    return F.aggregate(members, F.lit(None).cast("string"), first)
-
 
 # --- density pruning ------------------------------------------------------------------------
 

@@ -40,8 +40,15 @@ def test_selector_choice(spark):
     assert got[2][0].startswith("#content, div#content, article") and got[3] == got[2]
 
 
+def test_descendants(one):
+    html = "<p>0</p><div class=a><i>x</i></div><div class=a id=b><div><p>1</p></div><p>2</p></div><p>3</p>"
+    for s, want in ((".a p", "1"), ("#b > p, .a i", "x"), ("div div p", "1"), (".a .a p", None), ("div.a#b p", "1"), ("* p", "1"), ("i p, #b p", "1")):
+        assert select(one, html, s) == want, s
+    assert select(one, "<div><div>no</div><div class=x>a</div></div>", "div .x") == "a"
+
+
 def test_unsupported_selectors_are_reported(one):
-    assert one("div p, main", page.selector_supported(F.col("t"))) is False
+    assert one("div > p, main", page.selector_supported(F.col("t"))) is False
     assert one("div.a#b[role=main], main", page.selector_supported(F.col("t"))) is True
 
 
