@@ -3,8 +3,8 @@
 ``canon`` rewrites a page once so that every genuine tag carries a marker character in
 front and comments, scripts, styles and declarations are gone. All later functions work on
 that form, so a ``<nav>`` in a comment, a script string or a quoted attribute never counts.
-The markers are Unicode noncharacters, which cannot occur in interchanged text; they are
-dropped from the input first.
+The markers are Unicode noncharacters, which cannot occur in interchanged text; one that does
+counts as a gap between two texts.
 
 Nested regions are removed innermost pair first. The number of passes follows the data, so
 any nesting depth is exact, while a page without nesting pays for a single pass.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.binding import let, quoted
 from pagemill.functions.entities import decode_entities
 
-TAG, OPEN, CLOSE, NL = "﷐", "﷑", "﷒", "﷓"
-_MARKS = TAG + OPEN + CLOSE + NL
+TAG, OPEN, CLOSE, NL, MID = "﷐", "﷑", "﷒", "﷓", "﷖"
+_MARKS = TAG + OPEN + CLOSE + NL + MID
 
 # Regions dropped by cleaning, and tags that end a line.
 SKIP_TAGS = ("nav", "header", "footer", "aside", "script", "style")
@@ -40,10 +40,12 @@ TAIL = r"""(?:[^>=]++|=[\t\n\r\f ]*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 _END = r"(?=[\s/>])"
 
 _CANON = (
-    r"(?is)(?=<)(?:<!--.*?(?:--!?>|\z)"
+    rf"(?is)(?=[<{_MARKS}])(?:[{_MARKS}]"
+    r"|<!--.*?(?:--!?>|\z)"
     rf"|<(script|style){_END}{TAIL}(?<!/>).*?(?:</\1{_END}[^>]*+>|\z)"
     r"|<[!?][^>]*+(?:>|\z)"
     r"|</(?![a-zA-Z])[^>]*+(?:>|\z)"
+    rf"|<(?:{'|'.join(SKIP_TAGS)}){_END}{TAIL}(?<=/>)"
     rf"|(</?[a-zA-Z]{TAIL}|<(?![/a-zA-Z]))"
     r"|</?[a-zA-Z].*\z)"
 )
@@ -62,39 +64,40 @@ def re_sub(c: Column, pattern: str, repl: str) -> Column:
 
 
 def canon(html: Column) -> Column:
-    """Marked normal form of a page: no comments, scripts, styles or cut-off last tag."""
-    plain = re_sub(html, f"[{_MARKS}]", "")
-    return re_sub(plain, _CANON, TAG + "$2")
+    """Marked normal form of a page: no comments, scripts, styles, empty skip regions or cut-off last tag."""
+    return re_sub(html, _CANON, TAG + "$2")
 
 
 def _count(c: Column, ch: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+    return F.floor((F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))) / len(ch)).cast("int")
 
 
-def fold_pairs(c: Column, repl: str) -> Column:
-    """Rewrite every balanced OPEN..CLOSE region, innermost first, until none is left."""
-    pattern = f"{OPEN}([^{OPEN}{CLOSE}]*+){CLOSE}"
+def _fold(c: Column, pattern: str, repl: str, opened: str, closed: str) -> Column:
+    """Rewrite every balanced region, innermost first, until none is left."""
+    depth = lambda v: F.when(F.contains(v, F.lit(opened)), F.least(_count(v, opened), _count(v, closed))).otherwise(F.lit(0))
     return let(
         re_sub(c, pattern, repl),
         lambda once: F.aggregate(
-            F.array_repeat(F.lit(0), F.least(_count(once, OPEN), _count(once, CLOSE))),
-            once,
-            lambda acc, _: re_sub(acc, pattern, repl),
+            F.array_repeat(F.lit(0), depth(once)), once, lambda acc, _: re_sub(acc, pattern, repl)
         ),
     )
 
 
+def fold_pairs(c: Column, repl: str) -> Column:
+    """Rewrite balanced OPEN..CLOSE regions."""
+    return _fold(c, f"{OPEN}([^{OPEN}{CLOSE}]*+){CLOSE}", repl, OPEN, CLOSE)
+
+
 def drop_regions(c: Column, tags=SKIP_TAGS) -> Column:
     """Remove skip regions from the normal form by a shared depth counter.
 
     A stray end tag never takes the counter below zero; an unclosed start tag swallows the rest.
+    One pass turns the tags into OPEN MID and OPEN / MID.
     """
-    n = names(tags)
-    s = re_sub(c, rf"(?i){TAG}<{n}{_END}{TAIL}(?<=/>)", TAG)
-    s = re_sub(s, rf"(?i){TAG}<{n}{_END}{TAIL}", OPEN)
-    s = re_sub(s, rf"(?i){TAG}</{n}{_END}{TAIL}", CLOSE)
-    s = fold_pairs(s, TAG)
-    return re_sub(re_sub(s, f"(?s){OPEN}.*\\z", ""), CLOSE, TAG)
+    start, end = OPEN + MID, OPEN + "/" + MID
+    s = re_sub(c, rf"(?i){TAG}<(/?){names(tags)}{_END}{TAIL}", f"{OPEN}$1{MID}")
+    s = _fold(s, f"{start}[^{OPEN}]*+{end}", TAG, start, end)
+    return let(s, lambda v: F.when(F.contains(v, F.lit(OPEN)), re_sub(v, f"(?s){start}.*\\z|{end}", TAG)).otherwise(v))
 
 
 def _lines(c: Column) -> Column:
@@ -103,7 +106,8 @@ def _lines(c: Column) -> Column:
     s = re_sub(c, rf"(?i){TAG}<{n}{_END}{TAIL}(?<=/>)", NL + NL)
     s = re_sub(s, rf"(?i){TAG}</?{n}{_END}{TAIL}", NL)
     s = re_sub(s, rf"{TAG}</?[a-zA-Z]{TAIL}", TAG)
-    return re_sub(s, f"{TAG}<", f"{TAG}<{TAG}")
+    lone = f"{TAG}<"
+    return let(s, lambda v: F.when(F.contains(v, F.lit(lone)), re_sub(v, lone, lone + TAG)).otherwise(v))
 
 
 _EDGE = f"[{WS}](?:(?<=[{TAG}{NL}][{WS}])[{WS}]*+|(?<![{WS}][{WS}])[{WS}]*+(?=[{TAG}{NL}]))"

@@ -230,7 +230,7 @@ images AS (SELECT page_id, url, pos,
 ORACLES = {
     "page_clean_text": f"SELECT page_id, {q.CLEAN} AS clean FROM pages",
     "page_raw_vs_clean": f"""WITH {_VERSIONS}
-SELECT page_id, length(raw) AS raw_len, length(fit) AS fit_len, md5(raw) AS raw_md5, md5(fit) AS fit_md5,
+SELECT page_id, CAST(length(raw) AS INTEGER) AS raw_len, CAST(length(fit) AS INTEGER) AS fit_len, md5(raw) AS raw_md5, md5(fit) AS fit_md5,
        round({_REDUCTION}, 6) AS reduction, {_REDUCTION} < 0.05 AS ineffective,
        coalesce(dense_fit, '') = '' AND raw <> '' AND clean IS NOT NULL AS fallback_used FROM used""",
     "host_cleaning_stats": f"""WITH s AS (
@@ -250,7 +250,7 @@ SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'css_selector (backward compatibili
     "page_density_prune": f"WITH {q.DENSE} SELECT p.page_id, fit FROM pages p LEFT JOIN dense USING (page_id)",
     "page_metadata": f"""SELECT page_id, nullif({_TITLE}, '') AS title, CAST(NULL AS VARCHAR) AS description,
        regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 0 AS n_keywords FROM pages""",
-    "page_links": f"WITH {_LINKS} SELECT page_id, pos, href, text, absolute, 'internal' AS kind FROM resolved",
+    "page_links": f"WITH {_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, href, text, absolute, 'internal' AS kind FROM resolved",
     "host_link_stats": f"""WITH {_LINKS} SELECT {q.HOST} AS host, count(*) AS links, count(*) AS internal,
        CAST(0 AS BIGINT) AS external, count(DISTINCT absolute) AS distinct_targets FROM resolved GROUP BY 1""",
     "page_media": f"""WITH {_IMAGES},
@@ -258,7 +258,7 @@ s AS (SELECT *, length(original_url) % 2 = 0 AND length(original_url) * 20000 <=
              page_id % 5 = 0 AS downloaded, page_id % 3 <> 0 AS fallback FROM images),
 t AS (SELECT *, CASE WHEN downloaded THEN 'success' WHEN NOT fallback THEN 'skipped' WHEN fetched THEN 'success' ELSE 'failed' END AS st,
              CASE WHEN downloaded THEN 'crawl4ai' WHEN fallback AND fetched THEN 'fallback' END AS m FROM s)
-SELECT 'doc-' || page_id AS document_id, 'run-' || (page_id % 7) AS run_id, pos, original_url, alt_text,
+SELECT 'doc-' || page_id AS document_id, 'run-' || (page_id % 7) AS run_id, CAST(pos AS INTEGER) AS pos, original_url, alt_text,
        CASE WHEN st = 'success' THEN '2024-01-02/run-' || (page_id % 7) || '/images/' || regexp_extract(original_url, '([^/]*)\\?w=1$', 1) END AS minio_path,
        CASE WHEN m = 'fallback' THEN CAST(length(original_url) * 20000 AS BIGINT) END AS size_bytes,
        CASE WHEN m = 'fallback' THEN 'image/png' END AS mime_type, st AS download_status, m AS download_method FROM t""",
