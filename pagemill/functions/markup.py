@@ -142,7 +142,7 @@ def raw_text(html: Column) -> Column:
     return to_text(canon(html))
 
 
-_ATTR = r"""([^\s"'<>/=]+)[\t\n\r\f ]*=[\t\n\r\f ]*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_ATTR = r"""(?<![^\s"'<>/=])([^\s"'<>/=]++)[\t\n\r\f ]*+=[\t\n\r\f ]*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def attribute(tag: Column, name: str, decode: bool = True) -> Column:

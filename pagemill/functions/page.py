@@ -245,7 +245,7 @@ def text_blocks(c: Column) -> Column:
         return F.struct(
             p.alias("html"),
             inline_text(p).alias("text"),
-            F.length(re_sub(p, f"{TAG}|^\\s+|\\s+$", "")).alias("markup_chars"),
+            F.length(re_sub(p, f"{TAG}|^\\s++|(?<!\\s)\\s++$", "")).alias("markup_chars"),
             F.when(
                 F.contains(p, F.lit(f"{TAG}<a")),
                 F.length(inline_text(F.array_join(F.regexp_extract_all(p, link, F.lit(1)), " "))),

@@ -135,3 +135,21 @@ def test_given_versions(spark):
     c = F.col
     got = [(tuple(x.v), x.s) for x in df.select(ops.given_versions(c("p"), c("r"), c("f"), c("h")).alias("v"), ops.single_text(c("p"), c("r"), c("f")).alias("s")).collect()]
     assert got == [(("p", "p", None), "p"), (("r", "f", "h"), "r"), ((None, "f", None), "f")]
+
+
+def test_hostile_pages_stay_linear(spark):
+    import time
+
+    from pagemill.operators import extract
+
+    n = 150_000
+    rows = [
+        "a" + " " * n + "b", "<a " + "x" * n + ">t</a>", "<a href='" + "y" * n + "'>t</a>" * 2, "<nav>" * 3000 + "x", "</nav>" * 3000 + "x",
+        "<p class='" + "c " * n + "'>z", "<" * n, "&" * n, "<a " * 20_000, "\n" * n + "x", "\xa0" * n + "<p>" + "\xa0" * n, "<div>" * 2000 + "y",
+    ]
+    df = spark.createDataFrame([(i, "https://h/", r) for i, r in enumerate(rows)], "page_id int, url string, html string").repartition(8)
+    start = time.time()
+    v = ops.text_versions(df).select("page_id", F.length("raw"), F.length("fit"))
+    assert v.count() == len(rows) and len(v.collect()) == len(rows)
+    assert len(extract.extract_by_rules(ops.with_canon(df), "detail").select(F.length("record")).collect()) == len(rows)
+    assert time.time() - start < 120
