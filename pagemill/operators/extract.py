@@ -178,3 +178,13 @@ def extract_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], atte
             )
 
     return df.select("run_id", "url", "content", "prompt", "schema").mapInPandas(batches, EXTRACTED)
+
+
+def with_attempts(pages: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Join pages to the answers of the first and second attempt (``primary``, ``fallback``) by run and URL.
+
+    Answers are folded to one row per page first, so the join sees unique keys.
+    """
+    of = lambda n: F.max(F.when(F.col("attempt") == n, F.col("raw_content")))
+    answers = outputs.groupBy("run_id", "url").agg(of(1).alias("primary"), of(2).alias("fallback"))
+    return pages.join(answers, ["run_id", "url"], "left")

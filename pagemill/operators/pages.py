@@ -22,24 +22,30 @@ def needs_fallback(raw: Column, fit: Column) -> Column:
     return (F.length(F.coalesce(raw, F.lit(""))) > 0) & (F.coalesce(fit, F.lit("")) == "")
 
 
-def text_versions(pages: DataFrame, threshold: Column | None = None) -> DataFrame:
-    """Add ``raw``, ``fit``, ``fit_html`` and ``fallback_used``.
+def text_versions(
+    pages: DataFrame, threshold: Column | None = None, selector: Column | None = None, keep_canon: bool = False
+) -> DataFrame:
+    """Add ``raw``, ``fit``, ``fit_html`` and ``fallback_used``; ``canon`` of the whole page on request.
 
-    ``fit`` is the dense text; where pruning leaves nothing, the region-free text stands in.
+    ``fit`` is the dense text; where pruning leaves nothing, the region-free text stands in. With a
+    selector both versions come from the selected element, or the whole page if there is none.
     """
     limit = F.lit(None).cast("double") if threshold is None else threshold
+    c = F.col("canon")
+    part = c if selector is None else F.coalesce(page.select_content(c, selector), c)
     staged = (
         with_canon(pages)
-        .withColumn("raw", markup.to_text(F.col("canon")))
-        .withColumn("dense", page.dense_versions(F.col("canon"), limit))
+        .withColumn("part", part)
+        .withColumn("raw", markup.to_text(F.col("part")))
+        .withColumn("dense", page.dense_versions(F.col("part"), limit))
     )
     use = needs_fallback(F.col("raw"), F.col("dense.fit"))
     return (
-        staged.withColumn("fallback", F.when(use, markup.to_text(markup.drop_regions(F.col("canon")))))
+        staged.withColumn("fallback", F.when(use, markup.to_text(markup.drop_regions(F.col("part")))))
         .withColumn("fit", F.coalesce(F.col("dense.fit"), F.col("fallback")))
         .withColumn("fit_html", F.col("dense.fit_html"))
         .withColumn("fallback_used", F.col("fallback").isNotNull())
-        .drop("canon", "dense", "fallback")
+        .drop("part", "dense", "fallback", *([] if keep_canon else ["canon"]))
     )
 
 

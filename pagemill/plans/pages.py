@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup, page, urls, values
-from pagemill.operators import extract, frontier, media, pages as ops
+from pagemill.operators import crawl, extract, frontier, media, pages as ops
 from pagemill.plans import sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 
@@ -186,12 +186,38 @@ def detail_records(spark, sf_dir):
     return p.select("page_id", g("title").alias("title"), g("author").alias("author"), g("images[0]").alias("first_image"), F.md5(g("description")).alias("description_md5"))
 
 
+def crawl_run(spark, sf_dir):
+    """Whole runs over the pages: some URLs known, some missing, some runs without or with a failing extraction."""
+    p = heavy(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    both = F.explode(F.when(i % 9 == 0, F.array(F.lit(""), F.lit("/missing"))).otherwise(F.array(F.lit(""))))
+    rows = p.select("page_id", "url", both.alias("suffix"))
+    schema = F.when(i % 10 == 5, F.lit('{"properties":{"title":{},"price":{}},"required":["title","price"]}')).otherwise(
+        F.lit('{"properties":{"title":{},"content":{}},"required":["title","content"]}')
+    )
+    todo = rows.select(
+        text("run-", i % 10).alias("run_id"), text("task-", i % 5).alias("task_id"), (i * 2 + F.length("suffix") + 1).alias("idx"),
+        F.concat("url", "suffix").alias("url"), F.lit("2024-01-02").cast("timestamp_ntz").alias("ts"), (i % 10 != 3).alias("deduplication_enabled"),
+        F.lit("").alias("css_selector"), F.lit(None).cast("string").alias("content_selector"), F.lit(0.4).alias("content_filter_threshold"),
+        (i % 10 != 4).alias("has_config"), F.lit("p").alias("prompt"), F.lit(True).alias("has_key"), schema.alias("output_schema"),
+        (i % 4 != 1).alias("stage2_fallback_enabled"),
+    )
+    known = table(spark, sf_dir, "pages").where(i % 7 == 0).select("url")
+    d = crawl.run(todo, known, p).pages
+    g = lambda k: F.md5(F.get_json_object("stage2.structured_data", f"$.{k}"))
+    return d.select(
+        "run_id", "idx", "crawl_ok", F.col("metadata.title").alias("title"), F.md5("raw").alias("raw_md5"),
+        F.col("stage2.enabled").alias("enabled"), F.col("stage2.success").alias("success"), F.col("stage2.error").alias("error"),
+        g("title").alias("record_title_md5"), g("content").alias("record_content_md5"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         page_clean_text, page_raw_vs_clean, host_cleaning_stats, page_select_content, page_density_prune, page_metadata,
         page_links, host_link_stats, page_media, page_media_counts, page_stage2_input, url_canonical, page_article_records,
-        page_list_records, list_to_detail_frontier, product_records, paper_records, detail_records,
+        page_list_records, list_to_detail_frontier, product_records, paper_records, detail_records, crawl_run,
     )
 }
 
@@ -297,4 +323,15 @@ f AS (SELECT page_id, original_url FROM images WHERE pos = 1),
 p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages)
 SELECT page_id, coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS title, 'Unknown' AS author,
        original_url AS first_image, md5(nullif({_BODY}, '')) AS description_md5 FROM p LEFT JOIN f USING (page_id)""",
+    "crawl_run": f"""WITH p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages),
+c AS (SELECT page_id, nullif({_TITLE}, '') AS title, {q.to_text(_ARTICLE)} AS raw, nullif({_BODY}, '') AS body,
+             coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS head FROM p),
+t AS (SELECT page_id, false AS missing FROM pages WHERE page_id % 7 <> 0 OR page_id % 10 = 3
+      UNION ALL SELECT page_id, true FROM pages WHERE page_id % 9 = 0),
+r AS (SELECT *, page_id % 10 <> 4 AS en, page_id % 10 NOT IN (4, 5) AND NOT missing AS good FROM t JOIN c USING (page_id))
+SELECT 'run-' || (page_id % 10) AS run_id, page_id * 2 + CASE WHEN missing THEN 9 ELSE 1 END AS idx, NOT missing AS crawl_ok,
+       CASE WHEN NOT missing THEN title END AS title, CASE WHEN NOT missing THEN md5(raw) END AS raw_md5, en AS enabled, good AS success,
+       CASE WHEN missing THEN 'Crawl failed: No page for this URL' WHEN NOT en THEN 'No LLM config provided' WHEN good THEN NULL
+            WHEN page_id % 4 = 1 THEN 'Missing required fields: price' ELSE 'Both primary and fallback extraction failed' END AS error,
+       CASE WHEN good THEN md5(head) END AS record_title_md5, CASE WHEN good THEN md5(body) END AS record_content_md5 FROM r""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import page, records, values
-from pagemill.operators import pages as ops
+from pagemill.operators import extract, pages as ops
 from pagemill.plans import sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 
@@ -101,15 +101,16 @@ def stage2_status(spark, sf_dir):
     e = heavy(spark, sf_dir, "events").withColumn("m", F.col("event_id") % 11)
     m, u = F.col("m"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int") % 4
+    keys = [text("run-", u).alias("run_id"), text("https://e.example.org/", F.col("event_id")).alias("url")]
     first = e.where(m != 3).select(
-        "event_id",
-        F.when(m == 4, F.lit("{bad")).when(m == 5, F.lit('[{"k":1}]')).when(m == 6, F.lit('{"other":1}')).otherwise(F.col("props")).alias("primary"),
+        *keys, F.lit(1).alias("attempt"),
+        F.when(m == 4, F.lit("{bad")).when(m == 5, F.lit('[{"k":1}]')).when(m == 6, F.lit('{"other":1}')).otherwise(F.col("props")).alias("raw_content"),
     )
     second = e.select(
-        "event_id",
-        F.when(k == 0, F.lit("[]")).when(k == 1, F.lit('[{"k":5,"x":1}]')).when(k == 2, F.lit('[{"k":1},{"k":2}]')).otherwise(F.lit("[{}]")).alias("fallback"),
+        *keys, F.lit(2).alias("attempt"),
+        F.when(k == 0, F.lit("[]")).when(k == 1, F.lit('[{"k":5,"x":1}]')).when(k == 2, F.lit('[{"k":1},{"k":2}]')).otherwise(F.lit("[{}]")).alias("raw_content"),
     )
-    joined = e.join(first, "event_id", "left").join(second, "event_id", "left")
+    joined = extract.with_attempts(e.select("*", *keys), first.unionByName(second))
     s = records.stage2(
         has_config=m != 0, prompt=F.when(m == 1, F.lit("")).otherwise(F.lit("p")), has_key=m != 2,
         crawl_ok=F.col("event_type") != "error", crawl_error=F.lit("HTTP 500"), primary=F.col("primary"), fallback=F.col("fallback"),

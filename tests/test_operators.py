@@ -263,3 +263,38 @@ def test_record_kinds(spark):
     schema = '{"properties":{"title":{},"content":{}},"required":["title","content"]}'
     n = extract.extract_by_rules(df, "article").select(records.normalize(F.col("record"), F.lit(schema)).alias("n")).first().n
     assert n.error is None
+
+
+def test_whole_run(spark):
+    from pagemill.operators import crawl
+
+    html = "<html><head><title>T{0}</title></head><body><nav>menu</nav><article><h1>H{0}</h1><p>Body text {0} is long enough.</p></article></body></html>"
+    pages = spark.createDataFrame(
+        [("https://a/1", html.format(1), True, None), ("https://a/2", html.format(2), True, None), ("https://a/3", None, False, "timeout")],
+        "url string, html string, success boolean, error string",
+    )
+    schema = '{"properties":{"title":{},"content":{}},"required":["title","content"]}'
+    rows = [
+        ("r1", "t1", 1, "https://a/1", True, schema), ("r1", "t1", 2, "https://a/1", True, schema), ("r1", "t1", 3, "https://a/3", True, schema),
+        ("r1", "t1", 4, "https://a/3", True, schema), ("r1", "t1", 5, "https://known", True, schema), ("r2", "t2", 1, "https://a/1", False, None),
+        ("r2", "t2", 2, "https://a/1", False, None), ("r2", "t2", 3, "https://gone", False, '{"properties":{"x":{}},"required":["x"]}'),
+        ("r2", "t2", 4, "https://a/2", False, '{"properties":{"x":{}},"required":["x"]}'),
+    ]
+    todo = spark.createDataFrame(rows, "run_id string, task_id string, idx int, url string, deduplication_enabled boolean, output_schema string").selectExpr(
+        "*", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "'' AS css_selector", "'' AS content_selector", "CAST(NULL AS DOUBLE) AS content_filter_threshold",
+        "true AS has_config", "'p' AS prompt", "true AS has_key", "true AS stage2_fallback_enabled")
+    result = crawl.run(todo, spark.createDataFrame([("https://known",)], "url string"), pages)
+    got = {(r.run_id, r.idx): (r.crawl_ok, r.crawl_error, r.stage2_success, r.stage2_error) for r in result.attempts.collect()}
+    assert got == {
+        ("r1", 1): (True, None, True, None), ("r1", 3): (False, "timeout", False, "Crawl failed: timeout"), ("r1", 4): (False, "timeout", False, "Crawl failed: timeout"),
+        ("r2", 1): (True, None, True, None), ("r2", 2): (True, None, True, None),
+        ("r2", 3): (False, crawl.NO_PAGE, False, f"Crawl failed: {crawl.NO_PAGE}"), ("r2", 4): (True, None, False, "Both primary and fallback extraction failed"),
+    }
+    docs = {(d.run_id, d.idx): d for d in result.documents.collect()}
+    assert set(docs) == {("r1", 1), ("r2", 1), ("r2", 2), ("r2", 4)} and docs["r2", 4].structured_data is None
+    assert docs["r1", 1].structured_data == '{"title":"H1","content":"H1 Body text 1 is long enough."}' and "menu" not in docs["r1", 1].content
+    assert docs["r2", 1].id == docs["r2", 2].id != docs["r1", 1].id
+    assert {(r.url, r.task_id, r.crawl_count) for r in result.registry_rows.collect()} == {("https://a/1", "t2", 3), ("https://a/2", "t2", 1)}
+    c = {r.run_id: r for r in runs.counters(result.attempts).collect()}
+    assert (c["r2"].urls_crawled, c["r2"].urls_failed, c["r2"].distinct_documents, c["r2"].stage2_errors) == (3, 1, 2, 1)
+    assert {(e.run_id, e.stage) for e in runs.errors(result.attempts).collect()} == {("r1", "crawl"), ("r2", "crawl"), ("r2", "stage2")}
