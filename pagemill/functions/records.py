@@ -141,20 +141,22 @@ def stage2(
             F.lit(used).alias("fallback_used"),
         )
 
+    def accepted(result: Column) -> Column:
+        return F.when(result["error"].isNotNull(), outcome(None, False, result["error"], False)).otherwise(
+            outcome(result["data"], True, None, True)
+        )
+
     def second(first_error: Column) -> Column:
-        wrapped = wrap_results(fallback)
+        judged = let(
+            wrap_results(fallback),
+            lambda w: F.when(~truthy(w), outcome(None, False, F.lit(BOTH_FAILED), False)).otherwise(
+                let(normalize(w, schema), accepted)
+            ),
+        )
         return (
             F.when(~fallback_enabled, outcome(None, False, first_error, False))
             .when(~has_html, outcome(None, False, F.lit(NO_HTML), False))
-            .when(~truthy(wrapped), outcome(None, False, F.lit(BOTH_FAILED), False))
-            .otherwise(
-                let(
-                    normalize(wrapped, schema),
-                    lambda r: F.when(r["error"].isNotNull(), outcome(None, False, r["error"], False)).otherwise(
-                        outcome(r["data"], True, None, True)
-                    ),
-                )
-            )
+            .otherwise(judged)
         )
 
     attempt = F.when(F.coalesce(primary, F.lit("")) == "", _failure(F.lit(EMPTY_OUTPUT))).otherwise(
