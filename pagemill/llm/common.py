@@ -93,11 +93,44 @@ def arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = 1 << 20) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text", most: int = 1 << 20) -> DataFrame:
     """``mapInArrow`` of a function from one bounded slice to one batch."""
     return arrow(df, lambda batches: map(fn, slices(batches, text, most)), schema)
 
 
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """The names, with underscores behind those that ``df`` already has (case doesn't tell columns apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def add_columns(df: DataFrame, fn, fields: str, replace: list[str] | None = None, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns that ``fn`` makes of each bounded slice, and their names.
+
+    ``fields``: DDL of the new columns. Names that ``df`` has already get underscores, unless ``replace`` gives the
+    columns that earlier calls made.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(fields).fields
+    names = replace or free_names(df, [f.name for f in new])
+    keep = [c for c in df.columns if not (replace and c in replace)]
+    out = StructType([df.schema[c] for c in keep] + [StructField(n, f.dataType) for n, f in zip(names, new, strict=True)])
+    types = list(to_arrow_schema(StructType(out.fields[len(keep) :])))
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        made = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b), types, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, names=keep + names)
+
+    return map_slices(df, each, out, text), names
+
+
 def running(ids: np.ndarray, n: int) -> np.ndarray:
     """One number for every window of ``n`` ids in a row, equal exactly where the windows are equal."""
     key = ids

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, sharding, token_output
+from pagemill.llm import bpe, decontaminate, sharding, simhash, token_output
 
 QUERIES = {
+    "op2_suffix_array_decontamination": decontaminate.op2_suffix_array_decontamination,
     "op3_virtual_slots": sharding.op3_virtual_slots,
+    "op5_gray_simhash": simhash.op5_gray_simhash,
     "op8_ranked_vbyte": token_output.op8_ranked_vbyte,
     "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_suffix_array_decontamination": decontaminate.OP2_SQL}
