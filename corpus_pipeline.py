@@ -1,6 +1,56 @@
-"""The corpus pipeline: stages that each take the documents the stage before kept."""
+"""The corpus pipeline: stages that each take the documents the stage before kept.
+
+Toxic documents go, one document of each near-duplicate group stays, contaminated documents go, personal data is
+blanked out, and what is left becomes token ids. Every stage is written as Parquet and read again by the next.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from pagemill.llm import bpe, decontaminate, pii, simhash, toxicity
+from pagemill.llm.common import stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_per_class(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``: ids as little-endian unsigned 32-bit, decoded again for the digest."""
+    return bpe.digests(bpe.encoded(docs), keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", blank_personal_data),
+    ("bpe", to_tokens),
+]
+
+#: The stages' models, hashes and merges are beyond SQL; tests compare each stage with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}

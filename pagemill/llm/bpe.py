@@ -238,18 +238,20 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
-def digests(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded rows, decoding each."""
+def digests(tokens: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) of encoded rows, decoding each."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path or vocabulary("byte_bpe_50k.json"))
         ids = [x or b"" for x in b.column("ids").to_pylist()]
         back = [bpe.decode(np.frombuffer(x, "<u4")).encode() for x in ids]
-        return batch_of(out, b.column("doc_id"), b.column("n_tokens"), [_sha(x) for x in ids], [_sha(x) for x in back])
+        return batch_of(out, b.column("doc_id"), b.column("n_tokens"), [_sha(x) for x in ids], [_sha(x) for x in back], *([ids] if keep_ids else []))
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    out = pa.schema([("doc_id", _arrow(tokens, "doc_id")), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return map_slices(tokens, fn, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "ids")
+    fields = [("doc_id", _arrow(tokens, "doc_id")), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    out = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
+    ddl = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return map_slices(tokens, fn, ddl, "ids")
 
 
 _sha: Callable[[bytes], str] = lambda b: hashlib.sha256(b).hexdigest()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, decontaminate, sharding, simhash, token_output
+from pagemill.llm import bpe, decontaminate, pii, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity
 
 QUERIES = {
+    "op1_boosted_rules": quality_rules.op1_boosted_rules,
     "op2_suffix_array_decontamination": decontaminate.op2_suffix_array_decontamination,
     "op3_virtual_slots": sharding.op3_virtual_slots,
+    "op4_classifier_chain": toxicity.op4_classifier_chain,
     "op5_gray_simhash": simhash.op5_gray_simhash,
+    "op7_hashed_ftrl": quality_ftrl.op7_hashed_ftrl,
     "op8_ranked_vbyte": token_output.op8_ranked_vbyte,
     "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
+    "op10_weak_supervision": pii.op10_weak_supervision,
 }
 
 ORACLES: dict[str, str] = {"op2_suffix_array_decontamination": decontaminate.OP2_SQL}
