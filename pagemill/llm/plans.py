@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, decontaminate, pii, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity
+from pagemill.llm import bpe, decontaminate, license_templates, pii, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_boosted_rules": quality_rules.op1_boosted_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_virtual_slots": sharding.op3_virtual_slots,
     "op4_classifier_chain": toxicity.op4_classifier_chain,
     "op5_gray_simhash": simhash.op5_gray_simhash,
+    "op6_template_markup": license_templates.op6_template_markup,
     "op7_hashed_ftrl": quality_ftrl.op7_hashed_ftrl,
     "op8_ranked_vbyte": token_output.op8_ranked_vbyte,
     "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
