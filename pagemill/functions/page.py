@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls
 from pagemill.functions.binding import let
 from pagemill.functions.markup import (
-    BLOCK_TAGS, CLOSE, OPEN, SKIP_TAGS, TAG, TAIL, attribute, drop_regions, element_inner, fold_pairs,
-    inline_text, names, none_if_empty, re_sub, tags_of,
+    BLOCK_TAGS, SKIP_TAGS, TAG, TAIL, attribute, drop_regions, element_inner, inline_text, names, none_if_empty, re_sub, tags_of,
 )
 
 # Places where main content is usually found, tried in this order.
@@ -22,6 +21,7 @@ DEFAULT_SELECTORS = (
     "#content", "div#content", "article", "main", '[role="main"]', ".article-content", ".post-content",
     ".detail-content", ".content", ".main-content", "#main-content", ".entry-content", "#main", ".main", ".post",
 )
+DEFAULT_SELECTOR = ", ".join(DEFAULT_SELECTORS)
 DEFAULT_DENSITY = 0.40
 
 _END = r"(?=[\s/>])"
@@ -115,12 +115,12 @@ def audios(c: Column) -> Column:
 # --- main content by selector ---------------------------------------------------------------
 
 def content_selector(css_selector: Column, selector: Column) -> Column:
-    """Selector to use and why: the override, the task's own, or the default list."""
+    """Selector to use and why: the override, the task's own, or the default list. The three reasons."""
     own = lambda c: c.isNotNull() & (c != "")
     return F.struct(
         F.when(own(css_selector), css_selector)
         .when(own(selector), selector)
-        .otherwise(F.lit(", ".join(DEFAULT_SELECTORS)))
+        .otherwise(F.lit(DEFAULT_SELECTOR))
         .alias("selector"),
         F.when(own(css_selector), F.lit("css_selector (backward compatibility/override)"))
         .when(own(selector), F.lit("user-provided content_selector"))
@@ -174,60 +174,112 @@ def _start_tag_pattern(simple: Column) -> Column:
     )
 
 
-def _element_from(c: Column, at: Column) -> Column:
-    """The element whose start tag begins at position ``at``, up to its balanced end tag."""
+def element_at(c: Column, at: Column) -> Column:
+    """The element whose start tag begins at position ``at``, up to its balanced end tag, or to the end without one.
+
+    One scan: the rest of the page is split before every tag of the element's name, and a running sum of +1 and -1
+    over the pieces ends where it comes back to zero.
+    """
 
     def cut(tail: Column) -> Column:
-        name = F.regexp_extract(tail, f"^{TAG}<([a-zA-Z][^\\s/>]*)", 1)
-        start = F.concat(F.lit(f"(?i)({TAG}<"), name, F.lit(f"{_END}{TAIL}(?<!/>))"))
-        end = F.concat(F.lit(f"(?i)({TAG}</"), name, F.lit(f"{_END}{TAIL})"))
-        marked = F.regexp_replace(F.regexp_replace(tail, start, F.lit(OPEN + "$1")), end, F.lit("$1" + CLOSE))
-        inside = fold_pairs(re_sub(marked, f"^{OPEN}", ""), "$1")
-        return re_sub(F.substring_index(inside, CLOSE, 1), OPEN, "")
+        name = F.regexp_extract(tail, rf"^{TAG}<([a-zA-Z][^\s/>\\]*)", 1)
+        pieces = F.split(tail, F.concat(F.lit(rf"(?i)(?={TAG}</?\Q"), name, F.lit(rf"\E{_END})")))
+        ends_tag, empty = rf"^{TAG}</[a-zA-Z]{TAIL}", rf"^{TAG}<[a-zA-Z]{TAIL}(?<=/>)"
+
+        def step(acc: Column, piece: Column) -> Column:
+            ends = F.startswith(piece, F.lit(f"{TAG}</"))
+            last = ends & (acc["depth"] == 1)
+            depth = F.when(ends, acc["depth"] - 1).when((acc["depth"] > 0) & F.rlike(piece, F.lit(empty)), acc["depth"]).otherwise(acc["depth"] + 1)
+            size = F.when(last, F.length(F.regexp_extract(piece, ends_tag, 0))).otherwise(F.length(piece))
+            return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["size"] + size).alias("size"), last.alias("done")))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+        return F.substr(tail, F.lit(1), F.aggregate(pieces, start, step)["size"])
 
     return let(F.substr(c, at), cut)
 
 
-def _all_elements(c: Column, simple: Column) -> Column:
-    """Every element that matches one compound selector, in page order."""
-    cuts = F.split(F.concat(F.lit(" "), c), F.concat(F.lit("(?="), _start_tag_pattern(simple), F.lit(")")))
+def inside(element: Column) -> Column:
+    """An element without its own start tag."""
+    return re_sub(element, f"^{TAG}<[a-zA-Z]{TAIL}", "")
+
 
-    def elements(pieces: Column) -> Column:
-        n = F.size(pieces)
-        rest = lambda i: F.array_join(F.slice(pieces, i + 1, n), "")
-        found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: _element_from(rest(i), F.lit(1)))
-        return F.when(n > 1, found).otherwise(F.array().cast("array<string>"))
+def first_element(c: Column, pattern: Column) -> Column:
+    """First element whose start tag matches a pattern; NULL without one."""
+    return let(F.regexp_instr(c, pattern), lambda at: F.when(at > 0, element_at(c, at)))
 
-    return let(cuts, elements)
+
+def _outermost(c: Column, pattern: Column) -> Column:
+    """The matching elements that lie in no other match, in page order."""
+
+    def step(acc: Column, _: Column) -> Column:
+        def take(at: Column) -> Column:
+            found = let(element_at(acc["rest"], at), lambda e: F.struct(
+                F.substr(acc["rest"], at + F.length(e)).alias("rest"), F.concat(acc["found"], F.array(e)).alias("found")
+            ))
+            return F.when(at > 0, found).otherwise(acc)
+
+        return let(F.regexp_instr(acc["rest"], pattern), take)
+
+    start = F.struct(c.alias("rest"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(F.array_repeat(F.lit(0), F.regexp_count(c, pattern)), start, step)["found"]
 
 
 def _first_match(c: Column, member: Column) -> Column:
-    """First element for one member of a selector list: a compound, or a chain of descendants."""
+    """First element for one member of a selector list: a compound, or a chain of descendants.
+
+    What a descendant chain finds inside a match it also finds inside the outermost one, so the elements of a step
+    never overlap.
+    """
 
     def pick(chain: Column) -> Column:
-        alone = let(
-            F.regexp_instr(c, _start_tag_pattern(F.get(chain, F.lit(0)))), lambda at: F.when(at > 0, _element_from(c, at))
-        )
-        inside = lambda e: re_sub(e, f"^{TAG}<[a-zA-Z]{TAIL}", "")
-        nested = F.aggregate(
-            F.slice(chain, F.lit(2), F.size(chain)),
-            _all_elements(c, F.get(chain, F.lit(0))),
-            lambda found, step: F.flatten(F.transform(found, lambda e: _all_elements(inside(e), step))),
+        last = _start_tag_pattern(F.element_at(chain, -1))
+        around = F.aggregate(
+            F.slice(chain, F.lit(2), F.greatest(F.size(chain) - 2, F.lit(0))),
+            _outermost(c, _start_tag_pattern(F.get(chain, F.lit(0)))),
+            lambda found, step: F.flatten(F.transform(found, lambda e: _outermost(inside(e), _start_tag_pattern(step)))),
         )
-        return F.when(F.size(chain) == 1, alone).otherwise(F.get(nested, F.lit(0)))
+        nested = F.aggregate(around, F.lit(None).cast("string"), lambda acc, e: F.coalesce(acc, first_element(inside(e), last)))
+        return F.when(F.size(chain) == 1, first_element(c, last)).when(F.regexp_instr(c, last) > 0, nested)
 
     return let(F.regexp_extract_all(member, F.lit(r"((?:[^\s\[]|\[[^\]]*\])+)"), F.lit(1)), pick)
 
 
+def _default_pattern(member: str) -> str:
+    """Pattern of one default selector (tag, #id, .class, [attr="value"]) as a literal, compiled once for all pages."""
+    tag, rest = re.fullmatch(r"([a-z]*)(.*)", member).groups()
+    look = r"(?=[^>]*?\s"
+    if rest[:1] == "#":
+        look += rf"""(?i:id)\s*=\s*["']?{rest[1:]}["'\s/>])"""
+    elif rest[:1] == ".":
+        look += rf"""(?i:class)\s*=\s*["']?(?:[^"'>]*\s)?{rest[1:]}["'\s/>])"""
+    elif rest:
+        key, value = re.fullmatch(r'\[(\w+)="(\w+)"\]', rest).groups()
+        look += rf"""(?i:{key})\s*=\s*["']?{value}["'\s/>])"""
+    return rf"{TAG}<(?i:{tag or r'[a-zA-Z][^\s/>]*'}){_END}" + (look if rest else "")
+
+
+def select_default(c: Column) -> Column:
+    """First element for the default selectors, tried in order; NULL when none matches."""
+    return F.coalesce(*(first_element(c, F.lit(_default_pattern(m))) for m in DEFAULT_SELECTORS))
+
+
 def select_content(c: Column, selector: Column) -> Column:
     """First element that matches the selector list, members tried in order; NULL when none does.
 
-    Unsupported members are skipped; ``selector_supported`` tells them apart.
+    Unsupported members are skipped; ``unsupported`` names them.
     """
     members = F.filter(F.transform(F.split(selector, ","), lambda v: F.trim(v)), lambda p: F.rlike(p, F.lit(_MEMBER)))
-    return F.aggregate(
+    own = F.aggregate(
         members, F.lit(None).cast("string"), lambda acc, member: F.coalesce(acc, _first_match(c, member))
     )
+    return F.when(selector == DEFAULT_SELECTOR, select_default(c)).otherwise(own)
+
+
+def unsupported(selector: Column) -> Column:
+    """Members of the selector list that ``select_content`` skips, comma-joined; NULL when there are none."""
+    parts = F.transform(F.split(selector, ","), lambda v: F.trim(v))
+    return none_if_empty(F.array_join(F.filter(parts, lambda p: ~F.rlike(p, F.lit(_MEMBER))), ", "))
 
 
 # --- density pruning ------------------------------------------------------------------------

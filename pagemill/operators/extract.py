@@ -17,14 +17,19 @@ EXTRACTED = "run_id string, url string, attempt int, raw_content string, error s
 _END = r"(?=[\s/>])"
 
 
+# Elements without content or end tag.
+_VOID = markup.names(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+
+
+def _class_pattern(tag: str, *classes: str) -> str:
+    """Start tags that carry one of the classes."""
+    return rf"""(?i){TAG}<(?!{_VOID}{_END}){tag}{_END}(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?{markup.names(classes)}["'\s/>])"""
+
+
 def _by_class(c: Column, *classes: str) -> Column:
-    """Text of the first element that carries one of the classes (for elements without nested tags of their kind)."""
-    word = "|".join(classes)
-    pattern = (
-        rf"""(?is){TAG}<([a-z][a-z0-9]*){_END}(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?(?:{word})["'\s/>]){TAIL}"""
-        rf"""(.*?){TAG}</\1{_END}"""
-    )
-    return none_if_empty(values.tidy(markup.inline_text(F.regexp_extract(c, pattern, 2))))
+    """Whole text of the first element that carries one of the classes."""
+    element = page.first_element(c, F.lit(_class_pattern("[a-z][a-z0-9]*", *classes)))
+    return none_if_empty(values.tidy(markup.inline_text(element)))
 
 
 def _heading(c: Column) -> Column:
@@ -46,31 +51,49 @@ def _author(c: Column) -> Column:
 
 def _body(c: Column) -> Column:
     """Main content on one line: the selected element, else the page without its skip regions."""
-    chosen = F.coalesce(page.select_content(c, F.lit(", ".join(page.DEFAULT_SELECTORS))), c)
+    chosen = F.coalesce(page.select_default(c), c)
     return none_if_empty(values.tidy(F.coalesce(markup.to_text(markup.drop_regions(chosen)), F.lit(""))))
 
 
 def _items_of(c: Column, container: str) -> Column:
-    """Texts of the li elements inside the first element with a class."""
-    whole = F.regexp_extract(
-        c, rf"""(?is){TAG}<(ul|ol){_END}(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?{container}["'\s/>]){TAIL}(.*?){TAG}</\1{_END}""", 2
-    )
-    items = F.regexp_extract_all(whole, F.lit(rf"(?is){TAG}<li{_END}{TAIL}(.*?)(?={TAG}</?li{_END}|\z)"), F.lit(1))
-    return F.filter(F.transform(items, lambda i: markup.inline_text(i)), lambda t: t != "")
+    """Whole texts of the outermost li elements of the first list with a class; an inner list belongs to its item."""
+    whole = page.inside(page.first_element(c, F.lit(_class_pattern("(?:ul|ol)", container))))
+    pieces = F.split(whole, rf"(?i)(?={TAG}</?(?:ul|ol|li){_END})")
+    starts = lambda p, tags: F.rlike(p, F.lit(rf"(?i)^{TAG}<{tags}{_END}"))
+    ends = lambda p, tags: F.rlike(p, F.lit(rf"(?i)^{TAG}</{tags}{_END}"))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + F.when(starts(p, "(?:ul|ol)"), 1).when(ends(p, "(?:ul|ol)"), -1).otherwise(0)
+        first = starts(p, "li") & (acc["depth"] == 0)
+        return F.struct(depth.alias("depth"), F.concat(acc["marks"], F.when(first, F.lit("1")).otherwise(F.lit("0"))).alias("marks"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("marks"))
+
+    def texts(ps: Column) -> Column:
+        # One digit a piece, so that the fold carries little; then pieces between two marks are one item.
+        marked = F.array_join(F.zip_with(ps, F.split(F.aggregate(ps, start, step)["marks"], ""), lambda p, m: F.concat(F.when(m == "1", F.lit(markup.MID)).otherwise(F.lit("")), F.coalesce(p, F.lit("")))), "")
+        items = F.slice(F.split(marked, markup.MID), F.lit(2), F.greatest(F.size(F.split(marked, markup.MID)) - 1, F.lit(0)))
+        return F.filter(F.transform(items, lambda i: markup.inline_text(i)), lambda t: t != "")
+
+    return let(pieces, texts)
 
 
 def _pairs(c: Column) -> Column:
-    """dt/dd pairs as a map; of a repeated name the last value stays."""
-    names_ = F.regexp_extract_all(c, F.lit(rf"(?is){TAG}<dt{_END}{TAIL}(.*?){TAG}</dt{_END}"), F.lit(1))
-    texts = F.regexp_extract_all(c, F.lit(rf"(?is){TAG}<dd{_END}{TAIL}(.*?){TAG}</dd{_END}"), F.lit(1))
-    n = F.least(F.size(names_), F.size(texts))
-    zipped = F.transform(
-        F.arrays_zip(F.slice(names_, F.lit(1), n), F.slice(texts, F.lit(1), n)),
-        lambda z: F.struct(markup.inline_text(z["0"]).alias("k"), markup.inline_text(z["1"]).alias("v")),
-    )
-    # A later pair replaces an earlier one of the same name.
-    last = F.filter(zipped, lambda e, i: ~F.exists(F.slice(zipped, i + 2, F.size(zipped)), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(last)
+    """Every dt with the dds up to the next dt as a map; several dds are comma-joined, of a repeated name the last stays."""
+    pieces = F.split(c, rf"(?i)(?={TAG}</?(?:dt|dd|dl){_END})")
+    cells = F.filter(pieces, lambda p: F.rlike(p, F.lit(rf"(?i)^{TAG}<(?:dt|dd){_END}")))
+    said = F.transform(cells, lambda p: F.struct(F.rlike(p, F.lit(rf"(?i)^{TAG}<dt{_END}")).alias("name"), markup.inline_text(p).alias("text")))
+
+    def step(acc: Column, x: Column) -> Column:
+        named = F.struct(F.map_concat(F.map_filter(acc["m"], lambda k, _: k != x["text"]), F.create_map(x["text"], F.lit(""))).alias("m"), x["text"].alias("k"), F.lit(0).alias("n"))
+        longer = F.when(acc["n"] == 0, x["text"]).otherwise(F.concat_ws(", ", F.element_at(acc["m"], acc["k"]), x["text"]))
+        valued = F.struct(
+            F.map_concat(F.map_filter(acc["m"], lambda k, _: k != acc["k"]), F.create_map(acc["k"], longer)).alias("m"), acc["k"].alias("k"), (acc["n"] + 1).alias("n")
+        )
+        return F.when(x["name"], named).when(acc["k"].isNull(), acc).otherwise(valued)
+
+    start = F.struct(F.map_from_arrays(F.array(), F.array()).cast("map<string,string>").alias("m"), F.lit(None).cast("string").alias("k"), F.lit(0).alias("n"))
+    return let(said, lambda s: F.map_filter(F.aggregate(s, start, step)["m"], lambda _, v: v != ""))
 
 
 def article(c: Column, url: Column) -> Column:
