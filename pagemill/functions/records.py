@@ -6,6 +6,8 @@ carry its own.
 
 from __future__ import annotations
 
+from json import dumps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,12 @@ RESULT = "struct<data:string,error:string>"
 
 def kind(json: Column) -> Column:
     """object, array, string, number, boolean or null; SQL NULL for text that is no JSON."""
-    t = F.schema_of_variant(F.try_parse_json(json))
+    return kind_of(F.try_parse_json(json))
+
+
+def kind_of(node: Column) -> Column:
+    """The same for a VARIANT value."""
+    t = F.schema_of_variant(node)
     return (
         F.when(t.isNull(), F.lit(None).cast("string"))
         .when(F.startswith(t, F.lit("OBJECT")), F.lit("object"))
@@ -62,12 +69,24 @@ def _failure(message: Column) -> Column:
     return F.struct(F.lit(None).cast("string").alias("data"), message.alias("error"))
 
 
+def last_wins(json: Column) -> Column:
+    """An object whose keys repeat, with the last value of each key; other text as it is."""
+    entries = F.map_entries(F.from_json(json, "map<string,variant>"))
+    once = let(entries, lambda e: F.map_from_entries(F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"]))))
+    repeats = F.try_parse_json(json).isNull() & F.startswith(F.ltrim(json), F.lit("{")) & entries.isNotNull()
+    return F.when(repeats, F.to_json(once)).otherwise(json)
+
+
 def normalize(json: Column, schema: Column) -> Column:
     """struct<data,error>: keep the keys the schema lists, report the required ones that are absent.
 
-    Presence counts, a null value passes. Without a usable schema any value passes as it is.
-    Text that is no JSON gives an error.
+    Presence counts, a null value passes. Without a usable schema any value passes as it is. Of repeated keys the last
+    counts. Text that is no JSON gives an error.
     """
+    return let(last_wins(json), lambda j: _normalize(j, schema))
+
+
+def _normalize(json: Column, schema: Column) -> Column:
     fields = F.from_json(json, "map<string,variant>")
     kept = F.map_filter(fields, lambda k, _: F.array_contains(schema_properties(schema), k))
 
@@ -78,11 +97,9 @@ def normalize(json: Column, schema: Column) -> Column:
         ).otherwise(F.struct(F.to_json(m).alias("data"), F.lit(None).cast("string").alias("error")))
 
     no_schema = schema.isNull() | ~_is_object(schema) | (F.coalesce(F.size(F.json_object_keys(schema)), F.lit(0)) == 0)
+    cause = F.when(F.coalesce(F.btrim(json), F.lit("")) == "", F.lit("no content")).otherwise(F.lit("not a JSON document"))
     return (
-        F.when(
-            F.try_parse_json(json).isNull(),
-            _failure(F.concat(F.lit(PARSE_FAILED), F.coalesce(F.substring(json, 1, 80), F.lit("no content")))),
-        )
+        F.when(F.try_parse_json(json).isNull(), _failure(F.concat(F.lit(PARSE_FAILED), cause)))
         .when(no_schema, F.struct(compact(json).alias("data"), F.lit(None).cast("string").alias("error")))
         .when(~_is_object(json), _failure(F.lit(NOT_AN_OBJECT)))
         .otherwise(let(kept, check))
@@ -178,46 +195,86 @@ def _violation(cond: Column, path: str, rule: str) -> Column:
     return F.when(cond, F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule")))
 
 
+def _is_type(node: Column, want: str) -> Column:
+    """Whether a VARIANT has a JSON Schema type."""
+    if want == "integer":
+        return (kind_of(node) == "number") & F.rlike(F.to_json(node), F.lit(r"^-?[0-9]+$"))
+    return kind_of(node) == want
+
+
+def _literal(value) -> Column:
+    """A literal as compact JSON, written by the same writer as the records."""
+    return F.to_json(F.parse_json(F.lit(dumps(value, ensure_ascii=False))))
+
+
+_FIELDS = "map<string,variant>"
+
+
+def _wrong(key: str, want: str):
+    def test(fields: Column) -> Column:
+        return let(F.try_element_at(fields, F.lit(key)), lambda v: F.coalesce((F.to_json(v) != "null") & ~_is_type(v, want), F.lit(False)))
+
+    return test
+
+
 def _lacks(key: str):
-    return lambda m: ~F.coalesce(F.array_contains(F.map_keys(m), key), F.lit(False))
+    return lambda fields: ~F.coalesce(F.map_contains_key(fields, key), F.lit(False))
+
+
+def _broken(node: Column, path: str, spec: dict) -> list[Column]:
+    """Rules of one property that its VARIANT value breaks; an absent or null value breaks none."""
+    found = []
+    as_json = F.to_json(node)
+    present = F.coalesce(as_json != "null", F.lit(False))
+    want = spec.get("type")
+    if want:
+        found.append(_violation(present & ~_is_type(node, want), path, f"type:{want}"))
+    if "enum" in spec:
+        found.append(_violation(present & ~as_json.isin(*[_literal(v) for v in spec["enum"]]), path, "enum"))
+    if spec.get("format") == "date":
+        value = F.try_variant_get(node, "$", "string")
+        strict = F.rlike(value, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & value.try_cast("date").isNotNull()
+        found.append(_violation(present & ~F.coalesce(strict, F.lit(False)), path, "format:date"))
+    if want == "array":
+        items = F.try_variant_get(node, "$", "array<variant>")
+        if "minItems" in spec:
+            found.append(_violation(F.size(items) < spec["minItems"], path, "minItems"))
+        if "maxItems" in spec:
+            found.append(_violation(F.size(items) > spec["maxItems"], path, "maxItems"))
+        inner = spec.get("items", {})
+        if inner.get("type"):
+            found.append(_violation(F.exists(items, lambda x: ~F.coalesce(_is_type(x, inner["type"]), F.lit(False))), f"{path}[]", f"type:{inner['type']}"))
+        objects = F.transform(items, lambda x: F.from_json(F.to_json(x), _FIELDS))
+        for key in inner.get("required", []):
+            found.append(_violation(F.exists(objects, _lacks(key)), f"{path}[]", f"required:{key}"))
+        for key, sub in inner.get("properties", {}).items():
+            if sub.get("type"):
+                found.append(_violation(F.exists(objects, _wrong(key, sub["type"])), f"{path}[].{key}", f"type:{sub['type']}"))
+    return found
 
 
 def violations(json: Column, schema: dict) -> Column:
     """Array of (path, rule) for keywords that normalisation does not enforce.
 
-    Checked: type, enum, format date, minItems, maxItems, and required keys of array items.
-    An absent or null field breaks no rule.
+    Checked: type, enum of any JSON values, format date, minItems, maxItems, and for array items their type, required
+    keys and property types. An absent or null field breaks no rule; a record is parsed once.
     """
-    found = []
-    for name, spec in schema.get("properties", {}).items():
-        value = F.get_json_object(json, f"$.{name}")
-        node = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant")
-        as_json = F.to_json(node)
-        present = value.isNotNull()
-        want = spec.get("type")
-        if want:
-            is_kind = kind(as_json)
-            ok = is_kind == ("number" if want == "integer" else want)
-            if want == "integer":
-                ok = ok & F.rlike(as_json, F.lit(r"^-?[0-9]+$"))
-            found.append(_violation(present & ~ok, name, f"type:{want}"))
-        if "enum" in spec:
-            found.append(_violation(present & ~value.isin(*spec["enum"]), name, "enum"))
-        if spec.get("format") == "date":
-            strict = F.rlike(value, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & value.try_cast("date").isNotNull()
-            found.append(_violation(present & ~strict, name, "format:date"))
-        if want == "array":
-            items = F.from_json(value, "array<variant>")
-            if "minItems" in spec:
-                found.append(_violation(F.size(items) < spec["minItems"], name, "minItems"))
-            if "maxItems" in spec:
-                found.append(_violation(F.size(items) > spec["maxItems"], name, "maxItems"))
-            for key in spec.get("items", {}).get("required", []):
-                maps = F.from_json(value, "array<map<string,variant>>")
-                found.append(_violation(F.exists(maps, _lacks(key)), f"{name}[]", f"required:{key}"))
-    if not found:
-        return F.array().cast("array<struct<path:string,rule:string>>")
-    return F.array_compact(F.array(*found))
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    properties = schema.get("properties", {})
+    if not properties:
+        return none
+
+    def of(name: str, spec: dict):
+        def rules(node: Column) -> Column:
+            broken = _broken(node, name, spec)
+            return F.array_compact(F.array(*broken)) if broken else none
+
+        return lambda fields: let(F.try_element_at(fields, F.lit(name)), rules)
+
+    def check(fields: Column) -> Column:
+        return F.coalesce(F.flatten(F.array(*[of(name, spec)(fields) for name, spec in properties.items()])), none)
+
+    return let(F.from_json(last_wins(json), _FIELDS), check)
 
 
 _SCALARS = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE", "boolean": "BOOLEAN"}

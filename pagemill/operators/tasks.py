@@ -30,14 +30,11 @@ def providers(spark: SparkSession) -> DataFrame:
 
 
 def resolve_providers(tasks: DataFrame, known: DataFrame) -> DataFrame:
-    """Add ``full_model`` and ``effective_base_url``.
-
-    The provider table has a handful of fixed rows, so it is broadcast.
-    """
+    """Add ``full_model`` and ``effective_base_url``."""
     model = F.col("llm_model")
     own = F.when(F.contains(model, F.lit("/")), model).otherwise(F.concat_ws("/", "llm_provider", model))
     return (
-        tasks.join(F.broadcast(known), F.lower("llm_provider") == F.col("known_provider"), "left")
+        tasks.join(known, F.lower("llm_provider") == F.col("known_provider"), "left")
         .withColumn("full_model", F.when(F.col("known_provider").isNotNull(), F.concat("model_prefix", model)).otherwise(own))
         .withColumn(
             "effective_base_url", F.coalesce(F.nullif(F.col("base_url"), F.lit("")), F.col("default_base_url"))
@@ -81,22 +78,16 @@ def effective_prompt(own: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), default)
 
 
-# Size up to which the template library is broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def resolve_references(tasks: DataFrame, library: DataFrame, column: str, *, schema: bool, library_bytes: int | None = None) -> DataFrame:
+def resolve_references(tasks: DataFrame, library: DataFrame, column: str, *, schema: bool) -> DataFrame:
     """Replace ``@directory/file`` values by the file's content; ``{column}_error`` tells why not.
 
     ``library`` has (dir, file, content). Plain prompts pass, plain-text schemas are an error, JSON
-    objects pass. The library is broadcast only when the caller states a size within the bound.
+    objects pass. Spark picks the join from the library's size. The error texts are fixed values.
     """
     v = F.col(column)
     is_ref = F.startswith(v, F.lit("@"))
     parts = F.split(F.substr(v, F.lit(2)), "/", 2)
     lib = library.select(F.col("dir").alias("lib_dir"), F.col("file").alias("lib_file"), F.col("content").alias("lib_content"))
-    if library_bytes is not None and library_bytes <= BROADCAST_BYTES:
-        lib = F.broadcast(lib)
     staged = tasks.withColumn("ref_dir", F.when(is_ref, F.get(parts, F.lit(0)))).withColumn(
         "ref_file", F.when(is_ref, F.get(parts, F.lit(1)))
     )
@@ -112,7 +103,7 @@ def resolve_references(tasks: DataFrame, library: DataFrame, column: str, *, sch
             is_ref & F.try_parse_json(content).isNull(), F.concat(F.lit("Invalid JSON in schema file "), v)
         ).when(
             ~is_ref & (v != "") & ~F.startswith(F.ltrim(v), F.lit("{")),
-            F.concat(F.lit("Invalid schema format: "), F.substring(v, 1, 50)),
+            F.concat(F.lit("Invalid schema format: "), v),
         )
     return (
         joined.withColumn(f"{column}_error", error)

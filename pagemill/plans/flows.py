@@ -82,9 +82,12 @@ def artifact_sink(spark, sf_dir):
 
 
 def blob_index(spark, sf_dir):
-    """The given files as stored media: which pass a limit of one megabyte."""
-    b = readers.blobs(spark, sf_dir, max_size_mb=1)
-    return b.select("filename", "length", "mime_type")
+    """Pages stored as media files, some of them made large; which pass a limit of one megabyte, with size and type."""
+    out = shared_dir(spark, "media")
+    body = F.when(F.col("page_id") % 50 == 7, F.repeat("html", 400)).otherwise(F.col("html"))
+    table(spark, sf_dir, "pages").select("page_id", body.alias("value")).write.partitionBy("page_id").text(out)
+    b = readers.blobs(spark, out, max_size_mb=1)
+    return b.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "length", "mime_type")
 
 
 def pluggable_extractor(spark, sf_dir):
@@ -132,16 +135,18 @@ def stream_dedup(spark, sf_dir):
 
 
 def stream_dedup_exact(spark, sf_dir):
-    """Events as frontier rows against a registry of the users that purchased."""
-    rows = _event_stream(spark, sf_dir).select(
-        "event_id", text("https://e.example.org/", F.col("user_id")).alias("url"), (F.col("user_id") % 4 != 0).alias("deduplication_enabled")
+    """Events as frontier rows in several micro-batches, against a registry of the users that purchased."""
+    out = shared_dir(spark, "dedup-exact")
+    table(spark, sf_dir, "events").select("event_id", "user_id").repartition(4, "event_id").write.parquet(f"{out}/events")
+    rows = spark.readStream.schema("event_id bigint, user_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{out}/events").select(
+        F.col("event_id").alias("seq"), text("https://e.example.org/", F.col("user_id")).alias("url"),
+        (F.col("user_id") % 4 != 0).alias("deduplication_enabled"),
     )
     known = lambda: table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & (F.col("value") > 100)).select(
         text("https://e.example.org/", F.col("user_id")).alias("url")
     )
-    out = shared_dir(spark, "dedup-exact")
     jobs.dedup_exact(rows, known, f"{out}/data", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/data").select("event_id", "url")
+    return spark.read.parquet(f"{out}/data").groupBy("url", "deduplication_enabled").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_run_monitor(spark, sf_dir):
@@ -182,8 +187,12 @@ UNION ALL SELECT run_date, run_id, 'json', count(*), CAST(sum(length('{{"id":' |
     "stream_page_ingest": f"WITH {page_plans._VERSIONS} SELECT page_id, md5(raw) AS raw_md5, md5(fit) AS fit_md5 FROM used",
     "stream_registry": _REGISTRY,
     "stream_dedup": "SELECT DISTINCT 'https://e.example.org/' || user_id || '/' || event_type AS url FROM events",
-    "stream_dedup_exact": """SELECT event_id, 'https://e.example.org/' || user_id AS url FROM events
-WHERE user_id % 4 = 0 OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)""",
+    "blob_index": """SELECT page_id, n AS length, 'text/plain' AS mime_type
+FROM (SELECT page_id, CAST(strlen(html) * CASE WHEN page_id % 50 = 7 THEN 400 ELSE 1 END + 1 AS BIGINT) AS n FROM pages) WHERE n <= 1048576""",
+    # One row for each new URL; every row of a task without deduplication.
+    "stream_dedup_exact": """SELECT 'https://e.example.org/' || user_id AS url, user_id % 4 <> 0 AS deduplication_enabled,
+  CASE WHEN user_id % 4 <> 0 THEN 1 ELSE count(*) END AS n FROM events
+WHERE user_id % 4 = 0 OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100) GROUP BY user_id""",
     "stream_run_monitor": """SELECT date_trunc('hour', ts) AS window_start, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status,
   count(*) AS n FROM events GROUP BY 1, 2""",
 }

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.sources.readers import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows get costly text work; a scan of one file is spread over the cores."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose rows get costly text work. The scan's own partitions are used: nothing is shuffled for it."""
+    return table(spark, sf_dir, name)
 
 
 def text(*parts):

@@ -14,14 +14,14 @@ def run_counters(spark, sf_dir):
 
 
 def run_stage_summary(spark, sf_dir):
-    a = inputs.attempts(spark, sf_dir)
+    """What each run says about its stages; some runs fetch no page, some extract no record."""
+    n = F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int")
+    a = inputs.attempts(spark, sf_dir).withColumns({
+        "crawl_ok": F.col("crawl_ok") & (n % 10 != 0), "saved": F.col("saved") & (n % 10 != 0), "stage2_success": F.col("stage2_success") & (n % 5 != 0),
+    })
     configured = a.groupBy("run_id").agg(F.bool_or("stage2_enabled").alias("configured"))
     c = ops.counters(a).join(configured, "run_id")
-    # A share of the runs counts no success, to show every wording.
-    n = F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int")
-    successes = F.when(n % 5 == 0, F.lit(0).cast("bigint")).otherwise(F.col("stage2_successes"))
-    failures = F.when(n % 10 == 0, F.lit(0).cast("bigint")).otherwise(F.col("stage2_errors"))
-    return c.select("run_id", ops.stage_label(F.col("documents_created"), successes, failures, F.col("configured")).alias("summary"))
+    return c.select("run_id", ops.stage_label(F.col("documents_created"), F.col("stage2_successes"), F.col("stage2_errors"), F.col("configured")).alias("summary"))
 
 
 def run_errors(spark, sf_dir):
@@ -80,7 +80,7 @@ def run_resource_index(spark, sf_dir):
 
 def run_result_bundle(spark, sf_dir):
     return ops.result_bundle(
-        inputs.shop_runs(spark, sf_dir).where(F.col("status") == "completed"), inputs.shop_documents(spark, sf_dir),
+        inputs.shop_runs(spark, sf_dir), inputs.shop_documents(spark, sf_dir),
         inputs.shop_images(spark, sf_dir), inputs.shop_attachments(spark, sf_dir),
     )
 
@@ -109,7 +109,7 @@ def run_log_paths(spark, sf_dir):
         "run_id", p["minio_path"].alias("minio_path"), p["manifest_path"].alias("manifest_path"),
         F.when(n % 4 != 0, p["logs_path"]).alias("logs_path"),
     )
-    counts = ops.errors(inputs.attempts(spark, sf_dir)).where(n % 3 != 0).groupBy("run_id").agg(F.count(F.lit(1)).alias("total_errors"))
+    counts = ops.errors(inputs.attempts(spark, sf_dir)).groupBy("run_id").agg(F.count(F.lit(1)).alias("total_errors"))
     return ops.log_locations(logged, counts)
 
 
@@ -187,13 +187,15 @@ ORACLES = {
        count(*) FILTER (WHERE NOT crawl_ok) + count(exception) AS urls_failed, count(*) FILTER (WHERE saved) AS documents_created,
        count(DISTINCT CASE WHEN saved THEN url END) AS distinct_documents, count(*) FILTER (WHERE stage2_success) AS stage2_successes,
        count(*) FILTER (WHERE crawl_ok AND stage2_enabled AND NOT stage2_success) AS stage2_errors FROM attempts GROUP BY run_id""",
-    "run_stage_summary": _ATT + f"""SELECT run_id, concat_ws(', ', CASE WHEN docs > 0 THEN 'Stage 1 (crawl4ai cleaning)' END,
-       CASE WHEN n % 5 <> 0 AND s2 > 0 THEN 'Stage 2 (LLM extraction): ' || s2 || ' documents'
-            WHEN configured AND n % 10 <> 0 AND f2 > 0 THEN 'Stage 2: FAILED (' || f2 || ' errors)'
+    "run_stage_summary": _ATT + f""", a AS (SELECT * REPLACE (crawl_ok AND {_N} % 10 <> 0 AS crawl_ok, saved AND {_N} % 10 <> 0 AS saved,
+  stage2_success AND {_N} % 5 <> 0 AS stage2_success) FROM attempts)
+SELECT run_id, concat_ws(', ', CASE WHEN docs > 0 THEN 'Stage 1 (crawl4ai cleaning)' END,
+       CASE WHEN s2 > 0 THEN 'Stage 2 (LLM extraction): ' || s2 || ' documents'
+            WHEN configured AND f2 > 0 THEN 'Stage 2: FAILED (' || f2 || ' errors)'
             WHEN configured THEN 'Stage 2: ENABLED but no output' ELSE 'Stage 2: DISABLED' END) AS summary
-FROM (SELECT run_id, {_N} AS n, count(*) FILTER (WHERE saved) AS docs, count(*) FILTER (WHERE stage2_success) AS s2,
+FROM (SELECT run_id, count(*) FILTER (WHERE saved) AS docs, count(*) FILTER (WHERE stage2_success) AS s2,
              count(*) FILTER (WHERE crawl_ok AND stage2_enabled AND NOT stage2_success) AS f2, bool_or(stage2_enabled) AS configured
-      FROM attempts GROUP BY run_id)""",
+      FROM a GROUP BY run_id)""",
     "run_errors": _ERR + "SELECT run_id, task_id, url, idx, ts, seq, stage, error FROM errors",
     "run_error_log": _ERR + """, totals AS (SELECT run_id, count(*) AS total_errors, count(*) FILTER (WHERE stage = 'crawl') AS crawl_errors,
     count(*) FILTER (WHERE stage = 'stage2') AS stage2_errors, count(*) FILTER (WHERE stage IS NULL) AS unexpected_errors FROM errors GROUP BY run_id)
@@ -227,14 +229,13 @@ UNION ALL {_chunked("ra", "attachments", "id original_url minio_path download_st
 SELECT *, {_N} % 2 = 0 AS error_log_available, CASE WHEN {_N} % 2 = 0 THEN
   strftime(DATE '2024-01-01' + {_N} % 30, '%Y-%m-%d') || '/' || run_id || '/logs/error_log.json' END AS error_log_path FROM parts""",
     "run_result_bundle": _SHOP + f""",
-done AS (SELECT * FROM shop_runs WHERE status = 'completed'),
 ri AS (SELECT i.*, d.run_id FROM shop_images i JOIN shop_documents d ON i.document_id = d.id),
 ra AS (SELECT i.*, d.run_id FROM shop_attachments i JOIN shop_documents d ON i.document_id = d.id),
 parts AS ({_chunked("shop_documents", "documents", "id run_id source_url title markdown_path json_path")}
 UNION ALL {_chunked("ri", "images", "id document_id original_url minio_path download_status")}
 UNION ALL {_chunked("ra", "attachments", "id document_id original_url minio_path download_status")})
-SELECT * FROM parts WHERE run_id IN (SELECT run_id FROM done)
-UNION ALL SELECT run_id, 'run', 0, 1, '[' || CAST(to_json({{'run_id': run_id, 'task_id': task_id, 'status': status, 'logs_path': logs_path}}) AS VARCHAR) || ']' FROM done""",
+SELECT * FROM parts WHERE run_id IN (SELECT run_id FROM shop_runs)
+UNION ALL SELECT run_id, 'run', 0, 1, '[' || CAST(json_merge_patch('{{}}', to_json({{'run_id': run_id, 'task_id': task_id, 'status': status, 'logs_path': logs_path}})) AS VARCHAR) || ']' FROM shop_runs""",
     "run_artifact_labels": _ATT + """SELECT run_id, idx, CASE WHEN NOT saved THEN 'none' ELSE concat_ws(', ', 'raw markdown',
          CASE WHEN idx % 3 <> 0 THEN 'cleaned markdown (Stage 1)' END, CASE WHEN stage2_success THEN 'structured JSON (Stage 2)' END) END AS artifacts,
        CASE WHEN saved THEN p || 'markdown/' || h || '.md' END AS markdown_path,
@@ -243,7 +244,7 @@ UNION ALL SELECT run_id, 'run', 0, 1, '[' || CAST(to_json({{'run_id': run_id, 't
 FROM (SELECT *, strftime(ts, '%Y-%m-%d') || '/' || run_id || '/' AS p, md5(run_id || '|' || url) AS h FROM attempts)""",
     "run_log_paths": with_views(inputs.ATTEMPTS, inputs.ERRORS, inputs.EVENT_RUNS) + f"""
 SELECT run_id, b || '/logs' AS logs_path, b AS minio_path, b || '/logs/run_manifest.json' AS manifest_path,
-       CASE WHEN n % 3 <> 0 AND run_id IN (SELECT run_id FROM errors) THEN b || '/logs/error_log.json' END AS error_log_path
+       CASE WHEN run_id IN (SELECT run_id FROM errors) THEN b || '/logs/error_log.json' END AS error_log_path
 FROM (SELECT run_id, strftime(run_date, '%Y-%m-%d') || '/' || run_id AS b, {_N} AS n FROM event_runs) WHERE n % 4 <> 0""",
     "run_latest_status": """WITH h AS (SELECT 'run-' || user_id AS run_id, ts, event_id,
   CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,

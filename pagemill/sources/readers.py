@@ -17,18 +17,6 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scan of few files over all cores before heavy per-row text work.
-
-    Only a scan with fewer partitions than the cluster has cores is shuffled; a large table keeps
-    its scan partitions and pays nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.rdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def stream_path(path: str) -> str:
     """The path as a pattern that matches only itself: a stream accepts a single file only that way."""
     return f"{path[:-1]}[{path[-1]}]"

@@ -31,6 +31,16 @@ def read_current(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(current_version(spark, base)[1])
 
 
+def remove_batches(spark: SparkSession, out: str, up_to: int) -> None:
+    """Delete the folders ``batch=N`` up to a number. Only names are listed; a folder that is gone already is no error."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) <= up_to:
+            files.delete(status.getPath(), True)
+
+
 def write_by_run(df: DataFrame, path: str, *outer: str) -> None:
     """Write rows below ``run_date=/run_id=`` folders, replacing only the runs in ``df``.
 

@@ -67,11 +67,18 @@ def read_registry(spark: SparkSession, out: str, snapshots: str | None = None) -
     return upsert.merge_registry(spark.read.parquet(path), deltas.where(F.col("batch") > version))
 
 
-def compact_registry(spark: SparkSession, out: str, snapshots: str, first: bool = False) -> None:
-    """Fold all deltas so far into a new snapshot; ``first`` starts the list of snapshots."""
+def compact_registry(spark: SparkSession, out: str, snapshots: str, first: bool = False, keep: int = 1) -> None:
+    """Fold all deltas so far into a new snapshot; ``first`` starts the list of snapshots.
+
+    Deltas that the last ``keep`` snapshots hold already are removed; the newest ``keep`` batches stay as a grace for
+    readers that still go by the snapshot before, and so does the last folder, which carries the columns.
+    """
     last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    before = None if first else tables.current_version(spark, snapshots)[0]
     folded = read_registry(spark, out, None if first else snapshots)
     tables.write_version(folded, snapshots, last)
+    if before is not None:
+        tables.remove_batches(spark, out, min(before, last - keep))
 
 
 def dedup_bounded(urls: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -80,10 +87,22 @@ def dedup_bounded(urls: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 def dedup_exact(frontier_stream: DataFrame, registry, out: str, checkpoint: str) -> None:
-    """Rows whose URL the registry does not know, batch by batch; ``registry()`` gives its current state."""
+    """The first row of every URL that neither the registry nor an earlier batch has, batch by batch.
+
+    ``frontier_stream`` has ``url``, ``deduplication_enabled`` and ``seq`` (its order); rows without deduplication all
+    pass. ``registry()`` gives the known URLs; URLs that earlier batches accepted are read from their own output, so a
+    batch that runs twice sees the same and replaces what it wrote.
+    """
+    spark = frontier_stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        frontier.minus_registry(batch, registry()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        on = F.coalesce(F.col("deduplication_enabled"), F.lit(True))
+        first = batch.where(on).groupBy("url").agg(F.min_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
+        known = registry().select("url")
+        if batch_id:
+            known = known.unionByName(spark.read.parquet(out).where((F.col("batch") < batch_id) & on).select("url"))
+        fresh = frontier.minus_registry(first, known.distinct())
+        fresh.unionByName(batch.where(~on)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     per_batch(frontier_stream, write, checkpoint)
 

@@ -148,3 +148,21 @@ def test_compaction_between_batches(spark, tmp_path):
     assert sorted(map(tuple, jobs.read_registry(spark, out, snaps).collect())) == want
     jobs.compact_registry(spark, out, snaps)
     assert sorted(map(tuple, jobs.read_registry(spark, out, snaps).collect())) == want
+    left = sorted(int(d[6:]) for d in os.listdir(out) if d.startswith("batch="))
+    assert left == [4, 5, 6, 7]  # what the first snapshot held already is gone
+
+
+def test_exact_dedup_over_batches_and_a_repeated_batch(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    ddl = "seq bigint, url string, deduplication_enabled boolean"
+    for part in ([(1, "a", True), (2, "a", True), (3, "b", False)], [(4, "a", True), (5, "b", False), (6, "c", None), (7, "known", True)], [(8, "c", True), (9, "d", True)]):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    known = lambda: spark.createDataFrame([("known",)], "url string")
+    jobs.dedup_exact(stream, known, out, cp)
+    urls = lambda: sorted(r.url for r in spark.read.parquet(out).collect())
+    assert urls() == ["a", "b", "b", "c", "d"]
+    for name in ("2", ".2.crc"):
+        os.remove(f"{cp}/commits/{name}")  # as if the last batch had failed after writing
+    jobs.dedup_exact(stream, known, out, cp)
+    assert urls() == ["a", "b", "b", "c", "d"]

@@ -211,7 +211,7 @@ def test_references(spark):
     assert [(a, b and b.split(":")[0]) for a, b in sorted(got, key=repr)] == sorted(
         [("text", None), ("P", None), (None, "Referenced file not found"), (None, "Invalid directory in reference"), (None, "Invalid file reference format"), (None, None)], key=repr)
     s = spark.createDataFrame([("@schemas/s.json",), ("@schemas/bad.json",), ("plain",), ('{"a":1}',)], "v string")
-    got = {r[0]: r[1] for r in tasks.resolve_references(s.withColumn("w", F.col("v")), lib, "v", schema=True, library_bytes=100).select("w", F.coalesce("v_error", "v")).collect()}
+    got = {r[0]: r[1] for r in tasks.resolve_references(s.withColumn("w", F.col("v")), lib, "v", schema=True).select("w", F.coalesce("v_error", "v")).collect()}
     assert got["@schemas/s.json"] == "{}" and got['{"a":1}'] == '{"a":1}'
     assert got["plain"].startswith("Invalid schema format") and got["@schemas/bad.json"].startswith("Invalid JSON in schema file")
 

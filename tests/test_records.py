@@ -12,8 +12,9 @@ SCHEMA = '{"properties":{"title":{"type":"string"}},"required":["title"]}'
 @pytest.mark.parametrize(
     "raw,schema,data,error",
     [
-        ('{"title":"Hello","error":false}', SCHEMA, '{"title":"Hello"}', None),
-        ('{"error":false}', SCHEMA, None, "Missing required fields: title"),
+        ('{"title":"Red door","shade":7}', SCHEMA, '{"title":"Red door"}', None),
+        ('{"shade":7}', SCHEMA, None, "Missing required fields: title"),
+        ('{"title":1,"shade":7,"title":2}', SCHEMA, '{"title":2}', None),
         ('{"title":null}', SCHEMA, '{"title":null}', None),
         ("[1]", SCHEMA, None, R.NOT_AN_OBJECT), ("3", SCHEMA, None, R.NOT_AN_OBJECT), ("null", SCHEMA, None, R.NOT_AN_OBJECT),
         ("{}", SCHEMA, None, "Missing required fields: title"),
@@ -29,8 +30,8 @@ def test_normalize(spark, raw, schema, data, error):
 
 def test_parse_failure(one):
     assert one("{bad", R.normalize(F.col("t"), F.lit(None).cast("string")))["error"].startswith("JSON parse failed: ")
-    # Duplicate keys are refused by the parser (documented).
-    assert one('{"a":1,"a":2}', R.normalize(F.col("t"), F.lit(None).cast("string")))["error"] is not None
+    assert one(" ", R.normalize(F.col("t"), F.lit(None).cast("string")))["error"] == "JSON parse failed: no content"
+    assert one('{"a":1,"a":2}', R.normalize(F.col("t"), F.lit(None).cast("string")))["data"] == '{"a":2}'
 
 
 DEFAULT = dict(cfg=True, prompt="p", key=True, ok=True, err=None, primary='{"title":"x","y":1}', fallback=None, on=True, html=True, schema=SCHEMA)
@@ -91,6 +92,11 @@ def test_violations_and_typing(one):
     got = {(v.path, v.rule) for v in one(bad, R.violations(F.col("t"), schema))}
     assert got == {("kw", "minItems"), ("d", "format:date"), ("e", "enum"), ("items[]", "required:u"), ("n", "type:integer"), ("free", "type:object")}
     good = '{"kw":["a","b","c"],"d":"2024-01-05","e":"有货","items":[{"u":1}],"n":3,"free":{"a":1}}'
+    odd = {"properties": {"a.b": {"type": "integer"}, "e": {"enum": [1, {"x": [2]}, "q"]}, "l": {"type": "array", "items": {"properties": {"k": {"type": "string"}}}}}}
+    assert one('{"a.b":1,"e":{"x":[2]},"l":[{"k":"v"},{}]}', R.violations(F.col("t"), odd)) == []
+    found = one('{"a.b":"1","e":"1","l":[{"k":3}]}', R.violations(F.col("t"), odd))
+    assert [tuple(v) for v in found] == [("a.b", "type:integer"), ("e", "enum"), ("l[].k", "type:string")]
+    assert one("no json", R.violations(F.col("t"), odd)) == []
     assert one(good, R.violations(F.col("t"), schema)) == [] and one('{"d":null}', R.violations(F.col("t"), schema)) == []
     t = one(good, R.typed(F.col("t"), schema))
     assert (t.kw, str(t.d), t.n) == (["a", "b", "c"], "2024-01-05", 3) and json.loads(t.free.toJson()) == {"a": 1}
