@@ -19,6 +19,9 @@ from pagemill.operators import extract, frontier as urls_ops, pages as page_ops,
 
 NO_PAGE = "No page for this URL"
 
+# Columns that order the rows of one URL in a snapshot, where they are there.
+_ORDER = ("ts", "fetched_at", "page_id")
+
 
 @dataclass
 class Run:
@@ -64,9 +67,12 @@ def run(frontier: DataFrame, registry: DataFrame, pages: DataFrame, kind: str =
     # Whether a fetch worked is told without the HTML, so the search for repeated URLs reads no HTML.
     fetched = F.coalesce("success", F.lit(True)) if "success" in pages.columns else F.lit(True)
     message = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    stored = pages.select("url", "html", fetched.alias("fetched"), message.alias("fetch_error"))
-    joined = todo.join(stored, "url", "left").withColumn("ok", F.coalesce("fetched", F.lit(False)))
-    tried = urls_ops.processed_occurrences(joined)
+    # A snapshot may hold a URL twice: its latest row counts.
+    order = F.struct(*[c for c in _ORDER if c in pages.columns], F.xxhash64("html"))
+    facts = pages.groupBy("url").agg(F.max_by(F.struct(fetched.alias("fetched"), message.alias("fetch_error")), order).alias("p"))
+    narrow = todo.join(facts.select("url", "p.*"), "url", "left").withColumn("ok", F.coalesce("fetched", F.lit(False)))
+    # The HTML is shuffled once, and only joined to the rows that run.
+    tried = urls_ops.processed_occurrences(narrow).join(pages.groupBy("url").agg(F.max_by("html", order).alias("html")), "url", "left")
     limit, none = F.col("content_filter_threshold"), F.lit(None).cast("string")
     selector = page.content_selector(F.col("css_selector"), F.col("content_selector"))["selector"]
     readable = tried.withColumn("html", F.when(F.col("ok"), F.col("html")))

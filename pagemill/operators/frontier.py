@@ -49,20 +49,24 @@ def minus_registry(frontier: DataFrame, registry: DataFrame) -> DataFrame:
     return frontier.withColumn("probe", probe).join(known, F.col("probe") == F.col("known_url"), "left_anti").drop("probe")
 
 
+_SALTS = 16
+
+
 def processed_occurrences(attempts: DataFrame) -> DataFrame:
     """Attempts that really run when a URL repeats inside a run.
 
     With ``deduplication_enabled`` a URL is tried until its first success and later occurrences are
     skipped; without it every occurrence runs. The first success per URL comes from an aggregate
-    with partial combine, so a URL that fills a third of the run is no single-task window; the join
-    back splits on skew.
+    with partial combine, so a URL that fills a third of the run is no single-task window; it is
+    joined back by salts of ``idx``, so a hot URL's rows spread over tasks.
     """
     keys = ["run_id", "url"]
     first_ok = attempts.where("ok AND deduplication_enabled").groupBy(*keys).agg(F.min("idx").alias("first_ok"))
     return (
-        attempts.join(first_ok, keys, "left")
+        attempts.withColumn("salt", F.pmod("idx", F.lit(_SALTS)).cast("int"))
+        .join(first_ok.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), [*keys, "salt"], "left")
         .where(~F.col("deduplication_enabled") | F.col("first_ok").isNull() | (F.col("idx") <= F.col("first_ok")))
-        .drop("first_ok")
+        .drop("first_ok", "salt")
     )
 
 

@@ -102,11 +102,24 @@ def errors(attempts: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 32
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join one narrow row per key to rows of which a key may hold any share.
+
+    The facts are repeated for a fixed number of salts, so a hot key's rows are joined in as many tasks.
+    """
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+
+
 def error_log(error_rows: DataFrame) -> DataFrame:
     """Error log in ordered parts: part ``chunk`` holds the errors of URLs chunk*1000+1 to (chunk+1)*1000.
 
     A URL has at most two errors, so a part is bounded whatever the size of the run; reading the
-    parts by ``chunk`` gives the run's errors in order of occurrence.
+    parts by ``chunk`` gives the run's errors in order of occurrence. Totals are attached to the
+    narrow rows before they are gathered, and a run's parts are dealt to tasks one by one.
     """
     totals = error_rows.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total_errors"),
@@ -114,13 +127,14 @@ def error_log(error_rows: DataFrame) -> DataFrame:
         F.count_if(F.col("stage") == "stage2").alias("stage2_errors"),
         F.count_if(F.col("stage").isNull()).alias("unexpected_errors"),
     )
+    counted = ["total_errors", "crawl_errors", "stage2_errors", "unexpected_errors"]
     item = F.struct("idx", "seq", "ts", "url", "stage", "error")
-    parts = (
-        error_rows.withColumn("chunk", F.floor((F.col("idx") - 1) / CHUNK))
-        .groupBy("run_id", "task_id", "chunk")
+    chunked = attach(error_rows, totals, "run_id", F.col("idx")).withColumn("chunk", F.floor((F.col("idx") - 1) / CHUNK))
+    return (
+        chunked.repartition("run_id", "chunk").groupBy("run_id", "task_id", "chunk", *counted)
         .agg(F.sort_array(F.collect_list(item)).alias("errors"))
+        .select("run_id", "task_id", "chunk", "errors", *counted)
     )
-    return parts.join(totals, "run_id")
 
 
 def first_errors(error_rows: DataFrame, n: int = FIRST_ERRORS) -> DataFrame:
@@ -178,44 +192,46 @@ def orphan_runs(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def in_chunks(rows: DataFrame, group: str, id_col: str, item: Column, size: int = CHUNK) -> DataFrame:
-    """Lists of about ``size`` items per group: ``group, chunk, n_items, items``.
+def in_chunks(rows: DataFrame, group: str, id_col: str, item: Column, size: int = CHUNK, about: DataFrame | None = None) -> DataFrame:
+    """Lists of about ``size`` items per group: ``group, chunk, items`` and the columns of ``about``.
 
-    Rows are spread over ceil(n/size) chunks by a hash of their id, so a group of any size
-    never lands in one task; small groups stay in one list.
+    Rows are spread over ceil(n/size) chunks by a hash of their id, and chunks, not groups, are dealt to tasks; small
+    groups stay in one list. ``about`` has one narrow row per group; groups that it lacks are left out.
     """
     sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("n_chunks"))
+    facts = [] if about is None else [c for c in about.columns if c != group]
+    if about is not None:
+        sizes = sizes.join(about, group)
     h = F.conv(F.substring(F.md5(F.col(id_col)), 1, 8), 16, 10).cast("bigint")
     return (
-        rows.select(group, h.alias("h"), item.alias("item"))
-        .join(sizes, group)
+        attach(rows.select(group, h.alias("h"), item.alias("item")), sizes, group, F.col("h"))
         .withColumn("chunk", F.pmod("h", "n_chunks"))
-        .groupBy(group, "chunk")
+        .repartition(group, "chunk")
+        .groupBy(group, "chunk", *facts)
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
 
 
+def _section(df: DataFrame, name: str, fields: Sequence[str], about: DataFrame) -> DataFrame:
+    facts = [c for c in about.columns if c != "run_id"]
+    return in_chunks(df, "run_id", "id", F.struct(*fields), about=about).select(
+        "run_id", F.lit(name).alias("section"), "chunk", F.size("items").alias("n_items"), F.to_json("items").alias("items"), *facts
+    )
+
+
 def resource_index(documents: DataFrame, images: DataFrame, attachments: DataFrame, error_counts: DataFrame, run_dates: DataFrame) -> DataFrame:
     """Resources of each run in chunks: ``run_id, section, chunk, n_items, items`` (JSON), error-log path."""
-    def section(df: DataFrame, name: str, *fields: str) -> DataFrame:
-        return in_chunks(df, "run_id", "id", F.struct(*fields)).select(
-            "run_id", F.lit(name).alias("section"), "chunk", F.size("items").alias("n_items"),
-            F.to_json("items").alias("items"),
-        )
-
-    res = ("id", "original_url", "minio_path", "download_status")
-    rows = (
-        section(documents, "documents", "id", "source_url", "title", "markdown_path", "json_path")
-        .unionByName(section(run_resources(images, documents), "images", *res))
-        .unionByName(section(run_resources(attachments, documents), "attachments", *res))
-    )
     log = artifact_path(F.col("run_date"), F.col("run_id"), "logs", F.lit("error_log.json"))
+    there = F.coalesce(F.col("total_errors"), F.lit(0)) > 0
+    every = documents.select("run_id").distinct().join(run_dates.select("run_id", "run_date"), "run_id", "left")
+    about = every.join(error_counts.select("run_id", "total_errors"), "run_id", "left").select(
+        "run_id", there.alias("error_log_available"), F.when(there, log).alias("error_log_path")
+    )
+    res = ("id", "original_url", "minio_path", "download_status")
     return (
-        rows.join(error_counts.select("run_id", "total_errors"), "run_id", "left")
-        .join(run_dates.select("run_id", "run_date"), "run_id", "left")
-        .withColumn("error_log_available", F.coalesce(F.col("total_errors"), F.lit(0)) > 0)
-        .withColumn("error_log_path", F.when(F.col("error_log_available"), log))
-        .drop("total_errors", "run_date")
+        _section(documents, "documents", ("id", "source_url", "title", "markdown_path", "json_path"), about)
+        .unionByName(_section(run_resources(images, documents), "images", res, about))
+        .unionByName(_section(run_resources(attachments, documents), "attachments", res, about))
     )
 
 
@@ -229,25 +245,16 @@ def run_resources(children: DataFrame, documents: DataFrame, run_id: str | None
 
 def result_bundle(runs: DataFrame, documents: DataFrame, images: DataFrame, attachments: DataFrame) -> DataFrame:
     """Everything a run produced: its own row, then documents, images and attachments in chunks."""
-    def section(df: DataFrame, name: str, cols: Sequence[str]) -> DataFrame:
-        return in_chunks(df, "run_id", "id", F.struct(*cols)).select(
-            "run_id", F.lit(name).alias("section"), "chunk", F.size("items").alias("n_items"),
-            F.to_json("items").alias("items"),
-        )
-
     known = runs.select("run_id")
     head = runs.select(
         "run_id", F.lit("run").alias("section"), F.lit(0).cast("bigint").alias("chunk"), F.lit(1).alias("n_items"),
         F.to_json(F.array(F.struct(*runs.columns))).alias("items"),
     )
-    parts = [
-        section(documents, "documents", documents.columns),
-        section(run_resources(images, documents), "images", images.columns),
-        section(run_resources(attachments, documents), "attachments", attachments.columns),
-    ]
-    for p in parts:
-        head = head.unionByName(p.join(known, "run_id", "left_semi"))
-    return head
+    return (
+        head.unionByName(_section(documents, "documents", documents.columns, known))
+        .unionByName(_section(run_resources(images, documents), "images", images.columns, known))
+        .unionByName(_section(run_resources(attachments, documents), "attachments", attachments.columns, known))
+    )
 
 
 # --- status, gaps, metrics, logs ------------------------------------------------------------

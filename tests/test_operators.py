@@ -298,3 +298,32 @@ def test_whole_run(spark):
     c = {r.run_id: r for r in runs.counters(result.attempts).collect()}
     assert (c["r2"].urls_crawled, c["r2"].urls_failed, c["r2"].distinct_documents, c["r2"].stage2_errors) == (3, 1, 2, 1)
     assert {(e.run_id, e.stage) for e in runs.errors(result.attempts).collect()} == {("r1", "crawl"), ("r2", "crawl"), ("r2", "stage2")}
+
+
+def test_hot_runs_are_dealt_by_chunk(spark):
+    """Without broadcasts every list is gathered below a shuffle by run and chunk, and no join follows the lists."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit("r").cast("string")).alias("g"), F.col("id").cast("string").alias("i"))
+        c = runs.in_chunks(rows, "g", "i", F.struct("i"), size=100)
+        plan = c._jdf.queryExecution().executedPlan().toString()
+        gathered = plan.index("collect_list")
+        assert "hashpartitioning(g" in plan and "chunk" in plan[plan.index("hashpartitioning(g") :].split(")")[0] and "Join" not in plan[:gathered]
+        assert "salt" in plan
+        assert c.agg(F.sum(F.size("items"))).first()[0] == 5000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_whole_run_takes_the_latest_page(spark):
+    from pagemill.operators import crawl
+
+    pages = spark.createDataFrame([(1, "u", "<h1>old</h1>"), (2, "u", "<h1>new</h1>")], "page_id int, url string, html string")
+    todo = spark.sql(
+        """SELECT 'r' run_id, 't' task_id, 1 idx, 'u' url, timestamp_ntz'2024-01-01' ts, true deduplication_enabled, '' css_selector, CAST(NULL AS STRING) content_selector,
+        0.4d content_filter_threshold, true has_config, 'p' prompt, true has_key, CAST(NULL AS STRING) output_schema, false stage2_fallback_enabled"""
+    )
+    known = spark.createDataFrame([], "url string")
+    got = crawl.run(todo, known, pages).pages.collect()
+    assert [r.raw for r in got] == ["new"] and got[0].crawl_ok
