@@ -61,12 +61,12 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
 
 
 def grow(slot_map: DataFrame, shards: int) -> DataFrame:
-    """The next version with one more shard: every shard keeps slots up to the new mean, the rest move to the new one."""
+    """The next version with one more shard: every shard keeps slots up to the new mean (to the nearest slot), the rest move."""
     by_slot = Window.partitionBy("shard").orderBy(F.xxhash64("virtual_slot"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     mean = F.sum("bytes").over(Window.partitionBy()) / (shards + 1)
     return slot_map.select(
         (F.col("version") + 1).alias("version"), "virtual_slot",
-        F.when(F.sum("bytes").over(by_slot) <= mean, F.col("shard")).otherwise(F.lit(shards)).alias("shard"), "bytes",
+        F.when(F.sum("bytes").over(by_slot) - F.col("bytes") / 2 <= mean, F.col("shard")).otherwise(F.lit(shards)).alias("shard"), "bytes",
     )
 
 
