@@ -11,12 +11,31 @@ from pagemill.plans.inputs import heavy, table, text
 
 
 
+def _rich(pages):
+    """Pages with what the given ones lack: metadata, links to other hosts and to mail, players, and pages of links only."""
+    i = F.col("page_id")
+    ad = F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1)
+    meta = F.concat(
+        F.lit("<head>"), F.when(i % 3 == 0, F.concat(F.lit('<meta name="description" content="'), ad, F.lit('">'))).otherwise(F.lit("")),
+        F.when(i % 4 == 0, F.lit('<meta name="keywords" content="one, two，three">')).otherwise(F.lit("")),
+        F.when(i % 5 == 0, F.lit('<meta name="author" content="A. Writer">')).otherwise(F.lit("")),
+        F.when(i % 5 == 1, F.lit('<meta property="article:published_time" content="2024-2-3">')).otherwise(F.lit("")),
+    )
+    link = F.when(i % 4 == 1, F.lit("https://other.example.org/")).when(i % 4 == 2, F.lit("mailto:a@b.example?")).otherwise(F.lit("/"))
+    players = F.concat(
+        F.repeat(F.lit('<video src="/v.mp4"></video>'), (i % 3).cast("int")), F.repeat(F.lit('<audio><source src="/a.mp3"></audio>'), (i % 2).cast("int")), F.lit("<footer>")
+    )
+    rich = F.replace(F.replace(F.replace("html", F.lit("<head>"), meta), F.lit('<nav><ul><li><a href="/'), F.concat(F.lit('<nav><ul><li><a href="'), link)), F.lit("<footer>"), players)
+    links_only = F.concat(F.lit('<html><body><p><a href="/q">'), F.coalesce(F.nullif(ad, F.lit("")), F.lit("q")), F.lit("</a></p></body></html>"))
+    return pages.withColumn("html", F.when(i % 11 == 6, links_only).otherwise(rich))
+
+
 def page_clean_text(spark, sf_dir):
     return heavy(spark, sf_dir, "pages").select("page_id", markup.clean_text(F.col("html")).alias("clean"))
 
 
 def page_raw_vs_clean(spark, sf_dir):
-    v = ops.text_versions(heavy(spark, sf_dir, "pages"))
+    v = ops.text_versions(_rich(heavy(spark, sf_dir, "pages")))
     raw, fit = F.col("raw"), F.col("fit")
     return v.select(
         "page_id", F.length(raw).alias("raw_len"), F.length(fit).alias("fit_len"), F.md5(raw).alias("raw_md5"),
@@ -55,17 +74,17 @@ def page_density_prune(spark, sf_dir):
 
 
 def page_metadata(spark, sf_dir):
-    m = ops.with_canon(heavy(spark, sf_dir, "pages")).select("page_id", page.metadata(F.col("canon")).alias("m"))
+    m = ops.with_canon(_rich(heavy(spark, sf_dir, "pages"))).select("page_id", page.metadata(F.col("canon")).alias("m"))
     return m.select("page_id", "m.title", "m.description", "m.language", F.size("m.keywords").alias("n_keywords"))
 
 
 def page_links(spark, sf_dir):
-    return ops.links(heavy(spark, sf_dir, "pages")).drop("url")
+    return ops.links(_rich(heavy(spark, sf_dir, "pages"))).drop("url")
 
 
 def host_link_stats(spark, sf_dir):
     """Link and media counts per host of the page."""
-    links = ops.links(heavy(spark, sf_dir, "pages"))
+    links = ops.links(_rich(heavy(spark, sf_dir, "pages")))
     return links.groupBy(urls.host(F.col("url")).alias("host")).agg(
         F.count(F.lit(1)).alias("links"),
         F.count_if(F.col("kind") == "internal").alias("internal"),
@@ -99,7 +118,7 @@ def page_media(spark, sf_dir):
 
 
 def page_media_counts(spark, sf_dir):
-    return ops.media_counts(_pictured(spark, sf_dir)).drop("url")
+    return ops.media_counts(_rich(_pictured(spark, sf_dir))).drop("url")
 
 
 def page_stage2_input(spark, sf_dir):
@@ -123,7 +142,7 @@ def url_canonical(spark, sf_dir):
 
 
 def page_article_records(spark, sf_dir):
-    p = extract.extract_by_rules(ops.with_canon(heavy(spark, sf_dir, "pages")), "article")
+    p = extract.extract_by_rules(ops.with_canon(_rich(heavy(spark, sf_dir, "pages"))), "article")
     g = lambda k: F.get_json_object("record", f"$.{k}").alias(k)
     return p.select("page_id", g("title"), g("author"), g("published_date"), g("content"), F.get_json_object("record", "$.keywords").alias("keywords"))
 
@@ -227,7 +246,9 @@ _LINKS = rf"""
 tags AS (SELECT page_id, url, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM (
   SELECT page_id, url, regexp_extract_all({q.without("html", "script", "style")}, '(?s)<a\s+href="[^"]*">.*?</a>') AS ts FROM pages)),
 links AS (SELECT page_id, url, pos, {q.decoded("regexp_extract(t, 'href=\"([^\"]*)\"', 1)")} AS href, {q.inline("t")} AS text FROM tags),
-resolved AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS absolute FROM links)"""
+resolved AS (SELECT *, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE href END AS absolute FROM links),
+kinds AS (SELECT *, CASE WHEN absolute NOT LIKE 'http%' THEN 'other' WHEN lower(regexp_extract(absolute, '^[a-z]+://([^/?#:]*)', 1)) = """ + q.HOST + """ THEN 'internal'
+  ELSE 'external' END AS kind FROM resolved)"""
 
 # First article element with everything inside; pages cut off before its end run to the end.
 _ARTICLE = r"""regexp_extract(html2, '(?s)(<article[\s>].*?)(</article>|$)', 1)"""
@@ -241,6 +262,19 @@ def _tidy(expr: str) -> str:
 
 
 _BODY = _tidy(f"coalesce({q.to_text(q.without(_ARTICLE, *q.CLEAN_TAGS))}, '')")
+# The pages of _rich.
+_AD = """regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)"""
+_RICH = rf"""rich AS (SELECT page_id, url, CASE WHEN page_id % 11 = 6
+    THEN '<html><body><p><a href="/q">' || coalesce(nullif({_AD}, ''), 'q') || '</a></p></body></html>'
+    ELSE replace(replace(replace(html, '<head>', '<head>' || CASE WHEN page_id % 3 = 0 THEN '<meta name="description" content="' || {_AD} || '">' ELSE '' END
+      || CASE WHEN page_id % 4 = 0 THEN '<meta name="keywords" content="one, two，three">' ELSE '' END
+      || CASE WHEN page_id % 5 = 0 THEN '<meta name="author" content="A. Writer">' WHEN page_id % 5 = 1 THEN '<meta property="article:published_time" content="2024-2-3">' ELSE '' END),
+      '<nav><ul><li><a href="/', '<nav><ul><li><a href="' || CASE page_id % 4 WHEN 1 THEN 'https://other.example.org/' WHEN 2 THEN 'mailto:a@b.example?' ELSE '/' END),
+      '<footer>', repeat('<video src="/v.mp4"></video>', page_id % 3) || repeat('<audio><source src="/a.mp3"></audio>', page_id % 2) || '<footer>') END AS html FROM pages),
+"""
+_meta = lambda name: q.decoded(f"""nullif(trim(regexp_extract(html, '<meta (name|property)="{name}" content="([^"]*)"', 2)), '')""")
+_over_rich = lambda sql: "WITH " + _RICH + sql.removeprefix("WITH ").replace("FROM pages", "FROM rich")
+_count_of = lambda tag: f"CAST((length(html) - length(replace(html, '{tag}', ''))) // {len(tag)} AS INTEGER)"
 _REDUCTION = "CASE WHEN length(raw) > 0 THEN (length(raw) - length(fit)) / length(raw) END"
 _VERSIONS = f"""{q.DENSE},
 versions AS (
@@ -255,10 +289,10 @@ images AS (SELECT page_id, url, pos,
 
 ORACLES = {
     "page_clean_text": f"SELECT page_id, {q.CLEAN} AS clean FROM pages",
-    "page_raw_vs_clean": f"""WITH {_VERSIONS}
+    "page_raw_vs_clean": _over_rich(f"""WITH {_VERSIONS}
 SELECT page_id, CAST(length(raw) AS INTEGER) AS raw_len, CAST(length(fit) AS INTEGER) AS fit_len, md5(raw) AS raw_md5, md5(fit) AS fit_md5,
        round({_REDUCTION}, 6) AS reduction, {_REDUCTION} < 0.05 AS ineffective,
-       coalesce(dense_fit, '') = '' AND raw <> '' AND clean IS NOT NULL AS fallback_used FROM used""",
+       coalesce(dense_fit, '') = '' AND raw <> '' AND clean IS NOT NULL AS fallback_used FROM used"""),
     "host_cleaning_stats": f"""WITH s AS (
   SELECT {q.HOST} AS host, coalesce(length({q.RAW}), 0) AS r, coalesce(length({q.CLEAN}), 0) AS c FROM pages)
 SELECT host, count(*) AS pages, CAST(sum(r) AS BIGINT) AS raw_chars, CAST(sum(c) AS BIGINT) AS clean_chars,
@@ -274,11 +308,11 @@ SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'css_selector (backward compatibili
          ELSE 'heuristic with prioritized default candidates' END AS reason,
        element <> '' AS found, {q.to_text("CASE WHEN element <> '' THEN element ELSE html2 END")} AS content FROM e""",
     "page_density_prune": f"WITH {q.DENSE} SELECT p.page_id, fit FROM pages p LEFT JOIN dense USING (page_id)",
-    "page_metadata": f"""SELECT page_id, nullif({_TITLE}, '') AS title, CAST(NULL AS VARCHAR) AS description,
-       regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 0 AS n_keywords FROM pages""",
-    "page_links": f"WITH {_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, href, text, absolute, 'internal' AS kind FROM resolved",
-    "host_link_stats": f"""WITH {_LINKS} SELECT {q.HOST} AS host, count(*) AS links, count(*) AS internal,
-       CAST(0 AS BIGINT) AS external, count(DISTINCT absolute) AS distinct_targets FROM resolved GROUP BY 1""",
+    "page_metadata": f"""WITH {_RICH.rstrip().rstrip(",")} SELECT page_id, nullif({_TITLE}, '') AS title, {_meta("description")} AS description,
+       nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, CAST(len(regexp_split_to_array({_meta("keywords")}, '[,，]')) AS INTEGER) AS n_keywords FROM rich""".replace("CAST(len(", "CAST(coalesce(len(").replace("'[,，]'))", "'[,，]')), 0)"),
+    "page_links": _over_rich(f"WITH {_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, href, text, absolute, kind FROM kinds"),
+    "host_link_stats": _over_rich(f"""WITH {_LINKS} SELECT {q.HOST} AS host, count(*) AS links, count(*) FILTER (WHERE kind = 'internal') AS internal,
+       count(*) FILTER (WHERE kind = 'external') AS external, count(DISTINCT absolute) AS distinct_targets FROM kinds GROUP BY 1"""),
     "page_media": f"""WITH {_IMAGES},
 s AS (SELECT *, length(original_url) % 2 = 0 AND length(original_url) * 20000 <= 1048576 AS fetched,
              page_id % 5 = 0 AS downloaded, page_id % 3 <> 0 AS fallback FROM images),
@@ -288,8 +322,8 @@ SELECT 'doc-' || page_id AS document_id, 'run-' || (page_id % 7) AS run_id, CAST
        CASE WHEN st = 'success' THEN '2024-01-02/run-' || (page_id % 7) || '/images/' || regexp_extract(original_url, '([^/]*)\\?w=1$', 1) END AS minio_path,
        CASE WHEN m = 'fallback' THEN CAST(length(original_url) * 20000 AS BIGINT) END AS size_bytes,
        CASE WHEN m = 'fallback' THEN 'image/png' END AS mime_type, st AS download_status, m AS download_method FROM t""",
-    "page_media_counts": f"""WITH {_IMAGES} SELECT p.page_id, CAST(count(i.page_id) AS INTEGER) AS images, 0 AS videos, 0 AS audios
-FROM pages p LEFT JOIN images i USING (page_id) GROUP BY p.page_id""",
+    "page_media_counts": f"""WITH {_RICH.rstrip().rstrip(",")} SELECT page_id, CASE WHEN page_id % 11 = 6 THEN 0 ELSE len(regexp_extract_all(html, '<li><a href="/[^"]*">[^<]*</a></li>'))
+  + len(regexp_extract_all(html, '<li><a href="[hm][^"]*">[^<]*</a></li>')) END AS images, {_count_of("<video ")} AS videos, {_count_of("<source ")} AS audios FROM rich""",
     "page_stage2_input": f"""WITH {_VERSIONS},
 c AS (SELECT page_id, CASE WHEN page_id % 4 = 1 THEN NULL ELSE fit END AS f, CASE WHEN page_id % 8 = 5 THEN NULL ELSE raw END AS r FROM used)
 SELECT page_id, CASE WHEN f IS NOT NULL THEN 'cleaned' WHEN r IS NOT NULL THEN 'raw' ELSE 'none' END AS source,
@@ -303,9 +337,11 @@ SELECT page_id, host, CASE WHEN last <> '' THEN last ELSE 'resource_' || substr(
        origin || '/a/c?x=1' AS r_root, origin || regexp_replace(dir, '[^/]*/$', '') || 'up/x.pdf' AS r_up, origin || dir || 'name' AS r_name,
        bare || '?q=2' AS r_query, nofrag || '#f' AS r_fragment, scheme || '//cdn.example.org/p' AS r_scheme,
        'https://other.example.org/z' AS r_full FROM d""",
-    "page_article_records": f"""WITH p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages)
-SELECT page_id, coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS title, 'Unknown' AS author,
-       CAST(NULL AS VARCHAR) AS published_date, nullif({_BODY}, '') AS content, '[]' AS keywords FROM p""",
+    "page_article_records": _over_rich(f"""WITH p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages)
+SELECT page_id, coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS title, coalesce({_meta("author")}, 'Unknown') AS author,
+       CASE WHEN {_meta("article:published_time")} IS NOT NULL THEN '2024-02-03' END AS published_date,
+       nullif(CASE WHEN page_id % 11 = 6 THEN {_tidy(f"coalesce({q.to_text('html')}, '')")} ELSE {_BODY} END, '') AS content,
+       CASE WHEN {_meta("keywords")} IS NULL THEN '[]' ELSE '["one","two","three"]' END AS keywords FROM p"""),
     "page_list_records": f"""WITH {_LINKS},
 n AS (SELECT page_id, count(*) FILTER (WHERE text <> '' AND href <> '') AS total,
              max(absolute) FILTER (WHERE pos = 1) AS first_url, max({_tidy("text")}) FILTER (WHERE pos = 6) AS sixth_title FROM resolved GROUP BY page_id)
