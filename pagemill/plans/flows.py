@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markup
 from pagemill.operators import extract, frontier, tasks as task_ops, upsert
-from pagemill.plans import pages as page_plans, sqltext as q
+from pagemill.operators import runs as run_ops
+from pagemill.plans import inputs, pages as page_plans, sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 from pagemill.session import shared_dir
 from pagemill.sources import readers, schemas, tables
@@ -90,6 +91,44 @@ def blob_index(spark, sf_dir):
     return b.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "length", "mime_type")
 
 
+def library_read(spark, sf_dir):
+    """A template per nation, written as text files and read back as a library."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(
+        F.concat_ws("\n", F.lit("Suppliers:"), F.array_sort(F.collect_list("s_name"))).alias("value")
+    )
+    out = shared_dir(spark, "library")
+    rows.write.partitionBy("n_name").text(out)
+    return readers.library(spark, out).select("dir", F.md5(F.rtrim("content", F.lit("\n"))).alias("content_md5"))
+
+
+def run_logs_written(spark, sf_dir):
+    """Manifests, counters and error logs of all runs below their folders, counted from the written files."""
+    a = inputs.attempts(spark, sf_dir)
+    runs = inputs.event_runs(spark, sf_dir)
+    dates = runs.select("run_id", "run_date")
+    manifests = run_ops.manifest(runs, inputs.event_tasks(spark, sf_dir), run_ops.counters(a), run_ops.errors(a)).join(dates, "run_id")
+    index = run_ops.counters(a).join(dates, "run_id").select("run_id", "run_date", "documents_created")
+    log = run_ops.error_log(run_ops.errors(a)).join(dates, "run_id").select("run_id", "run_date", "chunk", F.size("errors").alias("n"))
+    out = shared_dir(spark, "run-logs")
+    tables.write_run_logs(manifests, index, log, out)
+    read = lambda kind, n: spark.read.parquet(f"{out}/{kind}").groupBy("run_date", "run_id").agg(n.alias("n")).withColumn("kind", F.lit(kind))
+    return (
+        read("run_manifest", F.count(F.lit(1))).unionByName(read("resource_index", F.sum("documents_created"))).unionByName(read("error_log", F.sum("n")))
+        .select("kind", F.col("run_date").cast("date").alias("run_date"), "run_id", F.col("n").cast("bigint").alias("n"))
+    )
+
+
+def resource_view(spark, sf_dir):
+    """The listing of images: its columns only, of a table that has more."""
+    none = F.lit(None).cast("string")
+    wide = inputs.shop_images(spark, sf_dir).select(
+        "*", none.alias("alt_text"), F.length("original_url").cast("bigint").alias("size_bytes"), F.lit("image/png").alias("mime_type"),
+        none.alias("download_method"), F.lit("2024-01-02").cast("timestamp_ntz").alias("created_at"), F.lit("x").alias("internal_note"),
+    )
+    return schemas.view(wide, "image")
+
+
 def pluggable_extractor(spark, sf_dir):
     """A user function over batches of cleaned text; rows it refuses become error rows."""
     p = heavy(spark, sf_dir, "pages").select(
@@ -159,7 +198,8 @@ def stream_run_monitor(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        task_export_import, task_yaml_round_trip, registry_snapshots, artifact_sink, blob_index, pluggable_extractor, stream_page_ingest,
+        task_export_import, task_yaml_round_trip, registry_snapshots, artifact_sink, blob_index, library_read, run_logs_written, resource_view,
+        pluggable_extractor, stream_page_ingest,
         stream_registry, stream_dedup, stream_dedup_exact, stream_run_monitor,
     )
 }
@@ -189,6 +229,15 @@ UNION ALL SELECT run_date, run_id, 'json', count(*), CAST(sum(length('{{"id":' |
     "stream_dedup": "SELECT DISTINCT 'https://e.example.org/' || user_id || '/' || event_type AS url FROM events",
     "blob_index": """SELECT page_id, n AS length, 'text/plain' AS mime_type
 FROM (SELECT page_id, CAST(strlen(html) * CASE WHEN page_id % 50 = 7 THEN 400 ELSE 1 END + 1 AS BIGINT) AS n FROM pages) WHERE n <= 1048576""",
+    "library_read": """SELECT 'n_name=' || n_name AS dir, md5('Suppliers:' || chr(10) || string_agg(s_name, chr(10) ORDER BY s_name)) AS content_md5
+FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
+    "run_logs_written": inputs.with_views(inputs.ATTEMPTS, inputs.ERRORS, inputs.EVENT_RUNS) + """
+SELECT 'run_manifest' AS kind, run_date, run_id, CAST(1 AS BIGINT) AS n FROM event_runs
+UNION ALL SELECT 'resource_index', run_date, run_id, count(*) FILTER (WHERE saved) FROM event_runs JOIN attempts USING (run_id) GROUP BY run_date, run_id
+UNION ALL SELECT 'error_log', run_date, run_id, count(*) FROM event_runs JOIN errors USING (run_id) GROUP BY run_date, run_id""",
+    "resource_view": inputs.with_views(inputs.SHOP_IMAGES) + """SELECT id, document_id, original_url, minio_path, CAST(NULL AS VARCHAR) AS alt_text,
+  CAST(length(original_url) AS BIGINT) AS size_bytes, 'image/png' AS mime_type, download_status, CAST(NULL AS VARCHAR) AS download_method,
+  TIMESTAMP '2024-01-02' AS created_at FROM shop_images""",
     # One row for each new URL; every row of a task without deduplication.
     "stream_dedup_exact": """SELECT 'https://e.example.org/' || user_id AS url, user_id % 4 <> 0 AS deduplication_enabled,
   CASE WHEN user_id % 4 <> 0 THEN 1 ELSE count(*) END AS n FROM events
