@@ -76,11 +76,12 @@ def run(frontier: DataFrame, registry: DataFrame, pages: DataFrame, kind: str =
     limit, none = F.col("content_filter_threshold"), F.lit(None).cast("string")
     selector = page.content_selector(F.col("css_selector"), F.col("content_selector"))["selector"]
     readable = tried.withColumn("html", F.when(F.col("ok"), F.col("html")))
-    marked = page_ops.text_versions(readable, limit, selector, keep_canon=True)
+    marked = page_ops.text_versions(readable, limit, selector, keep_canon=True, keep_part=True)
+    own = F.when(selector != page.DEFAULT_SELECTOR, F.col("part"))
     c, url = F.col("canon"), F.col("url")
     answered = (
         marked.withColumn("metadata", page.metadata(c))
-        .withColumn("primary", F.when(F.col("ok"), extract.EXTRACTORS[kind](c, url)))
+        .withColumn("primary", F.when(F.col("ok"), extract.EXTRACTORS[kind](c, url, own)))
         .withColumn("fallback", none if second is None else second(c, url))
     )
     source = page_ops.stage2_input(F.col("raw"), F.col("fit"), F.col("fit_html"), F.col("html"), F.col("html"))

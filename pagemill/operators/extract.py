@@ -49,9 +49,9 @@ def _author(c: Column) -> Column:
     return values.author_or_unknown(found, F.coalesce(page.language(c), F.lit("")))
 
 
-def _body(c: Column) -> Column:
-    """Main content on one line: the selected element, else the page without its skip regions."""
-    chosen = F.coalesce(page.select_default(c), c)
+def _body(c: Column, part: Column | None = None) -> Column:
+    """Main content on one line: the given part or the default element, else the page without its skip regions."""
+    chosen = F.coalesce(*([] if part is None else [part]), page.select_default(c), c)
     return none_if_empty(values.tidy(F.coalesce(markup.to_text(markup.drop_regions(chosen)), F.lit(""))))
 
 
@@ -96,18 +96,18 @@ def _pairs(c: Column) -> Column:
     return let(said, lambda s: F.map_filter(F.aggregate(s, start, step)["m"], lambda _, v: v != ""))
 
 
-def article(c: Column, url: Column) -> Column:
+def article(c: Column, url: Column, part: Column | None = None) -> Column:
     return F.to_json(
         F.struct(
             _heading(c).alias("title"), _author(c).alias("author"), _date(c).alias("published_date"),
-            _body(c).alias("content"), page.keywords(c).alias("keywords"),
+            _body(c, part).alias("content"), page.keywords(c).alias("keywords"),
         )
     )
 
 
-def list_page(c: Column, url: Column) -> Column:
+def list_page(c: Column, url: Column, part: Column | None = None) -> Column:
     items = F.transform(
-        F.filter(page.anchors(c), lambda a: (a["text"] != "") & (a["href"] != "")),
+        F.filter(page.anchors(c if part is None else F.coalesce(part, c)), lambda a: (a["text"] != "") & (a["href"] != "")),
         lambda a: F.struct(values.tidy(a["text"]).alias("title"), urls.resolve(url, a["href"]).alias("url")),
     )
     return let(
@@ -116,7 +116,7 @@ def list_page(c: Column, url: Column) -> Column:
     )
 
 
-def product(c: Column, url: Column) -> Column:
+def product(c: Column, url: Column, part: Column | None = None) -> Column:
     price = F.coalesce(_by_class(c, "price"), page.meta_content(c, "product:price:amount"))
     return F.to_json(
         F.struct(
@@ -128,7 +128,7 @@ def product(c: Column, url: Column) -> Column:
     )
 
 
-def paper(c: Column, url: Column) -> Column:
+def paper(c: Column, url: Column, part: Column | None = None) -> Column:
     authors = F.filter(
         F.transform(
             F.filter(markup.tags_of(c, "meta"), lambda t: F.lower(markup.attribute(t, "name", False)) == "citation_author"),
@@ -146,20 +146,21 @@ def paper(c: Column, url: Column) -> Column:
     )
 
 
-def detail(c: Column, url: Column) -> Column:
+def detail(c: Column, url: Column, part: Column | None = None) -> Column:
     pictures = F.transform(
         F.filter(page.images(c), lambda i: F.coalesce(i["src"], F.lit("")) != ""), lambda i: urls.resolve(url, i["src"])
     )
     return F.to_json(
         F.struct(
             _heading(c).alias("title"), values.price_text(_by_class(c, "price")).alias("price"),
-            _body(c).alias("description"), _pairs(c).alias("specifications"), _date(c).alias("published_date"),
+            _body(c, part).alias("description"), _pairs(c).alias("specifications"), _date(c).alias("published_date"),
             _author(c).alias("author"), pictures.alias("images"),
         )
     )
 
 
-EXTRACTORS: dict[str, Callable[[Column, Column], Column]] = {
+# Of a page and its URL; a part that a task selected takes the place of the default main content.
+EXTRACTORS: dict[str, Callable[..., Column]] = {
     "article": article, "list_page": list_page, "product": product, "paper": paper, "detail": detail,
 }
 

@@ -23,9 +23,9 @@ def needs_fallback(raw: Column, fit: Column) -> Column:
 
 
 def text_versions(
-    pages: DataFrame, threshold: Column | None = None, selector: Column | None = None, keep_canon: bool = False
+    pages: DataFrame, threshold: Column | None = None, selector: Column | None = None, keep_canon: bool = False, keep_part: bool = False
 ) -> DataFrame:
-    """Add ``raw``, ``fit``, ``fit_html`` and ``fallback_used``; ``canon`` of the whole page on request.
+    """Add ``raw``, ``fit``, ``fit_html`` and ``fallback_used``; on request ``canon`` of the whole page and of the selected part.
 
     ``fit`` is the dense text; where pruning leaves nothing, the region-free text stands in. With a
     selector both versions come from the selected element, or the whole page if there is none.
@@ -45,7 +45,7 @@ def text_versions(
         .withColumn("fit", F.coalesce(F.col("dense.fit"), F.col("fallback")))
         .withColumn("fit_html", F.col("dense.fit_html"))
         .withColumn("fallback_used", F.col("fallback").isNotNull())
-        .drop("part", "dense", "fallback", *([] if keep_canon else ["canon"]))
+        .drop("dense", "fallback", *([] if keep_part else ["part"]), *([] if keep_canon else ["canon"]))
     )
 
 

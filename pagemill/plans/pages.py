@@ -217,7 +217,7 @@ def crawl_run(spark, sf_dir):
     todo = rows.select(
         text("run-", i % 10).alias("run_id"), text("task-", i % 5).alias("task_id"), (i * 2 + F.length("suffix") + 1).alias("idx"),
         F.concat("url", "suffix").alias("url"), F.lit("2024-01-02").cast("timestamp_ntz").alias("ts"), (i % 10 != 3).alias("deduplication_enabled"),
-        F.lit("").alias("css_selector"), F.lit(None).cast("string").alias("content_selector"), F.lit(0.4).alias("content_filter_threshold"),
+        F.when(i % 20 == 8, F.lit("div.ad")).otherwise(F.lit("")).alias("css_selector"), F.when(i % 10 == 7, F.lit("h1")).alias("content_selector"), F.lit(0.4).alias("content_filter_threshold"),
         (i % 10 != 4).alias("has_config"), F.lit("p").alias("prompt"), F.lit(True).alias("has_key"), schema.alias("output_schema"),
         (i % 4 != 1).alias("stage2_fallback_enabled"),
     )
@@ -360,8 +360,10 @@ p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM
 SELECT page_id, coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS title, 'Unknown' AS author,
        original_url AS first_image, md5(nullif({_BODY}, '')) AS description_md5 FROM p LEFT JOIN f USING (page_id)""",
     "crawl_run": f"""WITH p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages),
-c AS (SELECT page_id, nullif({_TITLE}, '') AS title, {q.to_text(_ARTICLE)} AS raw, nullif({_BODY}, '') AS body,
-             coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS head FROM p),
+e AS (SELECT *, CASE WHEN page_id % 20 = 8 THEN regexp_extract(html2, '(?s)(<div class="ad">.*?</div>)', 1)
+        WHEN page_id % 10 = 7 THEN regexp_extract(html2, '(?s)(<h1>.*?</h1>)', 1) ELSE {_ARTICLE} END AS part FROM p),
+c AS (SELECT page_id, nullif({_TITLE}, '') AS title, {q.to_text("part")} AS raw, nullif({_tidy(f"coalesce({q.to_text(q.without('part', *q.CLEAN_TAGS))}, '')")}, '') AS body,
+             coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS head FROM e),
 t AS (SELECT page_id, false AS missing FROM pages WHERE page_id % 7 <> 0 OR page_id % 10 = 3
       UNION ALL SELECT page_id, true FROM pages WHERE page_id % 9 = 0),
 r AS (SELECT *, page_id % 10 <> 4 AS en, page_id % 10 NOT IN (4, 5) AND NOT missing AS good FROM t JOIN c USING (page_id))
