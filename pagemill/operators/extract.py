@@ -174,8 +174,8 @@ def extract_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], atte
     """Run a batch extractor over (run_id, url, content, prompt, schema).
 
     ``fn`` takes one Arrow batch as a pandas frame and returns ``raw_content`` and ``error`` per
-    row, in order. If it raises, its batch is retried row by row, so one bad row becomes an error
-    row and never a failed job.
+    row, in order. If it raises, the batch is halved until the rows that fail stand alone; those become
+    error rows, never a failed job. So few rows are handed over twice.
     """
 
     def run(batch: pd.DataFrame) -> tuple[list, list]:
@@ -184,19 +184,19 @@ def extract_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], atte
             raise ValueError("extractor must return one row per input row")
         return list(out["raw_content"]), list(out["error"])
 
+    def halved(batch: pd.DataFrame) -> tuple[list, list]:
+        try:
+            return run(batch)
+        except Exception as ex:  # noqa: BLE001 - user code, reported per row
+            if len(batch) == 1:
+                return [None], [str(ex)]
+            middle = len(batch) // 2
+            first, second = halved(batch.iloc[:middle]), halved(batch.iloc[middle:])
+            return first[0] + second[0], first[1] + second[1]
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            try:
-                raw, err = run(batch)
-            except Exception:  # noqa: BLE001 - user code, reported per row below
-                raw, err = [], []
-                for i in range(len(batch)):
-                    try:
-                        r, e = run(batch.iloc[i : i + 1])
-                    except Exception as ex:  # noqa: BLE001
-                        r, e = [None], [str(ex)]
-                    raw += r
-                    err += e
+            raw, err = halved(batch) if len(batch) else ([], [])
             yield pd.DataFrame(
                 {"run_id": batch["run_id"], "url": batch["url"], "attempt": attempt, "raw_content": raw, "error": err}
             )
@@ -204,11 +204,18 @@ def extract_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], atte
     return df.select("run_id", "url", "content", "prompt", "schema").mapInPandas(batches, EXTRACTED)
 
 
-def with_attempts(pages: DataFrame, outputs: DataFrame) -> DataFrame:
+def with_attempts(pages: DataFrame, outputs: DataFrame, order: str | None = None) -> DataFrame:
     """Join pages to the answers of the first and second attempt (``primary``, ``fallback``) by run and URL.
 
-    Answers are folded to one row per page first, so the join sees unique keys.
+    Answers are folded to one row per page first, so the join sees unique keys. ``order`` names the column that tells
+    which of several answers to one attempt is the last; without it, answers that differ count as none.
     """
-    of = lambda n: F.max(F.when(F.col("attempt") == n, F.col("raw_content")))
+
+    def of(n: int) -> Column:
+        raw = F.when(F.col("attempt") == n, F.col("raw_content"))
+        if order is not None:
+            return F.max_by(raw, F.when(raw.isNotNull(), F.col(order)))
+        return F.when(F.min(raw) == F.max(raw), F.max(raw))
+
     answers = outputs.groupBy("run_id", "url").agg(of(1).alias("primary"), of(2).alias("fallback"))
     return pages.join(answers, ["run_id", "url"], "left")

@@ -16,9 +16,10 @@ def within_limit(length: Column, max_size_mb: Column) -> Column:
 def resolve_media(media: DataFrame, blobs: DataFrame) -> DataFrame:
     """Status of each media row (original_url, downloaded, fallback_enabled, max_size_mb, run_date, run_id).
 
-    ``blobs`` is the index of fetched files (original_url, length, mime_type), unique per URL; file
-    contents do not take part. Rows without a URL yield no row.
+    ``blobs`` is the index of fetched files (original_url, length, mime_type); of several files of one URL the largest
+    counts. File contents do not take part. Rows without a URL yield no row.
     """
+    blobs = blobs.groupBy("original_url").agg(F.max(F.struct("length", "mime_type")).alias("b")).select("original_url", "b.*")
     rows = media.where(F.coalesce("original_url", F.lit("")) != "").join(blobs, "original_url", "left")
     fetched = F.coalesce(within_limit(F.col("length"), F.col("max_size_mb")), F.lit(False))
     # States and methods of a download.

@@ -327,3 +327,10 @@ def test_whole_run_takes_the_latest_page(spark):
     known = spark.createDataFrame([], "url string")
     got = crawl.run(todo, known, pages).pages.collect()
     assert [r.raw for r in got] == ["new"] and got[0].crawl_ok
+
+
+def test_answers_of_one_attempt(spark):
+    pages = spark.createDataFrame([("r", "u"), ("r", "v")], "run_id string, url string")
+    out = spark.createDataFrame([("r", "u", 1, "z", 1), ("r", "u", 1, "a", 2), ("r", "v", 1, "k", 1), ("r", "v", 1, "k", 2)], "run_id string, url string, attempt int, raw_content string, seq int")
+    get = lambda **k: {r.url: r.primary for r in extract.with_attempts(pages, out, **k).collect()}
+    assert get() == {"u": None, "v": "k"} and get(order="seq") == {"u": "a", "v": "k"}
