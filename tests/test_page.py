@@ -153,3 +153,30 @@ def test_hostile_pages_stay_linear(spark):
     assert v.count() == len(rows) and len(v.collect()) == len(rows)
     assert len(extract.extract_by_rules(ops.with_canon(df), "detail").select(F.length("record")).collect()) == len(rows)
     assert time.time() - start < 120
+
+
+def test_nested_elements_keep_their_whole_text(one):
+    from pagemill.operators import extract
+
+    c = markup.canon(F.col("t"))
+    assert one('<div class="abstract"><div class="t">Intro</div><p>the rest</p></div><p>x', extract._by_class(c, "abstract")) == "Intro the rest"
+    assert one('<ul class="features"><li>a<ul><li>a1</li></ul></li><li>b<li>c</ul><ul><li>d</ul>', extract._items_of(c, "features")) == ["a a1", "b", "c"]
+    assert one("<dl><dt>A</dt><dd>1</dd><dd>2</dd><dt>B</dt><dd>3</dd><dt>A<dd>4</dl>", extract._pairs(c)) == {"A": "4", "B": "3"}
+    assert one("<dl><dt>A<dd>1<dd>2<dt>B<dd>3</dl>", extract._pairs(c)) == {"A": "1, 2", "B": "3"}
+    assert one('<div id="x"><div>a</div>b', markup.to_text(page.select_content(c, F.lit("#x")))) == "a \n b"
+    assert one('<div class="a"><div class="a"><i>1</i></div></div><div class="a"><b>2</b></div>', markup.to_text(page.select_content(c, F.lit(".a b")))) == "2"
+    assert one("div > p, main", page.unsupported(F.col("t"))) == "div > p" and one("main", page.unsupported(F.col("t"))) is None
+
+
+def test_many_nested_blocks_stay_linear(one):
+    import time
+
+    def seconds(n):
+        html = '<div id="content">' + '<div class="b"><div>some text of a block</div></div>' * n + "</div><p>tail"
+        start = time.time()
+        assert one(html, F.length(page.select_content(markup.canon(F.col("t")), F.lit("#content")))) > 40 * n
+        return time.time() - start
+
+    seconds(10)
+    small = seconds(5_000)
+    assert seconds(20_000) < 8 * small + 5
