@@ -30,7 +30,7 @@ def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``: ids as little-endian unsigned 32-bit, decoded again for the digest."""
-    return bpe.digests(bpe.encoded(docs), keep_ids=True)
+    return bpe.round_trips(docs, keep_ids=True)
 
 
 STAGES = [

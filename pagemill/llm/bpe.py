@@ -30,7 +30,9 @@ from pagemill.llm.common import batch_of, map_slices, texts
 #: Fixed value: the pre-split pattern of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
+#: Pairs whose compatibility a worker keeps.
+KEPT_PAIRS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,7 +104,7 @@ class Bpe:
         key = a << 32 | b
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 4_000_000:
+            if len(self.compatible) >= KEPT_PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._pair(a, b)
         return known
@@ -238,24 +240,24 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
-def digests(tokens: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) of encoded rows, decoding each."""
+def round_trips(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encoded, and decoded again from the ids, in one task."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path or vocabulary("byte_bpe_50k.json"))
-        ids = [x or b"" for x in b.column("ids").to_pylist()]
+        ids = [bpe.encode(t) for t in texts(b)]
         back = [bpe.decode(np.frombuffer(x, "<u4")).encode() for x in ids]
-        return batch_of(out, b.column("doc_id"), b.column("n_tokens"), [_sha(x) for x in ids], [_sha(x) for x in back], *([ids] if keep_ids else []))
+        return batch_of(out, b.column("doc_id"), [len(x) // 4 for x in ids], [_sha(x) for x in ids], [_sha(x) for x in back], *([ids] if keep_ids else []))
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    fields = [("doc_id", _arrow(tokens, "doc_id")), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = [("doc_id", _arrow(docs, "doc_id")), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     out = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
     ddl = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return map_slices(tokens, fn, ddl, "ids")
+    return map_slices(docs.select("doc_id", "text"), fn, ddl)
 
 
 _sha: Callable[[bytes], str] = lambda b: hashlib.sha256(b).hexdigest()
 
 
 def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -11,7 +11,7 @@ import numpy as np
 class Hashes(dict):
     """Word to hash, worked out once for each word; starts anew when it is full."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

@@ -45,7 +45,7 @@ REJECT = 0.3
 class Words(dict):
     """Word to the row of its features in a table that grows; starts anew when it is full."""
 
-    def __init__(self, bits: int = BITS, most: int = 500_000):
+    def __init__(self, bits: int = BITS, most: int = 200_000):
         super().__init__()
         self.top, self.most = (1 << bits) - 16, most
         self.table = np.zeros((1024, 1 + len(BEGINNINGS)), np.int64)
@@ -159,4 +159,4 @@ def _rejected(name: str, reject: float):
 def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found, names = scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.select("doc_id", *names, _rejected(names[-1], REJECT).alias("rejected"))
+    return found.select("doc_id", *names, _rejected(names[-1], REJECT).alias("toxic"))
