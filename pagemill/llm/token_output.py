@@ -94,13 +94,14 @@ class Words:
             self.chunks.clear()
         if len(self.pieces) > KEPT_WORDS:
             self.pieces.clear()
-        words = [SPACED.findall(t) for t in items]
+        # str.split() also parts at four separators that the vocabulary keeps; elsewhere it parts at white space only.
+        words = [SPACED.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in items]
         known = self.chunks
         new: set[str] = set()
         for w in words:
-            new.update([x for x in w if x not in known])
+            new |= set(w).difference(known)
         self._learn(list(new))
-        return [b"".join([known[x] for x in w]) for w in words]
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 @functools.lru_cache(maxsize=2)
