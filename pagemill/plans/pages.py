@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup, page, urls, values
-from pagemill.operators import crawl, extract, frontier, media, pages as ops
+from pagemill.operators import crawl, extract, frontier, media, pages as ops, runs
 from pagemill.plans import sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 
@@ -205,7 +205,7 @@ def detail_records(spark, sf_dir):
     return p.select("page_id", g("title").alias("title"), g("author").alias("author"), g("images[0]").alias("first_image"), F.md5(g("description")).alias("description_md5"))
 
 
-def crawl_run(spark, sf_dir):
+def _crawled(spark, sf_dir):
     """Whole runs over the pages: some URLs known, some missing, some runs without or with a failing extraction."""
     p = heavy(spark, sf_dir, "pages")
     i = F.col("page_id")
@@ -222,7 +222,12 @@ def crawl_run(spark, sf_dir):
         (i % 4 != 1).alias("stage2_fallback_enabled"),
     )
     known = table(spark, sf_dir, "pages").where(i % 7 == 0).select("url")
-    d = crawl.run(todo, known, p).pages
+    return crawl.run(todo, known, p)
+
+
+def crawl_run(spark, sf_dir):
+    """What each page of the runs gave."""
+    d = _crawled(spark, sf_dir).pages
     g = lambda k: F.md5(F.get_json_object("stage2.structured_data", f"$.{k}"))
     return d.select(
         "run_id", "idx", "crawl_ok", F.col("metadata.title").alias("title"), F.md5("raw").alias("raw_md5"),
@@ -231,12 +236,29 @@ def crawl_run(spark, sf_dir):
     )
 
 
+def crawl_run_counters(spark, sf_dir):
+    """The accounting of the same runs."""
+    return runs.counters(_crawled(spark, sf_dir).attempts)
+
+
+def crawl_run_errors(spark, sf_dir):
+    """The error rows of the same runs."""
+    return runs.errors(_crawled(spark, sf_dir).attempts)
+
+
+def crawl_run_documents(spark, sf_dir):
+    """The document rows of the same runs."""
+    d = _crawled(spark, sf_dir).documents
+    return d.select("id", "run_id", "source_url", "title", F.md5("content").alias("content_md5"), F.col("structured_data").isNotNull().alias("has_record"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         page_clean_text, page_raw_vs_clean, host_cleaning_stats, page_select_content, page_density_prune, page_metadata,
         page_links, host_link_stats, page_media, page_media_counts, page_stage2_input, url_canonical, page_article_records,
         page_list_records, list_to_detail_frontier, product_records, paper_records, detail_records, crawl_run,
+        crawl_run_counters, crawl_run_errors, crawl_run_documents,
     )
 }
 
@@ -287,6 +309,17 @@ images AS (SELECT page_id, url, pos,
   regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || """ + q.decoded("regexp_extract(t, 'href=\"([^\"]*)\"', 1)") + r""" || '.png?w=1' AS original_url,
   """ + q.decoded("regexp_extract(t, '\">([^<]*)<', 1)") + r""" AS alt_text FROM imgs)"""
 
+# The runs of _crawled: r has a row per processed URL.
+_CRAWLED = f"""WITH p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages),
+e AS (SELECT *, CASE WHEN page_id % 20 = 8 THEN regexp_extract(html2, '(?s)(<div class="ad">.*?</div>)', 1)
+        WHEN page_id % 10 = 7 THEN regexp_extract(html2, '(?s)(<h1>.*?</h1>)', 1) ELSE {_ARTICLE} END AS part FROM p),
+c AS (SELECT page_id, nullif({_TITLE}, '') AS title, {q.to_text("part")} AS raw, nullif({_tidy(f"coalesce({q.to_text(q.without('part', *q.CLEAN_TAGS))}, '')")}, '') AS body,
+             coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS head FROM e),
+t AS (SELECT page_id, false AS missing FROM pages WHERE page_id % 7 <> 0 OR page_id % 10 = 3
+      UNION ALL SELECT page_id, true FROM pages WHERE page_id % 9 = 0),
+r AS (SELECT *, page_id % 10 <> 4 AS en, page_id % 10 NOT IN (4, 5) AND NOT missing AS good FROM t JOIN c USING (page_id))
+"""
+
 ORACLES = {
     "page_clean_text": f"SELECT page_id, {q.CLEAN} AS clean FROM pages",
     "page_raw_vs_clean": _over_rich(f"""WITH {_VERSIONS}
@@ -359,17 +392,19 @@ f AS (SELECT page_id, original_url FROM images WHERE pos = 1),
 p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages)
 SELECT page_id, coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS title, 'Unknown' AS author,
        original_url AS first_image, md5(nullif({_BODY}, '')) AS description_md5 FROM p LEFT JOIN f USING (page_id)""",
-    "crawl_run": f"""WITH p AS (SELECT page_id, html, {q.without("html", "script", "style")} AS html2 FROM pages),
-e AS (SELECT *, CASE WHEN page_id % 20 = 8 THEN regexp_extract(html2, '(?s)(<div class="ad">.*?</div>)', 1)
-        WHEN page_id % 10 = 7 THEN regexp_extract(html2, '(?s)(<h1>.*?</h1>)', 1) ELSE {_ARTICLE} END AS part FROM p),
-c AS (SELECT page_id, nullif({_TITLE}, '') AS title, {q.to_text("part")} AS raw, nullif({_tidy(f"coalesce({q.to_text(q.without('part', *q.CLEAN_TAGS))}, '')")}, '') AS body,
-             coalesce(nullif({_tidy(_H1)}, ''), nullif({_TITLE}, '')) AS head FROM e),
-t AS (SELECT page_id, false AS missing FROM pages WHERE page_id % 7 <> 0 OR page_id % 10 = 3
-      UNION ALL SELECT page_id, true FROM pages WHERE page_id % 9 = 0),
-r AS (SELECT *, page_id % 10 <> 4 AS en, page_id % 10 NOT IN (4, 5) AND NOT missing AS good FROM t JOIN c USING (page_id))
-SELECT 'run-' || (page_id % 10) AS run_id, page_id * 2 + CASE WHEN missing THEN 9 ELSE 1 END AS idx, NOT missing AS crawl_ok,
+    "crawl_run": _CRAWLED + """SELECT 'run-' || (page_id % 10) AS run_id, page_id * 2 + CASE WHEN missing THEN 9 ELSE 1 END AS idx, NOT missing AS crawl_ok,
        CASE WHEN NOT missing THEN title END AS title, CASE WHEN NOT missing THEN md5(raw) END AS raw_md5, en AS enabled, good AS success,
        CASE WHEN missing THEN 'Crawl failed: No page for this URL' WHEN NOT en THEN 'No LLM config provided' WHEN good THEN NULL
             WHEN page_id % 4 = 1 THEN 'Missing required fields: price' ELSE 'Both primary and fallback extraction failed' END AS error,
        CASE WHEN good THEN md5(head) END AS record_title_md5, CASE WHEN good THEN md5(body) END AS record_content_md5 FROM r""",
+    "crawl_run_counters": _CRAWLED + """SELECT 'run-' || (page_id % 10) AS run_id, count(*) FILTER (WHERE NOT missing) AS urls_crawled, count(*) FILTER (WHERE missing) AS urls_failed,
+       count(*) FILTER (WHERE NOT missing) AS documents_created, count(*) FILTER (WHERE NOT missing) AS distinct_documents,
+       count(*) FILTER (WHERE good) AS stage2_successes, count(*) FILTER (WHERE NOT missing AND en AND NOT good) AS stage2_errors FROM r GROUP BY 1""",
+    "crawl_run_errors": _CRAWLED + """SELECT 'run-' || (page_id % 10) AS run_id, 'task-' || (page_id % 5) AS task_id, url || CASE WHEN missing THEN '/missing' ELSE '' END AS url,
+       page_id * 2 + CASE WHEN missing THEN 9 ELSE 1 END AS idx, TIMESTAMP '2024-01-02' AS ts, CASE WHEN missing THEN 1 ELSE 2 END AS seq,
+       CASE WHEN missing THEN 'crawl' ELSE 'stage2' END AS stage, CASE WHEN missing THEN 'No page for this URL'
+         WHEN page_id % 4 = 1 THEN 'Stage 2 extraction failed: Missing required fields: price' ELSE 'Stage 2 extraction failed: Both primary and fallback extraction failed' END AS error
+FROM r JOIN (SELECT page_id, url FROM pages) USING (page_id) WHERE missing OR en AND NOT good""",
+    "crawl_run_documents": _CRAWLED + """SELECT substr(sha256('run-' || (page_id % 10) || '|' || url), 1, 32) AS id, 'run-' || (page_id % 10) AS run_id, url AS source_url, title,
+       md5(raw) AS content_md5, good AS has_record FROM r JOIN (SELECT page_id, url FROM pages) USING (page_id) WHERE NOT missing""",
 }
