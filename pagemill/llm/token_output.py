@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import SPACED, arrow, batch_of, slices, stored, texts
 
-#: Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+#: Chunks between white space, and their pieces, whose ids a worker keeps; beyond it a store starts anew.
+KEPT_CHUNKS, KEPT_PIECES = 800_000, 500_000
 #: Ids in a block of a file; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 #: The id that closes each document.
@@ -90,9 +90,9 @@ class Words:
 
     def encode(self, items: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > KEPT_WORDS:
+        if len(self.chunks) > KEPT_CHUNKS:
             self.chunks.clear()
-        if len(self.pieces) > KEPT_WORDS:
+        if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         # str.split() also parts at four separators that the vocabulary keeps; elsewhere it parts at white space only.
         words = [SPACED.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in items]
