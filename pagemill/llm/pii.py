@@ -8,7 +8,7 @@ train the final span classifier, a logistic regression over features of the span
 table of counts by vote pattern and feature code, both from small fixed sets.
 
 Edge cases: a null text is empty and has no spans; spans count code points; a candidate that touches a base span is
-dropped; without candidates no span is added; all finders are linear in the text; repeated rows each get their result;
+dropped, except a field's value of which base spans cover less than half; a field's value is taken whole, however long; without candidates no span is added; all finders are linear in the text; repeated rows each get their result;
 columns of any name are kept.
 """
 
@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _DIGIT = re.compile("[0-9]")
 _RUN = re.compile(r"[0-9A-Za-z]*[0-9][0-9A-Za-z]*(?:-[0-9A-Za-z]+)*")
-_FIELD = re.compile(r"[:=]\x20*[\"']?([^\s\"'.,;:=]{6,128})")
+_FIELD = re.compile(r"[:=]\x20*[\"']?([^\s\"'.,;:=]{6,}+)")
 _WORD = re.compile(r"[A-Za-z]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _GROUPS = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}|[0-9]{4}(?:-[0-9]{4}){2,3}")
@@ -92,20 +92,31 @@ NEAR = 24
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans that touch no base span: digit-bearing runs of six or more, and values of fields."""
+    """Digit-bearing runs of six or more that touch no base span, and whole values of fields that aren't mostly base spans."""
     if not (_DIGIT.search(text) or ":" in text or "=" in text):
         return []
-    found = [m.span() for m in _digit_runs(text)] + [m.span(1) for m in _FIELD.finditer(text)]
+    values = {m.span(1) for m in _FIELD.finditer(text)}
     out: list[tuple[int, int]] = []
     k, bounds = 0, sorted((a, b) for a, _, b in base)
-    for a, b in sorted(set(found), key=lambda s: (s[0], -s[1])):
+    for a, b in sorted(values.union(m.span() for m in _digit_runs(text)), key=lambda s: (s[0], -s[1])):
         while k < len(bounds) and bounds[k][1] <= a:
             k += 1
-        if b - a >= 6 and not (out and a < out[-1][1]) and not (k < len(bounds) and bounds[k][0] < b):
+        if b - a < 6 or (out and a < out[-1][1]):
+            continue
+        if not (k < len(bounds) and bounds[k][0] < b) or ((a, b) in values and 2 * _covered(bounds, k, a, b) < b - a):
             out.append((a, b))
     return out
 
 
+def _covered(bounds: list[tuple[int, int]], k: int, a: int, b: int) -> int:
+    """Code points of ``a`` to ``b`` that lie in the spans from the ``k``-th on."""
+    n = 0
+    while k < len(bounds) and bounds[k][0] < b:
+        n += max(0, min(bounds[k][1], b) - max(bounds[k][0], a))
+        a, k = max(a, bounds[k][1]), k + 1
+    return n
+
+
 def _digit_runs(text: str):
     """Whole runs around digits, found from their first digit so that other words cost nothing."""
     at = 0

@@ -337,3 +337,16 @@ def test_op10_redacts(spark, hard):
     assert out.columns == docs.columns
     text = {r.doc_id: r.text for r in out.collect()}
     assert "[EMAIL]" in text[12] and "[IP]" in text[12] and "[PHONE]" in text[12] and "[SECRET]" in text[12] and text[4] is None and text[1] == prose(1)
+
+
+@pytest.mark.parametrize("inside", ["", "/+12125550000/", "/4111111111111111/"])
+def test_op10_takes_long_values_whole(spark, hard, inside):
+    rng = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = "".join(rng.choice("_/+" if k % 9 == 5 else signs) for k in range(300))
+    secret = secret[:200] + inside + secret[200 + len(inside) :]
+    text = f'see api_key = "{secret}" and more'
+    assert len(secret) == 300 and (text.index(secret), text.index(secret) + 300) in pii.candidates(text, pii.base_spans(text))
+    docs = spark.read.parquet(f"{hard}/documents.parquet").select("doc_id", "text")
+    out = pii.redacted(docs.unionByName(spark.createDataFrame([(100, text)], "doc_id long, text string")))
+    assert out.where("doc_id = 100").first().text == 'see api_key = "[SECRET]" and more'
