@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow, batch_of, map_slices, raw_texts, stored
+from pagemill.llm.common import add_columns, arrow, batch_of, map_slices, raw_texts, stored
 from pagemill.llm.components import stars
 
 #: Differing bits of a link.
@@ -223,29 +223,33 @@ def forest(bucketed: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row."""
+    """``doc_id, fp, component_id, root`` for every row; ``root`` tells groups apart, also where they share a smallest id."""
     prints = stored(fingerprints(docs), "fingerprints")
     codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-codes")
     star = stars(stored(forest(buckets(codes.select("fp"))), "fingerprint-links"))
     linked = star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
     members = stored(codes.join(linked, codes.fp == linked.node).select("fp", "least", "root"), "linked-codes")
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = members.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    named = codes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    moved = members.select("fp", "root").join(smallest, "root").select("fp", "component_id", "root")
+    named = codes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return prints.join(stored(named, "fingerprint-classes"), "fp")
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each group the row with the smallest id stays.
+    """The documents without near-duplicates: of each group the row of smallest (id, fingerprint) stays.
 
-    Rows without an id can't stand for a group and stay; of rows that repeat one id, one stays.
+    Rows without an id can't stand for a group and stay. An id that is repeated with texts of several groups may stand
+    for each of them; of rows equal in id and fingerprint, one stays.
     """
-    narrow = classes(docs.select("doc_id", "text")).where("doc_id is not null")
-    keep = narrow.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("first")
-    ids = keep.select(F.col("doc_id").alias("__kept_id"), F.col("n").alias("__kept_rows"))
+    narrow = stored(classes(docs.select("doc_id", "text")).where("doc_id is not null").select("doc_id", "fp", "root"), "fingerprint-rows")
+    first = narrow.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+    keep = stored(first.select(F.col("x.doc_id").alias("__kept_id"), F.col("x.fp").alias("__kept_fp")), "kept-rows")
+    rows = narrow.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__kept_rows"))
+    ids = stored(keep.select("__kept_id").distinct().join(rows, "__kept_id"), "kept-ids")  # stored, so that the join's hot ids can be split
     found = docs.join(ids, F.col("doc_id").cast("long") == F.col("__kept_id"))
     single = found.where("__kept_rows = 1").select(*[found[c] for c in docs.columns])
-    again = found.where("__kept_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    again, (fp,) = add_columns(found.where("__kept_rows > 1"), lambda b: [[fingerprint(t) for t in raw_texts(b)]], "__kept_fp long")
+    again = again.dropDuplicates(["__kept_id", fp]).join(keep, ["__kept_id", fp], "left_semi").select(*docs.columns)
     return single.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 

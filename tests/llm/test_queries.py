@@ -165,6 +165,17 @@ def test_op5_against_all_pairs(spark, sf_dir, hard):
             assert int(r.fingerprint, 16) == codes[r.doc_id] and r.component_id == want[r.doc_id]
 
 
+def test_one_per_class_with_one_id_for_several_texts(spark):
+    a, b, c, d = (prose(i) for i in (21, 22, 23, 24))
+    rows = [(1, b, "w"), (5, a, "x"), (5, a, "x"), (5, b, "y"), (5, c, "z"), (6, c, "z"), (7, d, "v"), (None, d, "u")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(n)
+        got = sorted(tuple(r) for r in simhash.one_per_class(docs).where("doc_id is not null").collect())
+        assert got == sorted([(1, b, "w"), (5, a, "x"), (5, c, "z"), (7, d, "v")])
+    near = spark.createDataFrame([(5, a, "x"), (5, a + " more", "y"), (6, a, "z")], "doc_id long, text string, fp string")
+    assert [r.doc_id for r in simhash.one_per_class(near).collect()] == [5]
+
+
 @pytest.mark.parametrize("full", [20, 100_000])
 def test_op5_index_loses_no_link(spark, full):
     rng = random.Random(3)
