@@ -108,10 +108,11 @@ SALTS = 32
 def attach(rows: DataFrame, facts: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
     """Join one narrow row per key to rows of which a key may hold any share.
 
-    The facts are repeated for a fixed number of salts, so a hot key's rows are joined in as many tasks.
+    The facts are repeated for a fixed number of salts, so a hot key's rows are joined in as many tasks. Rows whose
+    ``spread`` is null stay and share a salt.
     """
     salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.coalesce(spread, F.lit(0)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
 
 
 def error_log(error_rows: DataFrame) -> DataFrame:
@@ -119,19 +120,26 @@ def error_log(error_rows: DataFrame) -> DataFrame:
 
     A URL has at most two errors, so a part is bounded whatever the size of the run; reading the
     parts by ``chunk`` gives the run's errors in order of occurrence. Totals are attached to the
-    narrow rows before they are gathered, and a run's parts are dealt to tasks one by one.
+    narrow rows before they are gathered, and a run's parts are dealt to tasks one by one. Errors without a place
+    are in parts of about a thousand whose ``chunk`` is null.
     """
     totals = error_rows.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total_errors"),
         F.count_if(F.col("stage") == "crawl").alias("crawl_errors"),
         F.count_if(F.col("stage") == "stage2").alias("stage2_errors"),
         F.count_if(F.col("stage").isNull()).alias("unexpected_errors"),
+        F.ceil(F.count_if(F.col("idx").isNull()) / CHUNK).alias("unplaced_parts"),
     )
     counted = ["total_errors", "crawl_errors", "stage2_errors", "unexpected_errors"]
     item = F.struct("idx", "seq", "ts", "url", "stage", "error")
-    chunked = attach(error_rows, totals, "run_id", F.col("idx")).withColumn("chunk", F.floor((F.col("idx") - 1) / CHUNK))
+    unplaced = F.when(F.col("idx").isNull(), F.xxhash64(item))
+    chunked = (
+        attach(error_rows, totals, "run_id", F.coalesce("idx", unplaced))
+        .withColumn("chunk", F.floor((F.col("idx") - 1) / CHUNK))
+        .withColumn("part", F.pmod(unplaced, "unplaced_parts"))
+    )
     return (
-        chunked.repartition("run_id", "chunk").groupBy("run_id", "task_id", "chunk", *counted)
+        chunked.repartition("run_id", "chunk", "part").groupBy("run_id", "task_id", "chunk", "part", *counted)
         .agg(F.sort_array(F.collect_list(item)).alias("errors"))
         .select("run_id", "task_id", "chunk", "errors", *counted)
     )
@@ -195,14 +203,14 @@ def orphan_runs(runs: DataFrame, tasks: DataFrame) -> DataFrame:
 def in_chunks(rows: DataFrame, group: str, id_col: str, item: Column, size: int = CHUNK, about: DataFrame | None = None) -> DataFrame:
     """Lists of about ``size`` items per group: ``group, chunk, items`` and the columns of ``about``.
 
-    Rows are spread over ceil(n/size) chunks by a hash of their id, and chunks, not groups, are dealt to tasks; small
-    groups stay in one list. ``about`` has one narrow row per group; groups that it lacks are left out.
+    Rows are spread over ceil(n/size) chunks by a hash of their id, or of the whole item where that is null, and chunks,
+    not groups, are dealt to tasks; small groups stay in one list. ``about`` has one narrow row per group; groups that it lacks are left out.
     """
     sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("n_chunks"))
     facts = [] if about is None else [c for c in about.columns if c != group]
     if about is not None:
         sizes = sizes.join(about, group)
-    h = F.conv(F.substring(F.md5(F.col(id_col)), 1, 8), 16, 10).cast("bigint")
+    h = F.coalesce(F.conv(F.substring(F.md5(F.col(id_col)), 1, 8), 16, 10).cast("bigint"), F.xxhash64(item))
     return (
         attach(rows.select(group, h.alias("h"), item.alias("item")), sizes, group, F.col("h"))
         .withColumn("chunk", F.pmod("h", "n_chunks"))

@@ -152,6 +152,18 @@ def test_chunks_bound_a_hot_group_and_lose_nothing(spark):
     assert c.select(F.explode("items.i").alias("i")).distinct().count() == 6000
 
 
+def test_rows_without_id_or_place_stay(spark):
+    df = spark.range(3000).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("i"), "id")
+    c = runs.in_chunks(df, "g", "i", F.struct("i", "id"), size=100)
+    assert {r.id for r in c.select(F.explode("items.id").alias("id")).collect()} == set(range(3000))
+    assert c.agg(F.max(F.size("items"))).first()[0] < 200 and c.where("chunk is null").count() == 0
+    rows = [attempt("r", i, ok=False, err=f"e{i}", success=False) for i in (1, 2)] + [("r", "t", f"n{i}", None, ts(1), False, f"n{i}", True, False, None, False, None) for i in range(2500)]
+    log = runs.error_log(runs.errors(spark.createDataFrame(rows, ATT))).collect()
+    assert sum(len(r.errors) for r in log) == 2502 == log[0].total_errors
+    lost = [r for r in log if r.chunk is None]
+    assert len(lost) == 3 and all(len(r.errors) < 1000 for r in lost) and [e.idx for r in log if r.chunk == 0 for e in r.errors] == [1, 2]
+
+
 def test_latest_status(spark):
     rows = [("r", ts(1), 1, "pending", None), ("r", ts(2), 2, "running", None), ("r", ts(3), 3, "failed", "m"), ("r", ts(3), 4, "completed", None)]
     df = spark.createDataFrame(rows, "run_id string, ts timestamp_ntz, seq int, status string, error_message string")
