@@ -149,3 +149,42 @@ def crc_of(column) -> F.Column:
 def sample_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """The ``rows`` rows of smallest key hash: the same ones however the table is partitioned."""
     return df.orderBy(F.xxhash64(*keys), *keys).limit(rows)
+
+
+def examples(docs: DataFrame, labels: DataFrame, sample: int, fn) -> DataFrame:
+    """``doc_id, text_hash, places, values, marks``: one row per labelled id and text, at most ``sample`` rows of smallest hash.
+
+    ``labels``: ``doc_id`` and a label, one row per id, few enough to broadcast. ``fn`` makes places, values and marks
+    of a bounded slice. Rows are chosen by narrow keys and features made where the texts lie, so neither the texts nor
+    more than ``sample`` rows meet in one task, however often an id is repeated.
+    """
+    key = ["doc_id", "text_hash"]
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    narrow = hashed.select(*key).join(F.broadcast(labels), "doc_id").distinct()
+    rows = hashed.join(F.broadcast(sample_by_hash(narrow, sample, *key)), key)
+
+    def each(batches):
+        seen: set = set()  # at most ``sample`` keys
+        for b in slices(batches):
+            new = []
+            for n, pair in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), strict=True)):
+                if pair not in seen:
+                    seen.add(pair)
+                    new.append(n)
+            if new:
+                b = b.take(pa.array(new))
+                yield batch_of(schema, b.column("doc_id"), b.column("text_hash"), *fn(b))
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("places", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("marks", pa.list_(pa.int32()))])
+    made = arrow(rows, each, "doc_id long, text_hash long, places array<int>, values array<double>, marks array<int>")
+    return made.dropDuplicates(key)
+
+
+def in_one_task(found: DataFrame) -> DataFrame:
+    """``examples`` in a fixed order for the task that fits."""
+    return found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text_hash")
+
+
+def pairs_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of each row of ``examples``."""
+    return [(p.values.to_numpy().astype(np.int64), v.values.to_numpy()) for p, v in zip(batch.column("places"), batch.column("values"), strict=True)]

@@ -3,8 +3,9 @@
 A word is a run of letters, of digits or of signs, case kept. Single words and pairs hash into ``2**BITS`` places, pairs
 of one word twice into one place for all words; a place's value is log(1 + count), the vector has length one.
 
-Learned from a bounded sample (``SAMPLE`` rows of smallest hash) of the labelled rows that aren't held out, in one
-task; only non-zero weights reach the driver. Scoring covers every whole text and shuffles nothing.
+Learned from a bounded sample of the labelled rows that aren't held out (``SAMPLE`` ids of smallest hash, and of their
+different texts again ``SAMPLE``), made into features where they lie and fitted in one task; only non-zero weights reach
+the driver. Scoring covers every whole text and shuffles nothing.
 
 Edge cases: null, empty and wordless texts have the intercept's score; null labels are left out; without labels all
 scores are 0.5; repeated rows are scored each; an empty table gives an empty result.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import add_columns, arrow, crc_of, sample_by_hash, slices, texts
+from pagemill.llm.common import add_columns, arrow, crc_of, examples, in_one_task, pairs_of, sample_by_hash, texts
 from pagemill.llm.linear import Hashes, fit, sigmoid
 
 BITS = 20
@@ -49,21 +50,25 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
     """Weights from ``labels`` (``doc_id, quality``), held-out rows left aside, and the labelled texts."""
     usable = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample_by_hash(usable, sample, "doc_id")), "doc_id")
-    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), F.xxhash64("text"))
+    ids = sample_by_hash(usable, sample, "doc_id")
+
+    def made(b: pa.RecordBatch) -> tuple:
+        hashes = Hashes()
+        found = [features(t, hashes, bits) for t in texts(b)]
+        return [x for x, _ in found], [x for _, x in found], [[y] for y in b.column("quality").to_pylist()]
 
     def fn(batches):
-        hashes, found, y = Hashes(), [], []
-        for b in slices(batches):
-            found += [features(t, hashes, bits) for t in texts(b)]
-            y += b.column("quality").to_pylist()
+        found, y = [], []
+        for b in batches:
+            found += pairs_of(b)
+            y += [x[0] for x in b.column("marks").to_pylist()]
         if found:
             w = fit(1 << bits, found, y, alpha=1.0, l1=0.3, l2=0.01)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], names=["place", "weight"])
 
     weights = np.zeros(1 << bits)
-    for r in arrow(rows, fn, "place int, weight double").collect():  # at most 2**bits rows
+    for r in arrow(in_one_task(examples(docs, ids, sample, made)), fn, "place int, weight double").collect():  # at most 2**bits rows
         weights[r["place"]] = r["weight"]
     return weights
 

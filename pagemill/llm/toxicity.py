@@ -5,8 +5,9 @@ each link of the chain is a linear model whose last features are
 the earlier categories' probabilities. In training these come from models that did not see the row (out of fold), so a
 later link learns from probabilities as good as those it gets when scoring.
 
-Training rows are a bounded sample of the labelled ones (``SAMPLE`` rows of smallest hash), fitted in one task; only
-non-zero weights reach the driver. Scoring covers every whole text and shuffles nothing.
+Training rows are a bounded sample of the labelled ones (``SAMPLE`` ids of smallest hash, and of their different texts
+again ``SAMPLE``), made into features where they lie and fitted in one task; only non-zero weights reach the driver.
+Scoring covers every whole text and shuffles nothing.
 
 Edge cases: null, empty and wordless texts score by the intercept alone; labels that are null are left out; without
 labels, or with one kind only, all probabilities are those of an empty model (0.5 for none, else the kind seen), and
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LETTERED, add_columns, arrow, raw_texts, sample_by_hash, slices
+from pagemill.llm.common import LETTERED, add_columns, arrow, examples, in_one_task, pairs_of, raw_texts, sample_by_hash
 from pagemill.llm.linear import fit, sigmoid
 
 #: Categories in the chain's order with the words that mark a toxic row as one of them; the last is the label itself.
@@ -106,16 +107,21 @@ def score_chain(chain: list[np.ndarray], found: tuple[np.ndarray, np.ndarray], b
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> list[np.ndarray]:
     """The chain's weights from ``labels`` (``doc_id, toxic``) and the labelled texts of ``docs``."""
     ids = sample_by_hash(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), F.xxhash64("text"))
+
+    def made(b: pa.RecordBatch) -> tuple:
+        known, found, marks = Words(bits), [], []
+        for text, y in zip(raw_texts(b), b.column("toxic").to_pylist(), strict=True):
+            found.append(features(text, known))
+            words = set(LETTERED.findall(text.lower()))
+            marks.append([int(bool(y) and (seeds is None or not words.isdisjoint(seeds))) for _, seeds in CATEGORIES])
+        return [x for x, _ in found], [x for _, x in found], marks
 
     def fn(batches):
-        known, found, marks, ids = Words(bits), [], [], []
-        for b in slices(batches):
-            for text, y in zip(raw_texts(b), b.column("toxic").to_pylist(), strict=True):
-                found.append(features(text, known))
-                words = set(LETTERED.findall(text.lower()))
-                marks.append([int(bool(y) and (seeds is None or not words.isdisjoint(seeds))) for _, seeds in CATEGORIES])
-            ids += [x or 0 for x in b.column("doc_id").to_pylist()]
+        found, marks, ids = [], [], []
+        for b in batches:
+            found += pairs_of(b)
+            marks += b.column("marks").to_pylist()
+            ids += b.column("doc_id").to_pylist()
         if not found:
             return
         y = np.array(marks)
@@ -124,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(w[at])], names=["link", "place", "weight"])
 
     chain = [np.zeros(1 << bits) for _ in CATEGORIES]
-    for r in arrow(rows, fn, "link int, place int, weight double").collect():  # non-zero weights: at most 2**bits a link
+    for r in arrow(in_one_task(examples(docs, ids, sample, made)), fn, "link int, place int, weight double").collect():  # non-zero weights: at most 2**bits a link
         chain[r["link"]][r["place"]] = r["weight"]
     return chain
 

@@ -9,7 +9,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from pagemill.llm import bpe, gbt, license_templates, linear, pii, plans, quality_rules, sharding, simhash, token_output, toxicity
+from pagemill.llm import bpe, gbt, license_templates, linear, pii, plans, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity
 
 from .conftest import ROWS, prose
 
@@ -133,6 +133,23 @@ def test_op4_planted(spark, tmp_path):
     assert toxicity.clean(docs, labels.selectExpr("doc_id", "0 as toxic")).count() == 400
 
 
+@pytest.mark.parametrize("model", [toxicity, quality_ftrl])
+def test_sample_bounds_rows_of_a_repeated_id(spark, monkeypatch, model):
+    """A labelled id that holds most rows sends at most the sample's rows to the fitting task."""
+    column = "toxic" if model is toxicity else "quality"
+    docs = spark.createDataFrame([(1, prose(i % 60)) for i in range(300)] + [(i, prose(i)) for i in range(100, 120)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] + [(i, i % 2) for i in range(100, 120)], f"doc_id long, {column} int")
+    seen = []
+    fit = model.in_one_task
+    monkeypatch.setattr(model, "in_one_task", lambda df: seen.append(df) or fit(df))
+    model.train(docs, labels, sample=30)
+    rows = seen[0].select("doc_id", "text_hash").collect()
+    assert len(rows) == 30 == len(set(rows))
+    model.train(docs.where("doc_id > 1"), labels, sample=30)
+    kept = {i for i in range(100, 120) if model is toxicity or zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r.doc_id for r in seen[1].collect()} == kept
+
+
 def plain_fingerprint(text: str) -> int:
     import xxhash
 
