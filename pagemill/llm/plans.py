@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, decontaminate, license_templates, pii, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity, url_filter
+from pagemill.llm import alignment, bpe, decontaminate, license_templates, phrases, pii, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_boosted_rules": quality_rules.op1_boosted_rules,
@@ -15,7 +15,13 @@ QUERIES = {
     "op8_ranked_vbyte": token_output.op8_ranked_vbyte,
     "op9_backtracking_bpe": bpe.op9_backtracking_bpe,
     "op10_weak_supervision": pii.op10_weak_supervision,
+    "op11_stripes": phrases.op11_stripes,
+    "op12_perfect_hash_alignment": alignment.op12_perfect_hash_alignment,
     "op13_blocked_bloom": url_filter.op13_blocked_bloom,
 }
 
-ORACLES: dict[str, str] = {"op2_suffix_array_decontamination": decontaminate.OP2_SQL, "op13_blocked_bloom": url_filter.OP13_SQL}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_decontamination": decontaminate.OP2_SQL,
+    "op11_stripes": phrases.OP11_SQL,
+    "op13_blocked_bloom": url_filter.OP13_SQL,
+}

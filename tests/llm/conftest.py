@@ -21,6 +21,16 @@ ROWS = [
     (13, "#### " * 60, "m"), (14, "same line\nsame line\nsame line\nother", "n"), (15, "1" * 50_000, "o"),
 ]
 
+#: Pages with URLs of all kinds, and columns whose names the operators use themselves.
+PAGES = [
+    (i, url, "<p>x</p>", "h", 1)
+    for i, url in enumerate([
+        None, "", "no scheme", "://", "http://", "HTTP://Example.NET:80", "http://a.net?x=/", "http://A.Net/#x", "x://y://z/fr/", "http://u:p@WWW.Casino.org:443/a//?b=1&a=2&utm_source=x#f",
+        "https://casino.org/a?a=2&b=1", "https://casino.org/a?a=2", "http://example.com/de/" + "a" * 100_000, "http://notexample.com/de/", "http://org/fr/?", "http://x.org/fr", "http://en.example.net/en/x",
+        "http://en.example.net/EN/x", "ftp://poker.example.org/ü?é#ß", "ftp://poker.example.org/ü?é#ß", "https://poker.example.org/ü/?é&ref=1", "http://net/", "http://fr.example.net/fr/", "http://pokery.example.org/",
+    ])
+] + [(None, "http://spam.example.org/fr/", None, None, None), (3, "http://spam.example.org/en", None, None, None)]
+
 
 @pytest.fixture(scope="session")
 def made(spark, tmp_path_factory):
@@ -29,11 +39,12 @@ def made(spark, tmp_path_factory):
     wide = "doc_id long, text string, spans string"
     docs = spark.createDataFrame(ROWS, wide)
     for name, rows in (("hard", docs), ("none", docs.limit(0))):
-        rows.selectExpr("*", "'w' as n_words", "1.5d as fp", "array(1) as items", "'q' as p_toxic", "'r' as redacted").coalesce(2).write.parquet(f"{top}/{name}/documents.parquet")
+        rows.selectExpr("*", "'w' as n_words", "1.5d as fp", "array(1) as items", "'q' as p_toxic", "'r' as redacted", "if(doc_id % 3 = 0, null, 'en') as lang").coalesce(2).write.parquet(f"{top}/{name}/documents.parquet")
         labels = [(i, int(i != 13), int(i == 11)) for i in range(1, 16)] + [(None, 1, 0), (3, None, None)]
         spark.createDataFrame(labels if name == "hard" else [], "doc_id long, quality int, toxic int").write.parquet(f"{top}/{name}/labels.parquet")
         items = [(1, ITEM), (2, None), (None, ITEM), (3, "x"), (3, "x"), (4, "?!"), (5, "never there at all")]
         spark.createDataFrame(items if name == "hard" else [], "item_id long, text string").write.parquet(f"{top}/{name}/benchmark.parquet")
+        spark.createDataFrame(PAGES if name == "hard" else [], "page_id long, url string, html string, host string, __salt int").write.parquet(f"{top}/{name}/pages.parquet")
     return str(top)
 
 
