@@ -88,7 +88,8 @@ class Keys:
 
     @staticmethod
     def with_lang(words: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        return mix(words ^ lang) | np.uint64(1)
+        # Not symmetric: a word may be spelled like a language's name.
+        return mix(lang * np.uint64(_STEP) + words) | np.uint64(1)
 
     @staticmethod
     def longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:

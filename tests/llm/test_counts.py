@@ -62,6 +62,9 @@ def test_op11_clashing_keys_are_seen(spark):
     rows = [("a", 1, "x"), ("a", 1, "y"), ("b", 1, "x")]
     clash = spark.createDataFrame(rows, "lang string, key long, word string")
     assert phrases._shared(clash, "lang", "key") and not phrases._shared(clash.where("word = 'x'"), "lang", "key")
+    rows = [("en", "fr fr es"), ("fr", "en en es"), ("es", "en fr")] * 6  # words spelled like languages
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5).collect()
+    assert sorted(tuple(r) for r in got) == plain_phrases(rows, 5, 2000)
     with pytest.raises(ValueError):  # no seed left to try
         phrases.frequent(spark.createDataFrame([("a", "x y")], "lang string, text string"), seeds=range(0))
 
