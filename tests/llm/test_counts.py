@@ -119,6 +119,14 @@ def test_op12_segments_groups_and_odd_texts(spark):
     assert Counter(tuple(r) for r in got.collect()) == want and sum(r[1] == 0 for r in want) > 2
 
 
+def test_op12_encoders_agree():
+    v, rng = alignment.load(None, None), random.Random(9)
+    assert v.quick is not None
+    signs = "ab e's\n\t 12é世🙂<|endoftext|>tTHÉ \x1c\x85.,!-\u00a0\u3000"
+    cases = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["1" * 100_000, " " * 100_000 + "x", "a" * 999 + " " * 998]
+    assert v._encode_a(cases) == [v.a.encode(t, add_special_tokens=False).ids for t in cases]
+
+
 def test_op12_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 50_000):
