@@ -8,7 +8,7 @@ train the final span classifier, a logistic regression over features of the span
 table of counts by vote pattern and feature code, both from small fixed sets.
 
 Edge cases: a null text is empty and has no spans; spans count code points; a candidate that touches a base span is
-dropped, except a field's value of which base spans cover less than half; a field's value is taken whole, however long; without candidates no span is added; all finders are linear in the text; repeated rows each get their result;
+dropped, except a field's value of which base spans cover less than half; a field's value is taken whole, however long, to its closing quote or to white space; without candidates no span is added; all finders are linear in the text; repeated rows each get their result;
 columns of any name are kept.
 """
 
@@ -77,7 +77,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _DIGIT = re.compile("[0-9]")
 _RUN = re.compile(r"[0-9A-Za-z]*[0-9][0-9A-Za-z]*(?:-[0-9A-Za-z]+)*")
-_FIELD = re.compile(r"[:=]\x20*[\"']?([^\s\"'.,;:=]{6,}+)")
+# A field's value: to its closing quote, or else to the next white space, without the signs that end a sentence.
+_FIELD = re.compile(r"""[:=]\x20*(?:"(?P<a>[^"\n]{6,}+)"|'(?P<b>[^'\n]{6,}+)'|["']?(?P<c>[^\s"']{6,}+))""")
 _WORD = re.compile(r"[A-Za-z]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _GROUPS = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}|[0-9]{4}(?:-[0-9]{4}){2,3}")
@@ -95,7 +96,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Digit-bearing runs of six or more that touch no base span, and whole values of fields that aren't mostly base spans."""
     if not (_DIGIT.search(text) or ":" in text or "=" in text):
         return []
-    values = {m.span(1) for m in _FIELD.finditer(text)}
+    values = set(_values(text))
     out: list[tuple[int, int]] = []
     k, bounds = 0, sorted((a, b) for a, _, b in base)
     for a, b in sorted(values.union(m.span() for m in _digit_runs(text)), key=lambda s: (s[0], -s[1])):
@@ -108,6 +109,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _values(text: str):
+    """Places of the whole values that a colon or an equals sign introduces."""
+    at = 0
+    while m := _FIELD.search(text, at):
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "c":
+            b = a + len(m.group("c").rstrip(".,;:!?)]}>"))
+        if b > a:
+            yield a, b
+        at = m.end()
+
+
 def _covered(bounds: list[tuple[int, int]], k: int, a: int, b: int) -> int:
     """Code points of ``a`` to ``b`` that lie in the spans from the ``k``-th on."""
     n = 0

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import add_columns, arrow, batch_of, map_slices, raw_texts, stored
+from pagemill.llm.common import arrow, batch_of, map_slices, raw_texts, stored
 from pagemill.llm.components import stars
 
 #: Differing bits of a link.
@@ -63,13 +63,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, fp``."""
+    """``doc_id, text_hash, fp``; ids of any type."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        return batch_of(schema, b.column("doc_id"), [fingerprint(t) for t in raw_texts(b)])
+        return batch_of(schema, b.column("doc_id"), b.column("text_hash"), [fingerprint(t) for t in raw_texts(b)])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), fn, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_slices(hashed, fn, f"doc_id {kind.simpleString()}, text_hash long, fp long")
 
 
 #: First bit and width of the blocks of the first deal, of 64 bits.
@@ -223,7 +226,7 @@ def forest(bucketed: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id, root`` for every row; ``root`` tells groups apart, also where they share a smallest id."""
+    """``doc_id, text_hash, fp, component_id, root`` for every row; ``root`` tells groups apart, also where they share a smallest id."""
     prints = stored(fingerprints(docs), "fingerprints")
     codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-codes")
     star = stars(stored(forest(buckets(codes.select("fp"))), "fingerprint-links"))
@@ -236,21 +239,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each group the row of smallest (id, fingerprint) stays.
+    """The documents without near-duplicates: of each group the row of smallest (id, fingerprint, hash of the text) stays.
 
     Rows without an id can't stand for a group and stay. An id that is repeated with texts of several groups may stand
-    for each of them; of rows equal in id and fingerprint, one stays.
+    for each of them; of rows equal in id and text, one stays. Texts are shuffled once, by id and hash, at every size;
+    copies of a row meet in their own task first.
     """
-    narrow = stored(classes(docs.select("doc_id", "text")).where("doc_id is not null").select("doc_id", "fp", "root"), "fingerprint-rows")
-    first = narrow.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
-    keep = stored(first.select(F.col("x.doc_id").alias("__kept_id"), F.col("x.fp").alias("__kept_fp")), "kept-rows")
-    rows = narrow.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__kept_rows"))
-    ids = stored(keep.select("__kept_id").distinct().join(rows, "__kept_id"), "kept-ids")  # stored, so that the join's hot ids can be split
-    found = docs.join(ids, F.col("doc_id").cast("long") == F.col("__kept_id"))
-    single = found.where("__kept_rows = 1").select(*[found[c] for c in docs.columns])
-    again, (fp,) = add_columns(found.where("__kept_rows > 1"), lambda b: [[fingerprint(t) for t in raw_texts(b)]], "__kept_fp long")
-    again = again.dropDuplicates(["__kept_id", fp]).join(keep, ["__kept_id", fp], "left_semi").select(*docs.columns)
-    return single.unionByName(again).unionByName(docs.where("doc_id is null"))
+    key = ["__kept_id", "__kept_hash"]
+    narrow = classes(docs.select("doc_id", "text")).where("doc_id is not null")
+    first = narrow.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("x"))
+    keep = stored(first.select(F.col("x.doc_id").alias(key[0]), F.col("x.text_hash").alias(key[1])), "kept-rows")
+    keyed = docs.where("doc_id is not null").withColumns({key[0]: F.col("doc_id"), key[1]: F.xxhash64("text")})
+    kept = keyed.dropDuplicates(key).join(keep.hint("merge"), key, "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op5_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,3 +378,30 @@ def test_op10_takes_long_values_whole(spark, hard, inside):
     docs = spark.read.parquet(f"{hard}/documents.parquet").select("doc_id", "text")
     out = pii.redacted(docs.unionByName(spark.createDataFrame([(100, text)], "doc_id long, text string")))
     assert out.where("doc_id = 100").first().text == 'see api_key = "[SECRET]" and more'
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('api_key = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fw", ok', "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fw"),
+        ("token: QUJDREVGabcdefghij==\nnext", "QUJDREVGabcdefghij=="), ('secret = "abcdef:ghijkl:mnopqr"', "abcdef:ghijkl:mnopqr"),
+        ("db=postgres://user:pass@host:5432/db and", "postgres://user:pass@host:5432/db"), ("the password: s3cr3t,p4ss;w0rd. Then", "s3cr3t,p4ss;w0rd"),
+        ("key = 'four words in quotes' x", "four words in quotes"), ('key = "no end of it', None), ("key: (abcdefg1)!", "(abcdefg1"),
+    ],
+)
+def test_op10_values_are_whole(text, value):
+    found = [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))]
+    assert value in found if value else all(" " not in x for x in found)
+
+
+def test_one_per_class_takes_ids_of_any_type(spark):
+    rows = [("b", prose(1), 1), ("a", prose(1), 2), ("a", prose(1), 3), ("x y", prose(2), 4), (None, prose(2), 5), ("c", None, 6), ("d", "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n int")
+    assert sorted((r.doc_id, r.n if r.doc_id != "a" else 0) for r in simhash.one_per_class(docs).where("doc_id is not null").collect()) == [("a", 0), ("c", 6), ("x y", 4)]
+
+
+def test_one_per_class_shuffles_texts_once(spark):
+    """One plan at every size: a merge join on the texts' own partitioning, however small the ids are."""
+    docs = spark.createDataFrame([(1, "a b c", "w"), (2, "a b c", "w")], "doc_id long, text string, lang string")
+    plan = simhash.one_per_class(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 2
