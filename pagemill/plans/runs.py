@@ -176,8 +176,9 @@ _N = "CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS INTEGER)"
 def _chunked(src: str, section: str, fields: str) -> str:
     """Chunk lists of one section, in the notation of the query."""
     struct = ", ".join(f"'{f}': {f}" for f in fields.split())
+    order = ", ".join(f"{f} NULLS FIRST" for f in fields.split())
     return f"""SELECT run_id, '{section}' AS section, chunk, CAST(count(*) AS INTEGER) AS n_items,
-  '[' || string_agg(CAST(json_merge_patch('{{}}', to_json({{{struct}}})) AS VARCHAR), ',' ORDER BY id) || ']' AS items
+  '[' || string_agg(CAST(json_merge_patch('{{}}', to_json({{{struct}}})) AS VARCHAR), ',' ORDER BY {order}) || ']' AS items
 FROM (SELECT *, CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY run_id) / 1000.0) AS BIGINT) AS chunk FROM {src})
 GROUP BY run_id, chunk"""
 
