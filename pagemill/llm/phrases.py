@@ -41,7 +41,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one that holds it has at least this share of its occurrences, in percent.
 SUBSUMED = 100
 #: Pieces of a stripe.
-PIECES = 64
+PIECES = 8
 #: Bits of the bitmap for a passed phrase, at least and at most; bits of a chunk that one task makes.
 KEY_BITS, LEAST_BITS, MOST_BITS, CHUNK_BITS = 32, 1 << 20, 1 << 29, 1 << 23
 #: Entries that a task holds before it merges them, and before it hands them on.
