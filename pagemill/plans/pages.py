@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup, page, urls, values
-from pagemill.operators import crawl, extract, frontier, media, pages as ops, runs
+from pagemill.operators import crawl, elements, extract, frontier, media, pages as ops, runs
 from pagemill.plans import sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 
 
-
 def _rich(pages):
     """Pages with what the given ones lack: metadata, links to other hosts and to mail, players, and pages of links only."""
     i = F.col("page_id")
@@ -157,6 +158,74 @@ def page_list_records(spark, sf_dir):
     )
 
 
+# Lists written into the given pages, between two link columns that aren't marked as navigation. ``{j}`` counts the members.
+_MEMBERS = (
+    ("<ul class='news'>", "<li class='n{j}'><a href='/s/{i}-{j}'>Story {i}-{j} of many</a> <time datetime='2024-0{d}-15T08:00:00'>mid month</time><p>About <b>part {j}</b> of {u}</p></li>", "</ul>"),
+    ("<div>", "<div class='card odd'><a href='https://n.example.org/{i}/{j}?x=1&amp;y=2'><h3>Story <i>{i}-{j}</i> of many</h3></a><span class='date'>15.0{d}.2024</span><div><p>About</p><p>About part {j} of {u}</p></div></div>", "</div>"),
+    ("<table><tbody>", "<tr><td><h4><a href='../s/{i}-{j}'>Story {i}-{j} of many</a></h4><td>{d}<td><p>About part {j}\n of {u}<td><a href='/more'>more</a></tr>", "</tbody></table>"),
+)
+_COLUMN = "<div class='side'><ul><li><a href='/h1'>Home</a></li><li><a href='/h2'>Products and services</a></li><li><a href='/h3'>Contact</a></li><li><a href='/h4'>Imprint</a></li></ul></div>"
+
+
+def _listed(spark, sf_dir):
+    """Pages with a list of three to six members behind their start."""
+    i, site = F.col("page_id"), F.regexp_replace("url", "[?#].*$", "")
+
+    members = F.sequence(F.lit(1), (i % 4 + 3).cast("int"))
+    made = F.lit("")
+    for k, (start, one, end) in enumerate(_MEMBERS):
+        body = F.array_join(_each(members, one, i, site), "\n")
+        made = F.when(i % 3 == k, F.concat(F.lit(start), body, F.lit(end))).otherwise(made)
+    around = F.concat(F.lit("<html><body>" + _COLUMN), made, F.lit(_COLUMN), F.regexp_replace("html", "(?i)<!doctype[^>]*>", ""))
+    return heavy(spark, sf_dir, "pages").select("page_id", "url", around.alias("html"))
+
+
+def _each(members, template: str, i, site):
+    return F.transform(members, lambda m: F.concat(*_filled(template, i, m, site)))
+
+
+def _filled(template: str, i, j, site):
+    given = {"{i}": i.cast("string"), "{j}": j.cast("string"), "{d}": (i % 9 + 1).cast("string"), "{u}": site}
+    return [given.get(x, F.lit(x)) for x in re.split(r"(\{[ijdu]\})", template) if x]
+
+
+def list_items_mined(spark, sf_dir):
+    """Records of each page's list, found by their regular build among other links."""
+    return elements.list_items(ops.with_canon(_listed(spark, sf_dir)), "page_id")
+
+
+def list_records_mined(spark, sf_dir):
+    """The same records as one JSON text per page."""
+    r = elements.list_records(ops.with_canon(_listed(spark, sf_dir)))
+    g = lambda k: F.get_json_object("record", k)
+    return r.select(
+        "page_id", g("$.total_count").cast("int").alias("total_count"), g("$.items[2].title").alias("third_title"), g("$.items[2].url").alias("third_url"),
+        g("$.items[0].description").alias("first_description"), g("$.items[0].date").alias("first_date"),
+    )
+
+
+# Selectors and the text of the first element of the part that ``_marked_up`` puts in front of a page.
+_PICKS = (
+    ("#top > div > p", "first {i}"), ("#top p + p", "second {u}"), ("#top p~p.note", "second {u}"), ("#top li:first-child a", "A{i}"),
+    ("#top li:not(.on):last-child > a", "C{i}"), ("div#top li:nth-child(2)", "B{i}"), ('#top [data-k^="x-"]', "deep {i}"), ("#top a[hreflang|=en]", "C{i}"),
+    (".nowhere, #top p[class~=note], #top", "second {u}"), ("#top > .box p:last-child", "deep {i}"), ("#top li:nth-child(2n+1):not(:first-child)", "C{i}"),
+    ("#top *[data-k$='-z']", None), ("p:hover", None), ("#top > p", None), ("#top div div > p[data-k*='x']", "deep {i}"),
+)
+
+
+def page_selectors_full(spark, sf_dir):
+    """One selector per page out of all kinds: the first element's text, the number of elements, or the error."""
+    i, site = F.col("page_id"), F.regexp_replace("url", "[?#].*$", "")
+    front = (
+        "<div id='top' class='box main-x'><ul class=menu><li><a href='/a'>A{i}</a><li class='on'><a href='/b'>B{i}</a></li><li><a href='/c' hreflang='en-us'>C{i}</a></ul>"
+        "<div class='box'><p>first {i}<p class='lead note'>second {u}</p><div><p data-k='x-{i}'>deep {i}</p></div><p>last {i}</p></div></div>"
+    )
+    p = heavy(spark, sf_dir, "pages").select("page_id", F.concat(*_filled(front, i, i, site), F.col("html")).alias("html"))
+    which = F.get(F.array(*[F.lit(s) for s, _ in _PICKS]), (i % len(_PICKS)).cast("int"))
+    found = elements.select(ops.with_canon(p), which)
+    return found.select("page_id", elements.text_of(F.col("selected")).alias("picked"), (F.col("selected.n") > 0).alias("any"), F.col("selected.error").alias("error"))
+
+
 def list_to_detail_frontier(spark, sf_dir):
     p = extract.extract_by_rules(ops.with_canon(heavy(spark, sf_dir, "pages")), "list_page")
     return frontier.items_frontier(p.withColumnRenamed("record", "structured_data"))
@@ -257,7 +326,7 @@ QUERIES = {
     for f in (
         page_clean_text, page_raw_vs_clean, host_cleaning_stats, page_select_content, page_density_prune, page_metadata,
         page_links, host_link_stats, page_media, page_media_counts, page_stage2_input, url_canonical, page_article_records,
-        page_list_records, list_to_detail_frontier, product_records, paper_records, detail_records, crawl_run,
+        page_list_records, list_items_mined, list_records_mined, page_selectors_full, list_to_detail_frontier, product_records, paper_records, detail_records, crawl_run,
         crawl_run_counters, crawl_run_errors, crawl_run_documents,
     )
 }
@@ -320,7 +389,24 @@ t AS (SELECT page_id, false AS missing FROM pages WHERE page_id % 7 <> 0 OR page
 r AS (SELECT *, page_id % 10 <> 4 AS en, page_id % 10 NOT IN (4, 5) AND NOT missing AS good FROM t JOIN c USING (page_id))
 """
 
+_ITEMS = """WITH p AS (SELECT page_id, page_id % 3 AS kind, page_id % 9 + 1 AS d, regexp_replace(url, '[?#].*$', '') AS site, unnest(range(1, page_id % 4 + 4)) AS pos FROM pages),
+items AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, 'Story ' || page_id || '-' || pos || ' of many' AS title,
+  CASE kind WHEN 0 THEN regexp_extract(site, '^([a-z]+://[^/]*)', 1) || '/s/' || page_id || '-' || pos
+    WHEN 1 THEN 'https://n.example.org/' || page_id || '/' || pos || '?x=1&y=2'
+    ELSE regexp_extract(site, '^([a-z]+://[^/]*)', 1) || CASE WHEN ends_with(site, '/') THEN '/' || split_part(site, '/', 4) ELSE '' END || '/s/' || page_id || '-' || pos END AS url,
+  'About part ' || pos || ' of ' || site AS preview, CASE WHEN kind < 2 THEN '2024-0' || d || '-15' END AS published_date FROM p)"""
+
+
+def _said(t):
+    return "NULL" if t is None else "'" + t.replace("{i}", "' || page_id || '").replace("{u}", "' || regexp_replace(url, '[?#].*$', '') || '") + "'"
+
+
 ORACLES = {
+    "list_items_mined": _ITEMS + " SELECT * FROM items",
+    "list_records_mined": _ITEMS + """ SELECT page_id, CAST(count(*) AS INTEGER) AS total_count, max(title) FILTER (WHERE pos = 3) AS third_title,
+  max(url) FILTER (WHERE pos = 3) AS third_url, max(preview) FILTER (WHERE pos = 1) AS first_description, max(published_date) FILTER (WHERE pos = 1) AS first_date FROM items GROUP BY page_id""",
+    "page_selectors_full": "SELECT page_id, CASE page_id % " + str(len(_PICKS)) + " " + " ".join(f"WHEN {k} THEN {_said(t)}" for k, (_, t) in enumerate(_PICKS)) + """ END AS picked,
+  CASE WHEN page_id % 15 <> 12 THEN page_id % 15 NOT IN (11, 13) END AS any, CASE WHEN page_id % 15 = 12 THEN 'unsupported selector: p:hover' END AS error FROM pages""",
     "page_clean_text": f"SELECT page_id, {q.CLEAN} AS clean FROM pages",
     "page_raw_vs_clean": _over_rich(f"""WITH {_VERSIONS}
 SELECT page_id, CAST(length(raw) AS INTEGER) AS raw_len, CAST(length(fit) AS INTEGER) AS fit_len, md5(raw) AS raw_md5, md5(fit) AS fit_md5,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +41,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = "/tmp/pagemill"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, which may start where it isn't installed. Once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_has_pagemill", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp()) / "pagemill.zip"  # read by the driver only, which serves it to executors
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(packed))
+    sc._has_pagemill = True
