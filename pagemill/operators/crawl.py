@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import page, records
 from pagemill.operators import extract, frontier as urls_ops, pages as page_ops, upsert
+from pagemill.session import shared_dir
 
 NO_PAGE = "No page for this URL"
 
@@ -25,10 +26,19 @@ _ORDER = ("ts", "fetched_at", "page_id")
 
 @dataclass
 class Run:
-    """Results of ``run``; all lazy. ``pages`` feeds the others: persist it when several are written."""
+    """Results of ``run``; all lazy. ``pages`` feeds the others: ``written`` it is worked out once for all of them."""
 
     pages: DataFrame
 
+    def written(self) -> Run:
+        """The same results read back from a table in the shared folder; each view then reads the columns it needs.
+
+        The run's filters and lists would otherwise repeat the extraction for every reference to its outcome.
+        """
+        spark, path = self.pages.sparkSession, shared_dir(self.pages.sparkSession, "crawl-run")
+        self.pages.write.parquet(path)
+        return Run(spark.read.schema(self.pages.schema).parquet(path))
+
     @property
     def attempts(self) -> DataFrame:
         """Rows for the accounting in ``operators.runs``."""
@@ -67,12 +77,13 @@ def run(frontier: DataFrame, registry: DataFrame, pages: DataFrame, kind: str =
     # Whether a fetch worked is told without the HTML, so the search for repeated URLs reads no HTML.
     fetched = F.coalesce("success", F.lit(True)) if "success" in pages.columns else F.lit(True)
     message = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    # A snapshot may hold a URL twice: its latest row counts.
-    order = F.struct(*[c for c in _ORDER if c in pages.columns], F.xxhash64("html"))
+    # A snapshot may hold a URL twice: its latest row counts. Where no page id decides ties, the HTML does.
+    order = F.struct(*[c for c in _ORDER if c in pages.columns], *([] if "page_id" in pages.columns else [F.xxhash64("html")]))
     facts = pages.groupBy("url").agg(F.max_by(F.struct(fetched.alias("fetched"), message.alias("fetch_error")), order).alias("p"))
     narrow = todo.join(facts.select("url", "p.*"), "url", "left").withColumn("ok", F.coalesce("fetched", F.lit(False)))
     # The HTML is shuffled once, and only joined to the rows that run.
-    tried = urls_ops.processed_occurrences(narrow).join(pages.groupBy("url").agg(F.max_by("html", order).alias("html")), "url", "left")
+    wanted = pages.join(todo.select("url").distinct(), "url", "left_semi")
+    tried = urls_ops.processed_occurrences(narrow).join(wanted.groupBy("url").agg(F.max_by("html", order).alias("html")), "url", "left")
     limit, none = F.col("content_filter_threshold"), F.lit(None).cast("string")
     selector = page.content_selector(F.col("css_selector"), F.col("content_selector"))["selector"]
     readable = tried.withColumn("html", F.when(F.col("ok"), F.col("html")))

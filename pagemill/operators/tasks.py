@@ -117,6 +117,21 @@ def list_tasks(tasks: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
     return tasks.orderBy("created_at", "task_id").offset(skip).limit(limit)
 
 
+def list_tasks_after(tasks: DataFrame, after: tuple | None = None, limit: int = 100) -> DataFrame:
+    """The next page of the same list: the rows behind ``after``, the (created_at, task_id) of the last row seen.
+
+    A range filter on ``created_at`` reaches the scan and each task keeps its first ``limit`` rows, so a late page costs
+    no more than an early one; rows that come or go on earlier pages move nothing. Tasks without a date come first.
+    """
+    if after is not None:
+        at, last = F.lit(after[0]).cast(tasks.schema["created_at"].dataType), F.lit(after[1])
+        at_or_behind = F.col("created_at").isNull() & (F.col("task_id") > last) | F.col("created_at").isNotNull()
+        if after[0] is not None:
+            at_or_behind = (F.col("created_at") >= at) & ((F.col("created_at") > at) | (F.col("task_id") > last))
+        tasks = tasks.where(at_or_behind)
+    return tasks.orderBy("created_at", "task_id").limit(limit)
+
+
 def export_json(tasks: DataFrame) -> Column:
     """Exported form of a task as JSON text, keys left out."""
     fields = [without_secrets(F.col(f)).alias(f) if f == "llm_params" else F.col(f) for f in EXPORT_FIELDS if f in tasks.columns]

@@ -291,7 +291,7 @@ def _crawled(spark, sf_dir):
         (i % 4 != 1).alias("stage2_fallback_enabled"),
     )
     known = table(spark, sf_dir, "pages").where(i % 7 == 0).select("url")
-    return crawl.run(todo, known, p)
+    return crawl.run(todo, known, p).written()
 
 
 def crawl_run(spark, sf_dir):

@@ -45,6 +45,13 @@ def task_page(spark, sf_dir):
     return ops.list_tasks(_tasks(spark, sf_dir), 40, 100).select("task_id", "name", "created_at")
 
 
+def task_page_by_key(spark, sf_dir):
+    """The same page, reached from the last key of the forty tasks before it."""
+    t = _tasks(spark, sf_dir).select("task_id", "name", "created_at")
+    before = ops.list_tasks_after(t, None, 40).collect()  # one page
+    return ops.list_tasks_after(t, (before[-1]["created_at"], before[-1]["task_id"]) if before else None, 100)
+
+
 def task_lookup(spark, sf_dir):
     """One task by id: the filter reaches the scan."""
     t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
@@ -236,7 +243,7 @@ def template_resolution(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        task_validation, task_page, task_lookup, documents_of_run, frontier_dedup, registry_merge, document_upsert, image_upsert, attachment_upsert,
+        task_validation, task_page, task_page_by_key, task_lookup, documents_of_run, frontier_dedup, registry_merge, document_upsert, image_upsert, attachment_upsert,
         task_partial_update, task_cascade_delete, only_after_filter, provider_resolution, param_merge, template_resolution,
     )
 }
@@ -262,6 +269,7 @@ SELECT task_id, array_to_string(list_filter([
   CASE WHEN length(name) < 1 THEN 'name is empty' END, CASE WHEN length(name) > 255 THEN 'name is longer than 255' END,
   CASE WHEN len(urls) < 1 THEN 'At least one URL is required' END, CASE WHEN len(bad) > 0 THEN 'Invalid URL format: ' || bad[1] END],
   lambda x: x IS NOT NULL), '; ') AS reasons FROM b""",
+    "task_page_by_key": f"WITH {_TASKS} SELECT task_id, name, created_at FROM tasks ORDER BY created_at, task_id LIMIT 100 OFFSET 40",
     "task_page": f"WITH {_TASKS} SELECT task_id, name, created_at FROM tasks ORDER BY created_at, task_id LIMIT 100 OFFSET 40",
     "task_lookup": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 42",
     "documents_of_run": "SELECT o_orderkey AS id, o_custkey AS run_id, o_orderpriority AS title FROM orders WHERE o_custkey = 7",

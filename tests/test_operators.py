@@ -347,3 +347,33 @@ def test_answers_of_one_attempt(spark):
     out = spark.createDataFrame([("r", "u", 1, "z", 1), ("r", "u", 1, "a", 2), ("r", "v", 1, "k", 1), ("r", "v", 1, "k", 2)], "run_id string, url string, attempt int, raw_content string, seq int")
     get = lambda **k: {r.url: r.primary for r in extract.with_attempts(pages, out, **k).collect()}
     assert get() == {"u": None, "v": "k"} and get(order="seq") == {"u": "a", "v": "k"}
+
+
+def test_paging_by_key(spark, tmp_path):
+    """Pages by key, put together, are the list: ties, tasks without a date, and a filter that reaches the scan."""
+    rows = [(f"t{i:03d}", None if i % 17 == 0 else ts(1 + i % 5)) for i in range(200)]
+    spark.createDataFrame(rows, "task_id string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    seen, after = [], None
+    while page := [tuple(r) for r in tasks.list_tasks_after(t, after, 23).collect()]:
+        seen += page
+        after = (page[-1][1], page[-1][0])
+    assert seen == [tuple(r) for r in tasks.list_tasks(t, 0, 1000).collect()] and len(seen) == 200
+    plan = tasks.list_tasks_after(t, (ts(2), "t010"), 23)._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(created_at" in plan
+
+
+def test_written_run_is_worked_out_once(spark):
+    """The views of a written run read a table: no page, no pattern is left in their plans."""
+    from pagemill.operators import crawl
+
+    pages = spark.createDataFrame([(1, "u", "<h1>x</h1><p>word word</p>")], "page_id int, url string, html string")
+    todo = spark.sql(
+        """SELECT 'r' run_id, 't' task_id, 1 idx, 'u' url, timestamp_ntz'2024-01-01' ts, true deduplication_enabled, '' css_selector, CAST(NULL AS STRING) content_selector,
+        0.4d content_filter_threshold, true has_config, 'p' prompt, true has_key, CAST(NULL AS STRING) output_schema, false stage2_fallback_enabled"""
+    )
+    lazy = crawl.run(todo, spark.createDataFrame([], "url string"), pages)
+    once = lazy.written()
+    assert [tuple(r) for r in once.attempts.collect()] == [tuple(r) for r in lazy.attempts.collect()]
+    plan = runs.errors(once.attempts)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "html" not in plan.lower()
