@@ -2,7 +2,10 @@
 
 Every slice of documents is a shard: its words become one stream of numbers, of which a suffix array is built; every
 suffix of every benchmark item is binary-searched in it, word by word, for all suffixes at once. That gives the longest
-verbatim match of each suffix and all its places; matches as long as a window mark the document's words as hit.
+verbatim match of each suffix and the range of the suffix array where it stands; matches as long as a window mark the
+document's words as hit. Places are marked by ranges and common prefixes, pairs of places are never listed, so a word
+repeated a million times in a text costs no more than other words. Searching takes time by the summed length of the
+matches of each block's suffixes, whatever the number of places.
 
 What can't hold a window is left out before sorting, exactly: words that no item has end a run, and runs shorter than
 the shortest window hold none. Suffixes are sorted on as many words as the longest item has.
@@ -11,7 +14,8 @@ The benchmark is the stated query set. It goes to the tasks in blocks of at most
 costs one more pass over the documents for each block. Nothing is shuffled.
 
 Edge cases: null texts and texts without words have no words and are never contaminated; items without id or words are
-ignored, items of one id count once; repeated rows each get their result; columns of any name are kept.
+ignored, items of one id count once and ids may have any type; without items nothing is hit; repeated rows each get
+their result; columns of any name are kept. A text longer than a slice is a shard of its own.
 """
 
 from __future__ import annotations
@@ -37,9 +41,9 @@ SHARE = 20
 class Suffixes:
     """All suffixes of a block of items as word numbers; number 0 is any word that the block doesn't have."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
         self.words: dict[bytes, int] = {}
-        self.names: list[int] = []
+        self.names: list = []
         stream: list[int] = []
         item, left = [], []
         for name, text in items:
@@ -54,21 +58,46 @@ class Suffixes:
         self.item, self.left = np.array(item, np.int64), np.array(left, np.int64)
         size = np.bincount(self.item, minlength=len(self.names))
         self.need = np.minimum(window, size)[self.item] if len(item) else self.left
+        self.window = window
         self.longest = int(size.max()) if len(size) else 0
         self.shortest = int(self.need.min()) if len(item) else 0
 
 
-def suffix_array(stream: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in order of their first ``depth`` words, by doubling."""
+def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Starts of the suffixes in order of their first ``depth`` words, by doubling; and each step's words and ranks."""
     rank, k = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1
+    ranks = [(k, rank)]
     while k < depth:
         key = rank * (len(stream) + 1)
         key[:-k] += rank[k:] + 1
         values, rank = np.unique(key, return_inverse=True)
         k *= 2
+        ranks.append((k, rank))
         if len(values) == len(stream):
             break
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable"), ranks
+
+
+def shared_words(order: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Words that each suffix has in common with the one before it in order (0 for the first), as far as was sorted."""
+    a, b = order[:-1].copy(), order[1:].copy()
+    same = np.zeros(len(order), np.int64)
+    for k, rank in reversed(ranks):
+        inside = np.flatnonzero(np.maximum(a, b) < len(order))
+        equal = inside[rank[a[inside]] == rank[b[inside]]]
+        a[equal] += k
+        b[equal] += k
+        same[equal + 1] += k
+    return same
+
+
+def _carry(value: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Running ``max(value[i], min(result[i - 1], limit[i]))``, in log n steps."""
+    value, limit, step = value.copy(), limit.copy(), 1
+    while step < len(value) and limit.any():
+        value[step:], limit[step:] = np.maximum(value[step:], np.minimum(value[:-step], limit[step:])), np.minimum(limit[step:], limit[:-step])
+        step *= 2
+    return value
 
 
 def search(stream: np.ndarray, order: np.ndarray, q: Suffixes):
@@ -131,24 +160,61 @@ class Shard:
         self.place = where - first[self.doc]
 
 
-def matches(shard: Shard, q: Suffixes) -> tuple[np.ndarray, ...]:
-    """Longest verbatim matches of at least a window: document, first word, words, item, first word in the item's stream."""
-    none = np.zeros(0, np.int64)
-    if not len(shard.stream) or not len(q.stream):
-        return none, none, none, none
-    order = suffix_array(shard.stream, q.longest)
-    _, _, _, low, high = search(shard.stream, order, q)
-    count = high - low
-    suffix = np.repeat(np.arange(len(count)), count)
-    at = order[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-    # Windows that follow each other in both texts are one match.
-    by = np.lexsort((at, at - suffix))
-    at, suffix = at[by], suffix[by]
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(suffix) != 1) | (np.diff(q.item[suffix]) != 0)
-    first = np.flatnonzero(new)
-    runs = np.diff(np.concatenate([first, [len(at)]]))
-    return shard.doc[at[first]], shard.place[at[first]], runs - 1 + q.need[suffix[first]], q.item[suffix[first]]
+def _sets(low: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For windows numbered 0, 1, ...: which of the distinct sets of items each one has, and those sets."""
+    by = np.unique(np.stack([low, item], 1), axis=0)
+    known: dict[bytes, int] = {}
+    sets, which = [], []
+    for part in np.split(by[:, 1], np.flatnonzero(np.diff(by[:, 0])) + 1):
+        number = known.setdefault(part.tobytes(), len(known))
+        if number == len(sets):
+            sets.append(part)
+        which.append(number)
+    return np.array(which, np.int64), sets
+
+
+def matches(shard: Shard, q: Suffixes) -> tuple[list[tuple[int, int, int]], dict[int, set[int]], dict[int, int]]:
+    """Spans hit (document, first word, word behind), items by document, words of the longest match by document.
+
+    Windows of one length have disjoint ranges of the suffix array: each rank lies in one of them at most. The longest
+    match of a place is that of the nearest rank where a search ended, cut to the words shared up to there.
+    """
+    spans, items, longest = [], {}, {}
+    n = len(shard.stream)
+    if not n or not len(q.stream):
+        return spans, items, longest
+    order, ranks = suffix_array(shard.stream, q.longest)
+    length, low, _, window_low, window_high = search(shard.stream, order, q)
+    found = np.flatnonzero(window_high > window_low)
+    if not len(found):
+        return spans, items, longest
+    edge, best = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    for k in np.unique(q.need[found]).tolist():
+        some = found[q.need[found] == k]
+        start, one, number = np.unique(window_low[some], return_index=True, return_inverse=True)
+        stop = window_high[some][one]
+        window = np.searchsorted(start, np.arange(n), "right") - 1
+        rank = np.flatnonzero((window >= 0) & (np.arange(n) < stop[window]))
+        place = order[rank]
+        edge[place] += 1
+        edge[place + k] -= 1
+        if k == q.window:
+            ends = np.zeros(n, np.int64)
+            np.maximum.at(ends, low[some], length[some])
+            same = shared_words(order, ranks)
+            ends = np.maximum(_carry(ends, same), _carry(ends[::-1], np.concatenate([[0], same[1:][::-1]]))[::-1])
+            best[rank] = np.maximum(best[rank], ends[rank])
+        else:
+            best[rank] = np.maximum(best[rank], k)
+        which, sets = _sets(number, q.item[some])
+        for d, s in np.unique(np.stack([shard.doc[place], which[window[rank]]], 1), axis=0).tolist():
+            items.setdefault(d, set()).update(sets[s].tolist())
+    hit = np.diff(np.concatenate([[0], np.cumsum(edge[:n]) > 0, [0]]).astype(np.int8))
+    first, last = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1) - 1
+    spans = list(zip(shard.doc[first].tolist(), shard.place[first].tolist(), (shard.place[last] + 1).tolist(), strict=True))
+    most = np.zeros(len(shard.sizes), np.int64)
+    np.maximum.at(most, shard.doc[order], best)
+    return spans, items, {d: int(most[d]) for d in items}
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,13 +227,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<long>, longest long"
+_FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<{}>, longest long"
 
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK):
-    """The benchmark in blocks of items; the driver holds one block at a time."""
+    """The benchmark in blocks of items; the driver holds one block and one partition of the items at a time."""
     held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("item_id is not null and text is not null")
+    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     for name, text in rows.toLocalIterator():
         if held and size + len(text) > most:
             yield held
@@ -177,7 +243,7 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK):
     yield held
 
 
-def _annotate(docs: DataFrame, block, names: list[str] | None, window: int) -> tuple[DataFrame, list[str]]:
+def _annotate(docs: DataFrame, block, ids: str, names: list[str] | None, window: int) -> tuple[DataFrame, list[str]]:
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK bytes, or one item
     made: list[Suffixes] = []
 
@@ -191,21 +257,24 @@ def _annotate(docs: DataFrame, block, names: list[str] | None, window: int) -> t
         if names:
             for i, (s, t, m) in enumerate(zip(*(batch.column(n).to_pylist() for n in names[1:]), strict=True)):
                 spans[i], items[i], longest[i] = [(x["start"], x["stop"]) for x in s], set(t), m
-        for d, p, n, i in zip(*(x.tolist() for x in matches(shard, q)), strict=True):
-            spans[d].append((p, p + n))
-            items[d].add(q.names[i])
-            longest[d] = max(longest[d], n)
+        new, named, most = matches(shard, q)
+        for d, start, stop in new:
+            spans[d].append((start, stop))
+        for d, found in named.items():
+            items[d].update(q.names[i] for i in found)
+            longest[d] = max(longest[d], most[d])
         merged = [[{"start": a, "stop": b} for a, b in merge_spans(s)] if s else [] for s in spans]
         return [shard.sizes, merged, [sorted(x) for x in items], longest]
 
-    return add_columns(docs, fn, _FOUND, replace=names)
+    return add_columns(docs, fn, _FOUND.format(ids), replace=names)
 
 
 def located(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
     """``docs`` with words, hit spans (in words), items and the longest verbatim match; and the four new columns' names."""
     names: list[str] | None = None
+    ids = benchmark.schema["item_id"].dataType.simpleString()
     for i, part in enumerate(blocks_of(benchmark, block)):
-        docs, names = _annotate(stored(docs, "decontaminated") if i else docs, part, names, window)
+        docs, names = _annotate(stored(docs, "decontaminated") if i else docs, part, ids, names, window)
     return docs, names
 
 

@@ -3,9 +3,12 @@
 Only DataFrame functions are used. A record's slot never changes; rebalancing edits the map, which has one row
 per slot and so a fixed size. Law: ``bytes``.
 
-Edge cases: a null text has no bytes (size 1, CRC 0); null ids hash like any value; repeated rows are counted
-before the shuffle and each copy hashes by its own number, so copies of one row spread over slots; an empty
-table gives an empty result and a map of empty slots.
+The map is a table of versions: ``shard`` deals the first, or goes by one that is given; ``grow`` and ``moved`` edit it.
+
+Edge cases: a null text has no bytes (size 1, CRC 0), a long one counts whole; null ids hash like any value; repeated
+rows are counted before the shuffle and numbered in blocks of ``BLOCK`` copies that go to different tasks, and each
+copy hashes by its own number, so copies of one row spread over slots; slots of equal bytes are dealt by number; an
+empty table gives an empty result and a map of empty slots.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pagemill.llm.common import crc_of, stored
 
 #: Virtual slots. At 100 TB one slot is about 25 GB of text, of which only ids and sizes are shuffled.
 SLOTS = 4096
+#: Copies of one row that a task numbers at a time.
+BLOCK = 10_000
 
 
 def records(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,7 +32,12 @@ def records(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: str
         crc_of(F.col(text)).alias("text_crc32"),
     )
     counted = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    # A number of partitions that is given isn't coalesced by the bytes of blocks that have yet to grow.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    blocks = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
+    dealt = blocks.repartition(tasks, "doc_id", "text_crc32", "first")
+    inside = F.sequence("first", F.least(F.col("first") + BLOCK, F.col("n")) - 1)
+    each = dealt.withColumn("copy", F.explode(inside)).drop("n", "first")
     return each.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "copy"), F.lit(slots)).cast("int"))
 
 
@@ -70,6 +80,20 @@ def grow(slot_map: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def moved(slot_map: DataFrame, moves: DataFrame) -> DataFrame:
+    """The next version after moving some slots by hand; ``moves``: ``virtual_slot, shard``, the largest shard counts if one is named twice."""
+    to = moves.groupBy("virtual_slot").agg(F.max("shard").alias("to"))
+    return slot_map.join(to, "virtual_slot", "left").select(
+        (F.col("version") + 1).alias("version"), "virtual_slot", F.coalesce("to", "shard").cast("int").alias("shard"), "bytes"
+    )
+
+
+def newest(versions: DataFrame) -> DataFrame:
+    """The last version of a stored map."""
+    last = Window.partitionBy()
+    return versions.withColumn("last", F.max("version").over(last)).where("version = last").drop("last")
+
+
 def with_shards(recs: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each record with its shard and its gapless place in it.
 
@@ -86,10 +110,16 @@ def with_shards(recs: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataF
     return numbered.join(F.broadcast(placed), "virtual_slot").withColumn("slot", (F.col("first") + F.col("at") - 1).cast("long")).drop("first", "at")
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """The placed records, and the stored map of both versions (``shards``, then one more)."""
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, versions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The placed records, and the stored map of both versions (``shards``, then one more).
+
+    With ``versions``, a map stored before, records go by its last version and it comes back as it is; it must have a
+    row for each of the ``slots``.
+    """
     recs = stored(records(docs, slots), "shard-records")
     sizes = stored(slot_sizes(recs, slots).coalesce(1), "slot-sizes")
+    if versions is not None:
+        return with_shards(recs, newest(versions), sizes), versions
     first = stored(first_map(sizes, shards).coalesce(1), "slot-map-0")
     placed = with_shards(recs, first, sizes)
     return placed, first.unionByName(stored(grow(first, shards).coalesce(1), "slot-map-1"))

@@ -1,6 +1,8 @@
 """Decontamination against a plain version and its SQL, and the pipeline stage by stage."""
 
 import re
+import random
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
@@ -52,6 +54,50 @@ def test_op2_longest_match(spark):
     assert {r["doc_id"]: r[names[3]] for r in found.collect()} == {1: 40, 2: 17, 3: 0}
 
 
+@pytest.mark.parametrize("window", [3, 13])
+def test_op2_longest_against_plain(window):
+    """Longest matches and spans of random texts of few words, copies and repeats included, against a plain search."""
+    r = random.Random(window)
+    text = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    for _ in range(60):
+        items = [(i, text(r.randrange(1, 30)).encode()) for i in range(4)] + [(9, b"a a a a a a a a a a a a a a a a a a")]
+        docs = [text(r.randrange(0, 60)) for _ in range(5)] + ["a " * 40, items[0][1].decode(), "x a b", ""]
+        q = decontaminate.Suffixes(items, window)
+        spans, named, longest = decontaminate.matches(decontaminate.Shard([d.encode() for d in docs], q), q)
+        for d, t in enumerate(docs):
+            w, hit, names, most = t.split(), set(), set(), 0
+            for name, x in items:
+                v = x.decode().split()
+                for p in range(len(w)):
+                    for s in range(len(v)):
+                        n = 0
+                        while p + n < len(w) and s + n < len(v) and w[p + n] == v[s + n]:
+                            n += 1
+                        if n >= min(window, len(v)):
+                            names.add(name)
+                            most = max(most, n)
+                            hit.update(range(p, p + n))
+            assert {x for e, a, b in spans if e == d for x in range(a, b)} == hit
+            assert {q.names[i] for i in named.get(d, ())} == names and longest.get(d, 0) == most
+
+
+def test_op2_one_word_repeated():
+    """Neither time nor memory grows with the product of the repeats."""
+    q = decontaminate.Suffixes([(1, b"word " * 300), (2, b"word " * 13)])
+    shard = decontaminate.Shard([b"word " * 200_000], q)
+    tracemalloc.start()
+    spans, named, longest = decontaminate.matches(shard, q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [(0, 0, 200_000)] and named == {0: {0, 1}} and longest == {0: 300} and peak < 400 << 20
+
+
+def test_op2_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("d", ITEM), ("e", "nothing")], "doc_id string, text string")
+    found, names = decontaminate.located(docs, spark.createDataFrame([("i-1", ITEM), ("i-2", "?")], "item_id string, text string"))
+    assert {r["doc_id"]: r[names[2]] for r in found.collect()} == {"d": ["i-1"], "e": []}
+
+
 def test_op2_sql(spark, sf_dir):
     import check_oracles as check
     import duckdb

@@ -9,6 +9,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pagemill.llm import bpe, gbt, license_templates, linear, pii, plans, quality_ftrl, quality_rules, sharding, simhash, token_output, toxicity
 
 from .conftest import ROWS, prose
@@ -111,6 +112,29 @@ def test_op3_copies_of_one_row_spread(spark):
     assert Counter(r["count"] > 60 for r in placed.groupBy("shard").count().collect()) == {True: 4}
 
 
+def test_op3_a_row_repeated_a_million_times(spark):
+    docs = spark.range(1_000_000).selectExpr("7L as doc_id", "'same' as text")
+    recs = sharding.records(docs, 64)
+    rows = recs.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("low"), F.max("copy").alias("high")).collect()
+    assert sum(r["n"] for r in rows) == 1_000_000 and max(r["n"] for r in rows) <= 400_000
+    assert (min(r.low for r in rows), max(r.high for r in rows)) == (0, 999_999) and recs.select("copy").distinct().count() == 1_000_000
+
+
+def test_op3_goes_by_a_stored_map(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    placed, versions = sharding.shard(docs, 4, 64)
+    moves = spark.createDataFrame([(3, 2), (3, 1), (5, 0)], "virtual_slot int, shard int")
+    edited = versions.unionByName(sharding.moved(sharding.newest(versions), moves))
+    again, kept = sharding.shard(docs, 4, 64, edited)
+    want = {r.virtual_slot: r.shard for r in versions.where("version = 1").collect()} | {3: 2, 5: 0}
+    assert {r.version for r in kept.select("version").distinct().collect()} == {0, 1, 2}
+    places = {}
+    for r in again.collect():
+        assert r.shard == want[r.virtual_slot]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and again.count() == placed.count()
+
+
 def test_op4_chain(spark, sf_dir, hard):
     got = by_id(spark, hard, "op4_classifier_chain")
     assert all(0 <= r.p_toxic <= 1 for r in got.values())
