@@ -103,7 +103,7 @@ def library_read(spark, sf_dir):
 
 
 def run_logs_written(spark, sf_dir):
-    """Manifests, counters and error logs of all runs below their folders, counted from the written files."""
+    """Manifests, counters and error logs of all runs, packed in few files and counted from them."""
     a = inputs.attempts(spark, sf_dir)
     runs = inputs.event_runs(spark, sf_dir)
     dates = runs.select("run_id", "run_date")
@@ -111,12 +111,21 @@ def run_logs_written(spark, sf_dir):
     index = run_ops.counters(a).join(dates, "run_id").select("run_id", "run_date", "documents_created")
     log = run_ops.error_log(run_ops.errors(a)).join(dates, "run_id").select("run_id", "run_date", "chunk", F.size("errors").alias("n"))
     out = shared_dir(spark, "run-logs")
-    tables.write_run_logs(manifests, index, log, out)
-    read = lambda kind, n: spark.read.parquet(f"{out}/{kind}").groupBy("run_date", "run_id").agg(n.alias("n")).withColumn("kind", F.lit(kind))
-    return (
-        read("run_manifest", F.count(F.lit(1))).unionByName(read("resource_index", F.sum("documents_created"))).unionByName(read("error_log", F.sum("n")))
-        .select("kind", F.col("run_date").cast("date").alias("run_date"), "run_id", F.col("n").cast("bigint").alias("n"))
+    tables.pack_run_logs(manifests, index, log, out)
+    inside = lambda path: F.get_json_object("content", path).cast("bigint")
+    n = F.when(F.col("kind") == "run_manifest", F.lit(1)).when(F.col("kind") == "resource_index", inside("$.documents_created")).otherwise(inside("$.n"))
+    return tables.read_packed(spark, out).groupBy("kind", "run_date", "run_id").agg(F.sum(n.cast("bigint")).alias("n"))
+
+
+def run_artifact_index(spark, sf_dir):
+    """Error texts of all attempts packed in two batches by date, and what the index of files says about each run."""
+    e = run_ops.errors(inputs.attempts(spark, sf_dir)).select(
+        F.col("ts").cast("date").alias("run_date"), "run_id", F.coalesce("stage", F.lit("other")).alias("kind"), F.col("error").alias("content")
     )
+    out, cut = shared_dir(spark, "packed"), F.lit("2024-01-15").cast("date")
+    tables.write_packed(e.where(F.col("run_date") < cut), out, 0)
+    tables.write_packed(e.where(F.col("run_date") >= cut), out, 1)
+    return tables.packed_index(spark, out).groupBy("run_date", "run_id", "kind", "batch").agg(F.sum("n").alias("n"))
 
 
 def resource_view(spark, sf_dir):
@@ -198,7 +207,7 @@ def stream_run_monitor(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        task_export_import, task_yaml_round_trip, registry_snapshots, artifact_sink, blob_index, library_read, run_logs_written, resource_view,
+        task_export_import, task_yaml_round_trip, registry_snapshots, artifact_sink, blob_index, library_read, run_logs_written, run_artifact_index, resource_view,
         pluggable_extractor, stream_page_ingest,
         stream_registry, stream_dedup, stream_dedup_exact, stream_run_monitor,
     )
@@ -235,6 +244,9 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
 SELECT 'run_manifest' AS kind, run_date, run_id, CAST(1 AS BIGINT) AS n FROM event_runs
 UNION ALL SELECT 'resource_index', run_date, run_id, count(*) FILTER (WHERE saved) FROM event_runs JOIN attempts USING (run_id) GROUP BY run_date, run_id
 UNION ALL SELECT 'error_log', run_date, run_id, count(*) FROM event_runs JOIN errors USING (run_id) GROUP BY run_date, run_id""",
+    "run_artifact_index": inputs.with_views(inputs.ATTEMPTS, inputs.ERRORS) + """
+SELECT CAST(ts AS DATE) AS run_date, run_id, coalesce(stage, 'other') AS kind, CAST(ts >= TIMESTAMP '2024-01-15' AS INTEGER) AS batch, CAST(count(*) AS BIGINT) AS n
+FROM errors GROUP BY ALL""",
     "resource_view": inputs.with_views(inputs.SHOP_IMAGES) + """SELECT id, document_id, original_url, minio_path, CAST(NULL AS VARCHAR) AS alt_text,
   CAST(length(original_url) AS BIGINT) AS size_bytes, 'image/png' AS mime_type, download_status, CAST(NULL AS VARCHAR) AS download_method,
   TIMESTAMP '2024-01-02' AS created_at FROM shop_images""",

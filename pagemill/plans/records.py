@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from json import dumps
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import page, records, values
-from pagemill.operators import extract, pages as ops
+from pagemill.operators import conformance, extract, pages as ops
 from pagemill.plans import sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 
@@ -21,6 +23,35 @@ NOTICE_SCHEMA = {
         "parts": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}},
     },
 }
+_LINE = {"no": {"type": "integer"}, "qty": {"type": "number"}, "flag": {"type": "string"}, "dates": {"type": "object"}}
+#: The schema of each task, which is an order's priority here.
+ORDER_SCHEMAS = {
+    "1-URGENT": {
+        "type": "object", "required": ["id", "lines"],
+        "properties": {"lines": {"type": "array", "minItems": 3, "items": {"properties": {"qty": {"maximum": 40}}}}},
+    },
+    "2-HIGH": {
+        "properties": {
+            "status": {"enum": ["F", "O"]}, "customer": {"type": "object", "required": ["note"]},
+            "lines": {"items": {"type": "object", "required": ["rest"]}},
+        },
+    },
+    "3-MEDIUM": {
+        "properties": {
+            "lines": {
+                "maxItems": 5,
+                "items": {"properties": {"flag": {"enum": ["A", "N"]}, "dates": {"properties": {"ship": {"type": "string", "format": "date"}}}}},
+            },
+        },
+    },
+    "4-NOT SPECIFIED": {"properties": {"placed": {"format": "date"}, "total": {"type": "integer"}, "id": {"minimum": 100}}},
+    "5-LOW": {
+        "properties": {
+            "status": {"type": ["string", "null"]}, "customer": {"properties": {"note": {"type": "string", "minLength": 4}, "key": {"type": "string"}}},
+            "lines": {"items": {"properties": _LINE, "additionalProperties": False}},
+        },
+    },
+}
 PRODUCT_SCHEMA = {
     "type": "object",
     "properties": {
@@ -66,6 +97,46 @@ def page_record_conformance(spark, sf_dir):
     )
 
 
+def _order_records(spark, sf_dir):
+    """A record per order with its lines inside; the order's priority is the task that made it."""
+    shown = F.when(F.col("l_linenumber") % 2 == 1, F.date_format("l_shipdate", "yyyy/MM/dd")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    line = F.struct(
+        F.col("l_linenumber").alias("no"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag"),
+        F.struct(shown.alias("ship")).alias("dates"), F.when(F.col("l_tax") == 0, F.lit("none")).alias("rest"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    # A number of partitions that is given isn't coalesced by bytes: the records are small and the work on them isn't.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    o = table(spark, sf_dir, "orders").repartition(tasks, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    k = F.col("o_orderkey")
+    whole = F.to_json(F.struct(
+        k.alias("id"), F.col("o_orderstatus").alias("status"), "lines",
+        F.date_format("o_orderdate", "yyyy-MM-dd").substr(F.lit(1), F.when(k % 4 == 0, F.lit(7)).otherwise(F.lit(10))).alias("placed"),
+        F.struct(F.col("o_custkey").alias("key"), F.when(F.col("o_custkey") % 3 != 0, text("n", F.col("o_custkey"))).alias("note")).alias("customer"),
+    ))
+    total = F.when(k % 3 == 0, k.cast("string")).otherwise(text(k, ".25"))
+    record = F.when(k % 11 == 0, F.lit("{cut off")).otherwise(text('{"total":', total, ",", F.substr(whole, F.lit(2))))
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("task_id"), record.alias("record"))
+
+
+def _order_tasks(spark):
+    return spark.createDataFrame([(t, dumps(s)) for t, s in ORDER_SCHEMAS.items()], "task_id string, schema string")
+
+
+def record_conformance_by_task(spark, sf_dir):
+    """Records of five tasks, each against its task's schema, nested items included."""
+    v = conformance.conformance(_order_records(spark, sf_dir), _order_tasks(spark))
+    return v.select(
+        "o_orderkey", "task_id", "checked", F.size("violations").alias("n_violations"),
+        F.array_join(F.array_sort(F.transform("violations", lambda x: F.concat_ws(" ", x["path"], x["keyword"], x["argument"]))), "; ").alias("violations"),
+    )
+
+
+def task_conformance_report(spark, sf_dir):
+    """How many records of each task break each rule of its schema."""
+    return conformance.report(conformance.conformance(_order_records(spark, sf_dir), _order_tasks(spark)))
+
+
 def record_typed(spark, sf_dir):
     """Product records as a typed table; values that do not fit their type become NULL."""
     json = text(
@@ -144,13 +215,42 @@ def date_price_normalize(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_record_normalized, page_record_conformance, record_typed, record_key_preview, result_wrap, stage2_status, date_price_normalize,
+        page_record_normalized, page_record_conformance, record_conformance_by_task, task_conformance_report, record_typed, record_key_preview, result_wrap, stage2_status, date_price_normalize,
     )
 }
 
 _TITLE = q.inline(r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
 
+# Every rule as a condition over an order and its lines.
+_ORDER_RULES = """l AS (SELECT l_orderkey, count(*) AS n, bool_or(l_quantity > 40) AS big, bool_or(l_tax <> 0) AS lacks, bool_or(l_tax = 0) AS has,
+  bool_or(l_returnflag NOT IN ('A', 'N')) AS odd, bool_or(l_linenumber % 2 = 1) AS slashed FROM lineitem GROUP BY 1),
+o AS (SELECT *, o_orderkey % 11 <> 0 AS checked, coalesce(n, 0) AS lines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+broken AS (
+  SELECT o_orderkey, o_orderpriority AS task_id, x.path, x.keyword, x.argument FROM (SELECT *, unnest(list_filter([
+    {'task': '1-URGENT', 'bad': lines = 0, 'path': '', 'keyword': 'required', 'argument': 'lines'},
+    {'task': '1-URGENT', 'bad': lines IN (1, 2), 'path': '/lines', 'keyword': 'minItems', 'argument': '3'},
+    {'task': '1-URGENT', 'bad': big, 'path': '/lines/*/qty', 'keyword': 'maximum', 'argument': '40'},
+    {'task': '2-HIGH', 'bad': o_orderstatus NOT IN ('F', 'O'), 'path': '/status', 'keyword': 'enum', 'argument': '["F","O"]'},
+    {'task': '2-HIGH', 'bad': o_custkey % 3 = 0, 'path': '/customer', 'keyword': 'required', 'argument': 'note'},
+    {'task': '2-HIGH', 'bad': lacks, 'path': '/lines/*', 'keyword': 'required', 'argument': 'rest'},
+    {'task': '3-MEDIUM', 'bad': lines > 5, 'path': '/lines', 'keyword': 'maxItems', 'argument': '5'},
+    {'task': '3-MEDIUM', 'bad': odd, 'path': '/lines/*/flag', 'keyword': 'enum', 'argument': '["A","N"]'},
+    {'task': '3-MEDIUM', 'bad': slashed, 'path': '/lines/*/dates/ship', 'keyword': 'format', 'argument': 'date'},
+    {'task': '4-NOT SPECIFIED', 'bad': o_orderkey % 4 = 0, 'path': '/placed', 'keyword': 'format', 'argument': 'date'},
+    {'task': '4-NOT SPECIFIED', 'bad': o_orderkey % 3 <> 0, 'path': '/total', 'keyword': 'type', 'argument': 'integer'},
+    {'task': '4-NOT SPECIFIED', 'bad': o_orderkey < 100, 'path': '/id', 'keyword': 'minimum', 'argument': '100'},
+    {'task': '5-LOW', 'bad': o_custkey % 3 <> 0 AND length('n' || o_custkey) < 4, 'path': '/customer/note', 'keyword': 'minLength', 'argument': '4'},
+    {'task': '5-LOW', 'bad': true, 'path': '/customer/key', 'keyword': 'type', 'argument': 'string'},
+    {'task': '5-LOW', 'bad': has, 'path': '/lines/*', 'keyword': 'additionalProperties', 'argument': 'false'}],
+    lambda r: r.bad AND r.task = o_orderpriority)) AS x FROM o WHERE checked))"""
+
 ORACLES = {
+    "record_conformance_by_task": f"""WITH {_ORDER_RULES},
+v AS (SELECT o_orderkey, count(*) AS n, string_agg(t, '; ' ORDER BY t) AS v FROM (
+  SELECT o_orderkey, path || ' ' || keyword || ' ' || argument AS t FROM broken) GROUP BY 1)
+SELECT o.o_orderkey, o_orderpriority AS task_id, checked, CAST(coalesce(v.n, 0) AS INTEGER) AS n_violations, coalesce(v, '') AS violations
+FROM o LEFT JOIN v USING (o_orderkey)""",
+    "task_conformance_report": f"WITH {_ORDER_RULES} SELECT task_id, path, keyword, argument, count(*) AS n FROM broken GROUP BY ALL",
     "page_record_normalized": f"""WITH p AS (SELECT page_id, url, nullif({_TITLE}, '') AS title, page_id % 6 AS m FROM pages),
 j AS (SELECT *, to_json({{'title': title, 'url': url}}) AS kept FROM p)
 SELECT page_id, CASE WHEN m IN (1, 2, 3) THEN NULL

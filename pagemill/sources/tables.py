@@ -88,6 +88,58 @@ def write_run_logs(manifests: DataFrame, index: DataFrame, errors: DataFrame, ba
     write_by_run(errors, f"{base}/error_log")
 
 
+_PACKED = "run_date DATE, run_id STRING, kind STRING, content STRING"
+_INDEX = "run_date DATE, run_id STRING, kind STRING, file STRING, n BIGINT"
+
+
+def write_packed(rows: DataFrame, base: str, batch: int) -> None:
+    """Artifacts of any number of runs in files of Spark's own size, with an index of the files that hold a run.
+
+    ``rows``: ``run_date, run_id, kind, content``. They are dealt by ranges of date and run (a hash parts the rows of a
+    large run), so a run lies in one file or in neighbouring ones and the number of files follows the bytes, not the
+    runs. A batch that is written again replaces its own files and index.
+    """
+    spark = rows.sparkSession
+    named = rows.select(F.col("run_date").cast("date").alias("run_date"), "run_id", "kind", "content")
+    ranged = named.repartitionByRange("run_date", "run_id", F.xxhash64("kind", "content"))
+    data = f"{base}/data/batch={batch}"
+    ranged.sortWithinPartitions("run_id", "kind").write.mode("overwrite").parquet(data)
+    written = spark.read.schema(_PACKED).parquet(data).select("*", F.col("_metadata.file_path").alias("file"))
+    index = written.groupBy("run_date", "run_id", "kind", "file").agg(F.count(F.lit(1)).alias("n"))
+    index.sort("run_id", "kind", "file").write.mode("overwrite").parquet(f"{base}/index/batch={batch}")
+
+
+def packed_index(spark: SparkSession, base: str) -> DataFrame:
+    """``run_date, run_id, kind, file, n, batch``: the files that hold each run's artifacts, and how many of them."""
+    return spark.read.schema(f"{_INDEX}, batch INT").parquet(f"{base}/index")
+
+
+def read_packed(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(f"{_PACKED}, batch INT").parquet(f"{base}/data")
+
+
+def read_run(spark: SparkSession, base: str, run_id: str, kind: str | None = None) -> DataFrame:
+    """One run's artifacts, from the files that the index names for it; the driver sees their names only."""
+    wanted = F.col("run_id") == run_id
+    if kind is not None:
+        wanted &= F.col("kind") == kind
+    files = [r.file for r in packed_index(spark, base).where(wanted).select("file").distinct().sort("file").collect()]
+    if not files:
+        return spark.createDataFrame([], _PACKED)
+    return spark.read.schema(_PACKED).parquet(*files).where(wanted)
+
+
+def pack_run_logs(manifests: DataFrame, index: DataFrame, errors: DataFrame, base: str, batch: int = 0) -> None:
+    """The same as JSON texts in packed files: for runs too many to have a folder each.
+
+    All three carry run_date and run_id.
+    """
+    content = lambda df: F.to_json(F.struct(*(c for c in df.columns if c not in ("run_date", "run_id"))))
+    kind = lambda df, name: df.select("run_date", "run_id", F.lit(name).alias("kind"), content(df).alias("content"))
+    rows = kind(manifests, "run_manifest").unionByName(kind(index, "resource_index")).unionByName(kind(errors, "error_log"))
+    write_packed(rows, base, batch)
+
+
 def export_tasks(json_rows: DataFrame, path: str, fmt: str) -> None:
     """Write exported tasks (column ``task``) as JSON lines or as one YAML document per row."""
     from pagemill.sources.readers import json_to_yaml

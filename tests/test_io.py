@@ -166,3 +166,21 @@ def test_exact_dedup_over_batches_and_a_repeated_batch(spark, tmp_path):
         os.remove(f"{cp}/commits/{name}")  # as if the last batch had failed after writing
     jobs.dedup_exact(stream, known, out, cp)
     assert urls() == ["a", "b", "b", "c", "d"]
+
+
+def test_packed_artifacts(spark, tmp_path):
+    """Files follow the bytes, not the runs; one run is read from the files that the index names."""
+    base = f"{tmp_path}/packed"
+    rows = spark.range(20_000).selectExpr("date'2024-01-01' + cast(id % 30 as int) as run_date", "concat('run-', id % 3000) as run_id", "if(id % 2 = 0, 'a', 'b') as kind", "repeat(cast(id as string), 20) as content")
+    tables.write_packed(rows, base, 0)
+    few = list((tmp_path / "packed/data/batch=0").glob("*.parquet"))
+    assert 1 <= len(few) <= 16
+    one = tables.read_run(spark, base, "run-17")
+    assert len(one.inputFiles()) == 1 and one.count() == rows.where("run_id = 'run-17'").count()
+    assert tables.read_run(spark, base, "run-17", "a").count() == 0 and tables.read_run(spark, base, "none").count() == 0
+    assert tables.packed_index(spark, base).agg({"n": "sum"}).first()[0] == 20_000 == tables.read_packed(spark, base).count()
+    again = spark.createDataFrame([("2024-01-01", None, None, None), ("2024-01-01", "run-x", "a", "")], "run_date string, run_id string, kind string, content string")
+    for _ in range(2):
+        tables.write_packed(again, base, 0)
+        tables.write_packed(again.limit(0), base, 1)
+    assert tables.read_packed(spark, base).count() == 2 and tables.read_run(spark, base, "run-x").first().content == ""
