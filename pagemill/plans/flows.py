@@ -197,6 +197,41 @@ def stream_dedup_exact(spark, sf_dir):
     return spark.read.parquet(f"{out}/data").groupBy("url", "deduplication_enabled").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_dedup_keyed(spark, sf_dir):
+    """The same frontier rows against the same registry, in eight files and two sittings, with the URLs seen as keyed state."""
+    out = shared_dir(spark, "dedup-keyed")
+    inbox, e = f"{out}/inbox", table(spark, sf_dir, "events")
+    run = lambda: jobs.dedup_keyed(spark, inbox, f"{out}/data", f"{out}/checkpoint", partitions=8, files=1)
+    rows = e.select(F.col("event_id").alias("seq"), text("https://e.example.org/", F.col("user_id")).alias("url"), (F.col("user_id") % 4 != 0).alias("deduplication_enabled"))
+    bought = (F.col("event_type") == "purchase") & (F.col("value") > 100)
+    jobs.known_urls(e.where(bought).select(text("https://e.example.org/", F.col("user_id")).alias("url")).coalesce(1), inbox)
+    run()
+    for part in (0, 1):
+        jobs.new_urls(rows.where(F.col("seq") % 2 == part).repartition(4, "seq"), inbox)
+        run()
+    return spark.read.parquet(f"{out}/data").groupBy("url", "deduplication_enabled").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_run_ends(spark, sf_dir):
+    """A run per event, started at its time, in four sittings a week each; some ends never come, some too late, some after a week."""
+    k, out = F.col("event_id"), shared_dir(spark, "run-ends")
+    # Seconds are cut so that no row lies between a watermark's milliseconds.
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts")).withColumn(
+        "week", F.least(F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / 7), F.lit(3))
+    )
+    starts = e.select("week", text("run-", k).alias("run_id"), text("task-", F.col("user_id") % 20).alias("task_id"), F.col("ts").alias("started_at"))
+    ends = e.where(k % 7 != 0).select(
+        F.when(k % 11 == 5, F.col("week") + 2).otherwise(F.col("week")).alias("week"), text("run-", k).alias("run_id"),
+        F.timestamp_add("MINUTE", k % 100, F.col("ts")).alias("completed_at"), F.when(k % 5 == 0, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+    )
+    for week in range(4):
+        starts.where(F.col("week") == week).drop("week").write.mode("append").parquet(f"{out}/starts")
+        ends.where(F.col("week") == week).drop("week").write.mode("append").parquet(f"{out}/ends")
+        jobs.watch_runs(spark, f"{out}/starts", f"{out}/ends", f"{out}/data", f"{out}/checkpoint", "60 MINUTES", "2 hours", 8)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(f"{out}/data").select("run_id", "task_id", ntz("started_at"), ntz("completed_at"), "status", "error")
+
+
 def stream_run_monitor(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select("ts", (F.col("event_type") != "error").alias("crawl_ok"))
     out = shared_dir(spark, "monitor")
@@ -209,7 +244,7 @@ QUERIES = {
     for f in (
         task_export_import, task_yaml_round_trip, registry_snapshots, artifact_sink, blob_index, library_read, run_logs_written, run_artifact_index, resource_view,
         pluggable_extractor, stream_page_ingest,
-        stream_registry, stream_dedup, stream_dedup_exact, stream_run_monitor,
+        stream_registry, stream_dedup, stream_dedup_exact, stream_dedup_keyed, stream_run_ends, stream_run_monitor,
     )
 }
 
@@ -220,6 +255,11 @@ _TASKS = """SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '描述: 1'
 _REGISTRY = """SELECT 'https://e.example.org/' || user_id AS url, max_by(event_type, (ts, event_type)) AS task_id, min(ts) AS first_crawled_at,
   max(ts) AS last_crawled_at, count(*) AS crawl_count FROM events GROUP BY user_id"""
 
+# One row for each new URL; every row of a task without deduplication.
+_NEW_URLS = """SELECT 'https://e.example.org/' || user_id AS url, user_id % 4 <> 0 AS deduplication_enabled,
+  CASE WHEN user_id % 4 <> 0 THEN 1 ELSE count(*) END AS n FROM events
+WHERE user_id % 4 = 0 OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100) GROUP BY user_id"""
+
 ORACLES = {
     "task_export_import": _TASKS,
     "task_yaml_round_trip": _TASKS,
@@ -250,10 +290,20 @@ FROM errors GROUP BY ALL""",
     "resource_view": inputs.with_views(inputs.SHOP_IMAGES) + """SELECT id, document_id, original_url, minio_path, CAST(NULL AS VARCHAR) AS alt_text,
   CAST(length(original_url) AS BIGINT) AS size_bytes, 'image/png' AS mime_type, download_status, CAST(NULL AS VARCHAR) AS download_method,
   TIMESTAMP '2024-01-02' AS created_at FROM shop_images""",
-    # One row for each new URL; every row of a task without deduplication.
-    "stream_dedup_exact": """SELECT 'https://e.example.org/' || user_id AS url, user_id % 4 <> 0 AS deduplication_enabled,
-  CASE WHEN user_id % 4 <> 0 THEN 1 ELSE count(*) END AS n FROM events
-WHERE user_id % 4 = 0 OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100) GROUP BY user_id""",
+    "stream_dedup_exact": _NEW_URLS,
+    "stream_dedup_keyed": _NEW_URLS,
+    # An end counts if it comes with its week's rows and in time; without one the row shows once the watermark has passed.
+    "stream_run_ends": """WITH e AS (SELECT event_id, 'run-' || event_id AS run_id, 'task-' || (user_id % 20) AS task_id,
+  date_trunc('second', ts) AS started_at, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7, 3) AS week FROM events),
+ends AS (SELECT event_id, started_at + to_minutes(event_id % 100) AS completed_at, CASE WHEN event_id % 11 = 5 THEN week + 2 ELSE week END AS week,
+  week AS home FROM e WHERE event_id % 7 <> 0),
+mark AS (SELECT least((SELECT max(started_at) FROM e), (SELECT max(completed_at) FROM ends WHERE week <= 3)) - INTERVAL 2 HOUR AS w),
+j AS (SELECT e.*, x.completed_at FROM e LEFT JOIN ends x
+  ON x.event_id = e.event_id AND x.completed_at <= started_at + INTERVAL 60 MINUTE AND x.week = x.home)
+SELECT run_id, task_id, started_at, completed_at,
+  CASE WHEN completed_at IS NULL THEN 'error' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN completed_at IS NULL THEN 'no end within 60 MINUTES' END AS error
+FROM j, mark WHERE completed_at IS NOT NULL OR started_at + INTERVAL 60 MINUTE < w""",
     "stream_run_monitor": """SELECT date_trunc('hour', ts) AS window_start, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status,
   count(*) AS n FROM events GROUP BY 1, 2""",
 }

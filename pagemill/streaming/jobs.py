@@ -107,6 +107,100 @@ def dedup_exact(frontier_stream: DataFrame, registry, out: str, checkpoint: str)
     per_batch(frontier_stream, write, checkpoint)
 
 
+def state_session(spark: SparkSession, partitions: int) -> SparkSession:
+    """A session of its own for keyed state: RocksDB on the executors' disks, changes only written to the checkpoint.
+
+    A checkpoint keeps its number of state partitions for good, so it is a parameter: choose it for the keys to come.
+    The caller's session stays as it is.
+    """
+    own = spark.newSession()
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
+def _until_done(stream: DataFrame, out: str, checkpoint: str) -> list[dict]:
+    """Process what is there into a parquet folder; one entry per batch: rows in, keys held, and rows too late to count."""
+    q = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return [
+        {
+            "batch": p.batchId, "rows": p.numInputRows, "keys": sum(s.numRowsTotal for s in p.stateOperators),
+            "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+        }
+        for p in q.recentProgress
+    ]
+
+
+def known_urls(known: DataFrame, inbox: str) -> None:
+    """Put the URLs of a registry into the inbox of ``dedup_keyed``, in its columns; run it on them before other rows come."""
+    rows = known.where(F.col("url").isNotNull()).select("url").distinct()
+    rows.select("url", F.lit(True).alias("deduplication_enabled"), F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("known")).write.mode(
+        "append"
+    ).parquet(inbox)
+
+
+def new_urls(rows: DataFrame, inbox: str) -> None:
+    """Put frontier rows (``url, deduplication_enabled, seq``) into the inbox of ``dedup_keyed``."""
+    rows.select("url", "deduplication_enabled", F.col("seq").cast("bigint").alias("seq"), F.lit(False).alias("known")).write.mode("append").parquet(inbox)
+
+
+_INBOX = "url STRING, deduplication_enabled BOOLEAN, seq BIGINT, known BOOLEAN"
+
+
+def dedup_keyed(spark: SparkSession, inbox: str, out: str, checkpoint: str, partitions: int = 200, files: int | None = None) -> list[dict]:
+    """A row of every URL that is new, whatever the time between its rows; rows without deduplication all pass.
+
+    The URLs seen so far, the registry's among them, are keyed state that is never dropped, so a batch reads its own
+    rows and looks up its own keys: it neither joins the registry nor reads what earlier batches put out. Of several
+    rows of one URL in the same batch any one passes. A null URL counts as one URL, a null flag as enabled. Start with
+    ``known_urls`` and one run on them; rows that are there with them may win against the registry.
+    """
+    own = state_session(spark, partitions)
+    source = own.readStream.schema(_INBOX)
+    if files:
+        source = source.option("maxFilesPerTrigger", files)
+    rows = source.parquet(inbox)
+    on = F.coalesce(F.col("deduplication_enabled"), F.lit(True))
+    fresh = rows.where(on).dropDuplicates(["url"]).unionByName(rows.where(~on))
+    return _until_done(fresh.where(~F.col("known")).drop("known"), out, checkpoint)
+
+
+def ended_runs(starts: DataFrame, ends: DataFrame, limit: str, delay: str) -> DataFrame:
+    """Every started run with its end, or as an error once its time limit has passed without one.
+
+    ``starts``: ``run_id, task_id, started_at``; ``ends``: ``run_id, completed_at, status`` (streams, timestamps). A run
+    whose end came later than ``limit`` after its start, or never, gets ``status`` ``error`` and no ``completed_at``; that
+    row comes when the watermark, the later rows' time less ``delay``, has passed the limit, and the state goes with it. Rows
+    behind the watermark are left out and counted as late. An end in time but without a start gives no row.
+    """
+    s = starts.withWatermark("started_at", delay)
+    e = ends.select(F.col("run_id").alias("ended"), "completed_at", "status").withWatermark("completed_at", delay)
+    within = F.expr(f"ended = run_id AND completed_at >= started_at AND completed_at <= started_at + INTERVAL {limit}")
+    lost = F.col("ended").isNull()
+    return s.join(e, within, "left_outer").select(
+        "run_id", "task_id", "started_at", "completed_at", F.when(lost, F.lit("error")).otherwise(F.col("status")).alias("status"),
+        F.when(lost, F.lit(f"no end within {limit}")).alias("error"),
+    )
+
+
+_STARTS = "run_id STRING, task_id STRING, started_at TIMESTAMP"
+_ENDS = "run_id STRING, completed_at TIMESTAMP, status STRING"
+
+
+def watch_runs(spark: SparkSession, starts: str, ends: str, out: str, checkpoint: str, limit: str, delay: str, partitions: int = 200) -> list[dict]:
+    """Run ``ended_runs`` over what has come into two folders; may be called again and again on the same checkpoint."""
+    own = state_session(spark, partitions)
+    s, e = own.readStream.schema(_STARTS).parquet(starts), own.readStream.schema(_ENDS).parquet(ends)
+    return _until_done(ended_runs(s, e, limit, delay), out, checkpoint)
+
+
 def monitor(attempts: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Outcomes per tumbling window; rows later than the watermark are dropped."""
     status = F.when(F.col("crawl_ok"), F.lit("success")).otherwise(F.lit("failure"))
