@@ -7,7 +7,7 @@ from json import dumps
 from pyspark.sql import functions as F
 
 from pagemill.functions import page, records, values
-from pagemill.operators import conformance, extract, pages as ops
+from pagemill.operators import conformance, extract, pages as ops, typed
 from pagemill.plans import sqltext as q
 from pagemill.plans.inputs import heavy, table, text
 
@@ -212,9 +212,26 @@ def date_price_normalize(spark, sf_dir):
     )
 
 
+def records_typed_table(spark, sf_dir):
+    """Customers, orders and nations as JSON records of three kinds in one typed table; the status differs in type, so it stays JSON."""
+    c, o, n = (table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    record = lambda df, kind, **cols: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *(v.alias(k) for k, v in cols.items()))).alias("record"))
+    status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 7)
+    all_kinds = (
+        record(c, "customer", id=F.col("c_custkey"), amount=F.col("c_acctbal"), status=F.col("c_mktsegment"))
+        .unionByName(record(o, "order", id=F.col("o_orderkey"), amount=F.col("o_custkey"), status=status, lines=F.array(F.col("o_orderstatus"), F.col("o_orderpriority"))))
+        .unionByName(record(n, "nation", id=F.col("n_nationkey"), label=F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))))
+    )
+    return typed.typed_table(all_kinds).select(
+        "kind", "id", F.col("amount").cast("double").alias("amount"), F.element_at("lines", 2).alias("priority"), F.col("label.name").alias("name"),
+        F.col("label.region").alias("region"), "rest",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        records_typed_table,
         page_record_normalized, page_record_conformance, record_conformance_by_task, task_conformance_report, record_typed, record_key_preview, result_wrap, stage2_status, date_price_normalize,
     )
 }
@@ -245,6 +262,11 @@ broken AS (
     lambda r: r.bad AND r.task = o_orderpriority)) AS x FROM o WHERE checked))"""
 
 ORACLES = {
+    "records_typed_table": """SELECT 'customer' AS kind, c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS priority,
+  CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS region, '{"status":"' || c_mktsegment || '"}' AS rest FROM customer
+UNION ALL SELECT 'order', o_orderkey, CAST(o_custkey AS DOUBLE), o_orderpriority, NULL, NULL,
+  CASE WHEN o_orderkey % 3 <> 0 THEN '{"status":' || (o_orderkey % 7) || '}' END FROM orders
+UNION ALL SELECT 'nation', n_nationkey, NULL, NULL, n_name, n_regionkey, NULL FROM nation""",
     "record_conformance_by_task": f"""WITH {_ORDER_RULES},
 v AS (SELECT o_orderkey, count(*) AS n, string_agg(t, '; ' ORDER BY t) AS v FROM (
   SELECT o_orderkey, path || ' ' || keyword || ' ' || argument AS t FROM broken) GROUP BY 1)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import runs as ops
+from pagemill.operators import metrics, runs as ops
 from pagemill.plans import inputs
 from pagemill.plans.inputs import table, text, with_views
+from pagemill.session import shared_dir
 
 
 def run_counters(spark, sf_dir):
@@ -159,10 +160,24 @@ def run_operations_metrics(spark, sf_dir):
     return ops.operations_metrics(_order_runs(spark, sf_dir), "task_id")
 
 
+def attempt_metrics(spark, sf_dir):
+    """Counts, distinct URLs and quantiles of durations of each task over two weeks, merged from what two batches stored per day."""
+    e = table(spark, sf_dir, "events")
+    attempts = e.select(
+        "event_id", F.col("ts").cast("date").alias("run_date"), text("task-", F.col("user_id") % 20).alias("task_id"),
+        text("https://e.example.org/", F.col("user_id"), "/", F.col("event_type")).alias("url"), (F.col("event_type") != "error").alias("ok"),
+        F.when(F.col("event_type") != "click", F.floor(F.col("value") * 1000)).alias("duration"),
+    )
+    base = shared_dir(spark, "metrics")
+    for batch in (0, 1):
+        metrics.write_metrics(attempts.where(F.col("event_id") % 2 == batch), base, batch)
+    return metrics.over_period(spark, base, "2024-01-08", "2024-01-21")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        run_counters, run_stage_summary, run_errors, run_error_log, run_first_errors, run_manifest, run_orphans, run_images, run_attachments,
+        attempt_metrics, run_counters, run_stage_summary, run_errors, run_error_log, run_first_errors, run_manifest, run_orphans, run_images, run_attachments,
         run_resource_index, run_result_bundle, run_artifact_labels, run_log_paths, run_latest_status, run_gaps, run_operations_metrics,
     )
 }
@@ -183,7 +198,19 @@ FROM (SELECT *, CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % CAST(ceil(coun
 GROUP BY run_id, chunk"""
 
 
+_CLASS = "CASE WHEN d < 128 THEN d ELSE s * 128 + (d >> s) END"
+_MIDDLE = "CASE WHEN {0} < 128 THEN {0} ELSE (({0} % 128) << CAST({0} // 128 AS INTEGER)) + ((1::BIGINT << CAST({0} // 128 AS INTEGER)) >> 1) END"
+_RANK = "min(CASE WHEN upto * 100 >= total * {0} THEN b END) AS b{0}"
+
 ORACLES = {
+    "attempt_metrics": f"""WITH a AS (SELECT 'task-' || (user_id % 20) AS task_id, user_id || '/' || event_type AS url, event_type <> 'error' AS ok,
+  CASE WHEN event_type <> 'click' THEN CAST(floor(value * 1000) AS BIGINT) END AS d FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'),
+c AS (SELECT task_id, {_CLASS} AS b FROM (SELECT task_id, d, greatest(length(bin(d)) - 7, 0) AS s FROM a WHERE d IS NOT NULL)),
+r AS (SELECT task_id, b, row_number() OVER (PARTITION BY task_id ORDER BY b) AS upto, count(*) OVER (PARTITION BY task_id) AS total FROM c),
+q AS (SELECT task_id, {", ".join(_RANK.format(p) for p in (50, 90, 99))} FROM r GROUP BY task_id)
+SELECT task_id, count(*) AS attempts, count(*) FILTER (WHERE ok) AS succeeded, count(DISTINCT url) AS distinct_urls,
+  {", ".join(f"any_value({_MIDDLE.format(f'b{p}')}) AS p{p}" for p in (50, 90, 99))}
+FROM a LEFT JOIN q USING (task_id) GROUP BY task_id""",
     "run_counters": _ATT + """SELECT run_id, count(*) FILTER (WHERE crawl_ok) AS urls_crawled,
        count(*) FILTER (WHERE NOT crawl_ok) + count(exception) AS urls_failed, count(*) FILTER (WHERE saved) AS documents_created,
        count(DISTINCT CASE WHEN saved THEN url END) AS distinct_documents, count(*) FILTER (WHERE stage2_success) AS stage2_successes,
