@@ -1,9 +1,10 @@
 """Toxicity by a classifier chain: categories one after the other, each seeing the probabilities of those before.
 
 Features are hashed words and their beginnings (5 and 6 letters, since insults take endings), with log(1 + count);
-each link of the chain is a linear model whose last features are
-the earlier categories' probabilities. In training these come from models that did not see the row (out of fold), so a
-later link learns from probabilities as good as those it gets when scoring.
+each link of the chain is a linear model whose last features are the earlier categories' probabilities. The categories
+come from the labelled rows: toxic rows are grouped by what makes a model that did not see them call them toxic
+(``kinds``), larger groups first; the last category is the label. In training the earlier probabilities come from models
+that did not see the row (out of fold), so a later link learns from probabilities as good as those it gets when scoring.
 
 Training rows are a bounded sample of the labelled ones (``SAMPLE`` ids of smallest hash, and of their different texts
 again ``SAMPLE``), made into features where they lie and fitted in one task; only non-zero weights reach the driver.
@@ -26,12 +27,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import LETTERED, add_columns, arrow, examples, in_one_task, pairs_of, raw_texts, sample_by_hash
 from pagemill.llm.linear import fit, sigmoid
 
-#: Categories in the chain's order with the words that mark a toxic row as one of them; the last is the label itself.
-CATEGORIES = (
-    ("insult", (b"idiot", b"moron", b"stupid", b"loser", b"clown", b"fool", b"dumb")),
-    ("contempt", (b"trash", b"scum", b"worthless", b"pathetic", b"disgusting", b"garbage", b"vermin")),
-    ("toxic", None),
-)
+#: Kinds of toxic rows that are told apart; the chain's last link is the label itself.
+KINDS = 2
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 SAMPLE = 8_000
 FOLDS = 3
 #: Of every link's updates.
@@ -104,6 +102,44 @@ def score_chain(chain: list[np.ndarray], found: tuple[np.ndarray, np.ndarray], b
     return out
 
 
+def kinds(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, folds: np.ndarray, bits: int = BITS, rounds: int = 10) -> list[np.ndarray]:
+    """Toxic rows in ``KINDS`` groups, one array of 0 and 1 each.
+
+    A row is described by its features' pushes towards toxic in a model that did not see it, scaled to length one. Centres
+    start at the row pushed hardest and at those least like the centres so far, and move to their rows' mean direction.
+    """
+    marks = [np.zeros(len(rows), np.int64) for _ in range(KINDS)]
+    pushed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    force: dict[int, float] = {}
+    for f in range(FOLDS):
+        inside, outside = np.flatnonzero(folds != f), np.flatnonzero((folds == f) & (toxic == 1))
+        w = fit(1 << bits, [_example(rows[i], [], bits) for i in inside], toxic[inside], **FIT) if len(inside) and len(outside) else None
+        for i in outside.tolist():
+            push = np.maximum(w[rows[i][0]] * rows[i][1], 0)
+            force[i] = float(np.sqrt(push @ push))
+            pushed[i] = (rows[i][0], push / (force[i] or 1.0))
+    if not pushed:
+        return marks
+    ids = sorted(pushed)
+    like = lambda centre: np.array([centre[pushed[i][0]] @ pushed[i][1] for i in ids])
+    centres: list[np.ndarray] = []
+    while len(centres) < KINDS:
+        first = int(np.argmin(np.max([like(c) for c in centres], axis=0))) if centres else int(np.argmax([force[i] for i in ids]))
+        centres.append(np.zeros(1 << bits))
+        centres[-1][pushed[ids[first]][0]] = pushed[ids[first]][1]
+    for _ in range(rounds):
+        nearest = np.argmax([like(c) for c in centres], axis=0)
+        for k, c in enumerate(centres):
+            c[:] = 0
+            for i in np.flatnonzero(nearest == k).tolist():
+                c[pushed[ids[i]][0]] += pushed[ids[i]][1]
+            c /= np.sqrt(c @ c) or 1.0
+    sizes = np.bincount(nearest, minlength=KINDS)
+    for place, k in enumerate(np.argsort(-sizes, kind="stable")):
+        marks[place][np.array(ids)[nearest == k]] = 1
+    return marks
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> list[np.ndarray]:
     """The chain's weights from ``labels`` (``doc_id, toxic``) and the labelled texts of ``docs``."""
     ids = sample_by_hash(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample, "doc_id")
@@ -112,8 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         known, found, marks = Words(bits), [], []
         for text, y in zip(raw_texts(b), b.column("toxic").to_pylist(), strict=True):
             found.append(features(text, known))
-            words = set(LETTERED.findall(text.lower()))
-            marks.append([int(bool(y) and (seeds is None or not words.isdisjoint(seeds))) for _, seeds in CATEGORIES])
+            marks.append([int(bool(y))])
         return [x for x, _ in found], [x for _, x in found], marks
 
     def fn(batches):
@@ -124,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             ids += b.column("doc_id").to_pylist()
         if not found:
             return
-        y = np.array(marks)
-        for k, w in enumerate(fit_chain(found, list(y.T), np.array(ids) // 7 % FOLDS, bits)):
+        y, folds = np.array(marks)[:, 0], np.array(ids) // 7 % FOLDS
+        for k, w in enumerate(fit_chain(found, [*kinds(found, y, folds, bits), y], folds, bits)):
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(w[at])], names=["link", "place", "weight"])
 
@@ -149,7 +184,7 @@ def scored(docs: DataFrame, chain: list[np.ndarray], bits: int = BITS) -> tuple[
         p = [score_chain(made[:-1], features(t, made[-1]), bits) for t in raw_texts(b)]
         return [pa.array([x[k] for x in p], pa.float64()) for k in range(len(CATEGORIES))]
 
-    return add_columns(docs, fn, ", ".join(f"p_{name} double" for name, _ in CATEGORIES))
+    return add_columns(docs, fn, ", ".join(f"p_{name} double" for name in CATEGORIES))
 
 
 def clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
