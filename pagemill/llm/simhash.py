@@ -75,6 +75,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_slices(hashed, fn, f"doc_id {kind.simpleString()}, text_hash long, fp long")
 
 
+#: Tasks that a full bucket's codes are dealt to while they learn its size.
+SALTS = 32
 #: First bit and width of the blocks of the first deal, of 64 bits.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -109,7 +111,10 @@ def buckets(codes: DataFrame, full: int = FULL) -> DataFrame:
     deep = dealt.where("hot").select("fp", "key", F.explode(again).alias("key2"))
     packed = deep.select("fp", F.xxhash64("key", "key2").alias("bucket"))
     still = packed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / full).cast("int").alias("parts")).where("parts > 1")
-    split = packed.join(still, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # A bucket's codes go to the tasks of all salts; the few rows of its size go along. They are stored before: counted once.
+    sized = stored(still, "full-buckets").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = packed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    split = salted.join(sized, ["bucket", "salt"], "left").drop("salt").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     paired = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.xxhash64("bucket", F.least(mine, "other"), F.greatest(mine, "other")).alias("bucket"), "fp"
