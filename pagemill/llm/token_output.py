@@ -7,14 +7,16 @@ numpy table lookup: control byte to lengths, lengths to offsets, offsets to valu
 Texts are dealt to files by ranges of ``doc_id``, encoded once and kept as a table of ids while the counts of all
 documents are summed; then each file is written again as blocks of coded ranks. A file is a Parquet file whose rows
 are blocks, in ascending ``doc_id`` order by their keys ``file, first``, with the documents' ids and lengths. So any store that Spark writes to can hold it.
+The table of ranks lies beside the blocks, so a folder is all that a reader needs, in any session.
 
 Edge cases: a null text is empty and holds only the end id; ties of ``doc_id`` are ordered by the text's hash, then
-its ids; null ids come first; an empty table gives no files; one text may exceed a block, which then is its own.
+its ids; null ids come first; copies of one row may be split among files; an empty table gives no files; one text may exceed a block, which then is its own.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import SPACED, arrow, batch_of, slices, stored, texts
+from pagemill.session import shared_dir
 
 #: Chunks between white space, and their pieces, whose ids a worker keeps; beyond it a store starts anew.
 KEPT_CHUNKS, KEPT_PIECES = 800_000, 500_000
@@ -39,6 +42,18 @@ _SAFE = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
+# The split pattern that the store of chunks goes by.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_space(file: dict) -> bool:
+    """Whether a vocabulary file lower-cases, splits and ends words as the store assumes; others go through the library whole."""
+    steps = [n.get("type") for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    cuts = [str(p.get("pattern", {}).get("Regex")) for p in (file.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"]
+    plain = all("<|" in t["content"] and not re.search(r"\s", t["content"]) for t in file.get("added_tokens", []))
+    return plain and steps == ["NFC", "Replace", "Lowercase"] and cuts == [_SPLIT] and file["model"].get("end_of_word_suffix") == "</w>"
+
+
 class Words:
     """The tokenizers library behind a bounded store of chunks between white space.
 
@@ -60,6 +75,7 @@ class Words:
             self.ends[i] = word.endswith("</w>")
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.by_word = _splits_at_space(json.loads(self.lib.to_str()))
 
     def _library(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(items, add_special_tokens=False)]
@@ -90,6 +106,8 @@ class Words:
 
     def encode(self, items: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            return [np.array(ids, "<u4").tobytes() for ids in self._library(items)]
         if len(self.chunks) > KEPT_CHUNKS:
             self.chunks.clear()
         if len(self.pieces) > KEPT_PIECES:
@@ -152,8 +170,11 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file
             seq += len(ids)
 
     schema = pa.schema([("file", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ranged = keyed.repartitionByRange(files, "doc_id", "tie") if files else keyed.repartitionByRange("doc_id", "tie")
+    # Copies of one row are told apart by a hash of their place in the table, so that many of them are several files' work.
+    # ``docs`` has to give its rows in the same places when a task runs again, as a stored table does.
+    place = F.xxhash64(F.monotonically_increasing_id())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), place.alias("copy"))
+    ranged = keyed.repartitionByRange(files, "doc_id", "tie", "copy") if files else keyed.repartitionByRange("doc_id", "tie", "copy")
     ordered = ranged.sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("file"))
     return arrow(ordered, fn, "file int, seq long, doc_id long, n_ids long, ids binary")
 
@@ -220,18 +241,31 @@ def coded(tokens: DataFrame, by_rank: np.ndarray, block_ids: int = BLOCK_IDS, pa
     return blocks.sortWithinPartitions("file", "first")
 
 
-def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """The stored blocks, and the id table (rank to id) that reads them."""
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
+    """Write ``blocks`` and ``ranks`` (``rank, id``) below a folder."""
     tokens = stored(encoded(docs, path, end_id), "token-ids")
-    by_rank = ranking(id_counts(tokens, path), load(path or _vocabulary()).size)
-    return stored(coded(tokens, by_rank, path=path), "token-blocks"), by_rank
+    counts = id_counts(tokens, path)
+    by_rank = ranking(counts, load(path or _vocabulary()).size)
+    spark = docs.sparkSession
+    ranks = spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(by_rank)), pa.int32()), "id": pa.array(by_rank, pa.int64())}))
+    ranks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranks")
+    coded(tokens, by_rank, path=path).write.mode("overwrite").parquet(f"{folder}/blocks")
+
+
+def rank_table(spark: SparkSession, folder: str) -> np.ndarray:
+    """The ids in order of their ranks, from a written folder. Bounded by the vocabulary."""
+    rows = spark.read.parquet(f"{folder}/ranks").toArrow()
+    out = np.empty(rows.num_rows, "<u4")
+    out[rows.column("rank").to_numpy()] = rows.column("id").to_numpy()
+    return out
 
 
-def read(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32``: decoded from the blocks by table lookup.
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of a folder that ``write`` made: decoded from the blocks by table lookup.
 
     ``start`` adds what all blocks before hold: a running sum over one narrow row per block, by file first.
     """
+    blocks, by_rank = spark.read.parquet(f"{folder}/blocks"), rank_table(spark, folder)
     shared = blocks.sparkSession.sparkContext.broadcast(by_rank)
     per_file = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
     before = per_file.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_start"))
@@ -256,5 +290,6 @@ def read(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
 
 
 def op8_ranked_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, by_rank = write(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read(blocks, by_rank)
+    folder = shared_dir(spark, "token-files")
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    return read(spark, folder)
