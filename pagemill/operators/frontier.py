@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
@@ -49,7 +49,8 @@ def minus_registry(frontier: DataFrame, registry: DataFrame) -> DataFrame:
     return frontier.withColumn("probe", probe).join(known, F.col("probe") == F.col("known_url"), "left_anti").drop("probe")
 
 
-_SALTS = 16
+#: Places of a run in a row that share one row of the first successes.
+PLACES = 1000
 
 
 def processed_occurrences(attempts: DataFrame) -> DataFrame:
@@ -57,16 +58,19 @@ def processed_occurrences(attempts: DataFrame) -> DataFrame:
 
     With ``deduplication_enabled`` a URL is tried until its first success and later occurrences are
     skipped; without it every occurrence runs. The first success per URL comes from an aggregate
-    with partial combine, so a URL that fills a third of the run is no single-task window; it is
-    joined back by salts of ``idx``, so a hot URL's rows spread over tasks.
+    with partial combine, by stretches of ``PLACES`` places, so a URL that fills a third of the run is no
+    single-task window and its rows are joined in as many tasks as it has stretches. There are never more stretches
+    than attempts, and they are merged, not broadcast: their number grows with the attempts, which a size that is
+    estimated from compressed files doesn't show.
     """
-    keys = ["run_id", "url"]
-    first_ok = attempts.where("ok AND deduplication_enabled").groupBy(*keys).agg(F.min("idx").alias("first_ok"))
+    keys = ["run_id", "url", "stretch"]
+    placed = attempts.withColumn("stretch", F.floor(F.col("idx") / PLACES))
+    done = F.min(F.when(F.col("ok") & F.col("deduplication_enabled"), F.col("idx")))
+    first_ok = placed.groupBy(*keys).agg(done.alias("done")).select(*keys, F.min("done").over(Window.partitionBy("run_id", "url")).alias("first_ok"))
     return (
-        attempts.withColumn("salt", F.pmod("idx", F.lit(_SALTS)).cast("int"))
-        .join(first_ok.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), [*keys, "salt"], "left")
+        placed.join(first_ok.where("first_ok is not null").hint("merge"), keys, "left")
         .where(~F.col("deduplication_enabled") | F.col("first_ok").isNull() | (F.col("idx") <= F.col("first_ok")))
-        .drop("first_ok", "salt")
+        .drop("first_ok", "stretch")
     )
 
 

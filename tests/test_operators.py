@@ -80,6 +80,17 @@ def test_failures_retry_until_first_success(spark):
     assert rowset(frontier.processed_occurrences(df), "url", "idx") == [("u", 1), ("u", 2), ("v", 1), ("v", 5)]
 
 
+def test_first_successes_are_neither_copied_nor_broadcast(spark):
+    """A URL over many stretches of places keeps its first success; the join's other side has no more rows than the attempts."""
+    rows = spark.range(6000).select(F.lit("r").alias("run_id"), (F.col("id") + 1).cast("int").alias("idx"), F.lit("u").alias("url"), (F.col("id") >= 4200).alias("ok"), F.lit(True).alias("deduplication_enabled"))
+    lone = spark.createDataFrame([(None, 1, "u", True, True), ("r", None, "u", True, True), ("s", 1, None, True, True)], "run_id string, idx int, url string, ok boolean, deduplication_enabled boolean")
+    kept = frontier.processed_occurrences(rows.unionByName(lone))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "SortMergeJoin" in plan
+    assert kept.where("run_id = 'r'").agg(F.max("idx"), F.count("idx"), F.count("*")).first()[:] == (4201, 4201, 4202)
+    assert kept.where("run_id is null or url is null").count() == 2
+
+
 def test_list_to_detail(spark):
     data = '{"items":[{"title":"a","url":"/d/1"},{"title":"b","url":"mailto:x"},{"title":"c","url":"https://o/2"}]}'
     df = spark.createDataFrame([(1, "https://s/list/", data), (2, "https://s/", None)], "page_id int, url string, structured_data string")
