@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import markup, page, urls, values
 from pagemill.operators import crawl, elements, extract, frontier, media, pages as ops, runs
 from pagemill.plans import sqltext as q
-from pagemill.plans.inputs import heavy, table, text
+from pagemill.plans.inputs import heavy, spread, table, text
 
 
 def _rich(pages):
@@ -240,7 +240,8 @@ def product_records(spark, sf_dir):
         F.lit("</span><ul class='features'><li>size "), F.col("p_size").cast("string"),
         F.lit("</li><li>new</li></ul><dl><dt>Size</dt><dd>"), F.col("p_size").cast("string"), F.lit("</dd></dl></body></html>"),
     )
-    p = heavy(spark, sf_dir, "part").select("p_partkey", html.alias("html"), text("https://shop.example.org/p/", F.col("p_partkey")).alias("url"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice", "p_size"))
+    p = part.select("p_partkey", html.alias("html"), text("https://shop.example.org/p/", F.col("p_partkey")).alias("url"))
     r = extract.extract_by_rules(ops.with_canon(p), "product")
     g = lambda k: F.get_json_object("record", f"$.{k}")
     return r.select(

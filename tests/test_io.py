@@ -184,3 +184,12 @@ def test_packed_artifacts(spark, tmp_path):
         tables.write_packed(again, base, 0)
         tables.write_packed(again.limit(0), base, 1)
     assert tables.read_packed(spark, base).count() == 2 and tables.read_run(spark, base, "run-x").first().content == ""
+
+
+def test_narrow_rows_of_costly_work_are_dealt_to_all_tasks(spark, sf_dir):
+    """One split or many: the pages made of parts and the task texts are worked on in as many tasks as the session has."""
+    from pagemill.plans import inputs, pages
+
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert inputs.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == wanted
+    assert pages.product_records(spark, sf_dir).rdd.getNumPartitions() == wanted
