@@ -11,7 +11,7 @@ from pagemill.functions import markup
 from pagemill.operators import extract, frontier, tasks as task_ops, upsert
 from pagemill.operators import runs as run_ops
 from pagemill.plans import inputs, pages as page_plans, sqltext as q
-from pagemill.plans.inputs import heavy, table, text
+from pagemill.plans.inputs import heavy, spread, table, text
 from pagemill.session import shared_dir
 from pagemill.sources import readers, schemas, tables
 from pagemill.streaming import jobs
@@ -19,7 +19,7 @@ from pagemill.streaming import jobs
 
 def _definitions(spark, sf_dir):
     k = F.col("c_custkey")
-    return heavy(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(
         F.col("c_name").alias("name"), F.when(k % 3 == 0, F.lit("描述: 1")).alias("description"),
         F.array(text("https://a.example.org/", k), text("https://b.example.org/", k)).alias("urls"),
         F.create_map(F.lit("api_key"), F.lit("hidden"), F.lit("temperature"), F.lit("0.2")).alias("llm_params"),

@@ -30,7 +30,11 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def yaml_to_json(text: Column) -> Column:
-    """One YAML document per value as JSON text; NULL when it does not parse."""
+    """One YAML document per value as JSON text; NULL when it does not parse.
+
+    Marked as not deterministic, so that each text is parsed once: a filter on what is read from the JSON would else be
+    pushed below, with a second parse of its own.
+    """
 
     def batch(texts: pd.Series) -> pd.Series:
         import yaml
@@ -45,7 +49,7 @@ def yaml_to_json(text: Column) -> Column:
 
         return texts.map(one)
 
-    return F.pandas_udf(batch, T.StringType())(text)
+    return F.pandas_udf(batch, T.StringType()).asNondeterministic()(text)
 
 
 def json_to_yaml(text: Column) -> Column:

@@ -193,3 +193,11 @@ def test_narrow_rows_of_costly_work_are_dealt_to_all_tasks(spark, sf_dir):
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     assert inputs.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == wanted
     assert pages.product_records(spark, sf_dir).rdd.getNumPartitions() == wanted
+
+
+def test_yaml_is_parsed_once_and_in_all_tasks(spark, sf_dir):
+    """The filter on parse errors isn't pushed below the dealing of rows, with a second round trip of its own."""
+    from pagemill.plans import flows
+
+    plan = flows.task_yaml_round_trip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("RoundRobinPartitioning")
