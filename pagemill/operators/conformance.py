@@ -1,8 +1,9 @@
 """Records against the JSON Schema of their own task: schemas are rows, not code.
 
 A schema becomes rules by path, a JSON pointer in which ``*`` stands for every item of an array (a key that is a star is
-written ``~2``). A record becomes nodes (path, VARIANT) as deep as the rules go, and each node is held against the rules
-of its path, all inside the row. The only join is that of records with the rules of their task.
+written ``~2``). A record becomes nodes (path, value) as deep as the rules go, and each node is held against the rules
+of its path, all inside the row, by one small Arrow function over the text that Spark writes of the parsed record. The
+only join is that of records with the rules of their task.
 
 Checked: ``type`` (one or several), ``enum``, ``const``, ``format: date``, ``minItems``, ``maxItems``, ``minLength``,
 ``maxLength``, ``minimum``, ``maximum``, ``required`` and ``additionalProperties: false``, at any depth. Other keywords
@@ -14,13 +15,16 @@ Text that is no JSON, records without task, and tasks without a usable schema ha
 
 from __future__ import annotations
 
+import calendar
+import functools
 import json
+import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.binding import let
-from pagemill.functions.records import last_wins
 from pagemill.session import ship
 
 RULES = "map<string,array<struct<keyword:string,argument:string>>>"
@@ -104,104 +108,148 @@ def unchecked(tasks: DataFrame) -> DataFrame:
     return compile_schemas(tasks).select("schema", F.inline("unchecked"))
 
 
-_OBJECT, _LIST, _NODES = "map<string,variant>", "array<variant>", "array<struct<path:string,kind:string,node:variant>>"
+#: Sets of rules whose parsed form a worker keeps.
+KEPT_RULES = 256
+_DATE = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:\r\n|\r|\n)?")
+_WHOLE = re.compile(r"-?[0-9]+")
+
+
+def _parsed(text: str):
+    """JSON as Spark wrote it. A number is its text in a tuple, so that it equals only a number written alike."""
+    number = lambda t: (t,)
+    return json.loads(text, parse_int=number, parse_float=number, parse_constant=number)
 
 
-def _key(key: Column) -> Column:
-    plain = F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-    return F.when(key == "*", F.lit("~2")).otherwise(plain)
+@functools.lru_cache(KEPT_RULES)
+def _rules(text: str) -> dict[str, list[tuple]]:
+    """``path: [(keyword, argument, value)]`` from the JSON text of one task's rules."""
+    out = {}
+    for path, at in json.loads(text).items():
+        out[path] = [(r["keyword"], r["argument"], _value(r)) for r in at]
+    return out
 
 
-def _at(path: Column, value: Column) -> Column:
-    """A node. Its kind is found once: the schema of a value is written by walking all of it."""
-    return let(F.schema_of_variant(value), lambda t: F.struct(path.alias("path"), _kind(t).alias("kind"), value.alias("node")))
+def _value(rule: dict):
+    keyword, argument = rule["keyword"], rule["argument"]
+    if keyword == "type":
+        return argument.split(",")
+    if keyword == "enum":
+        return None if rule.get("listed") is None else [None if x is None else [_parsed(x)] for x in rule["listed"]]
+    if keyword in _BOUNDS:
+        bound = float(argument)
+        return math.inf if math.isnan(bound) else bound  # Spark orders it above all numbers
+    return argument
 
 
-def _kind(t: Column) -> Column:
-    first = F.substring(t, 1, 1)
-    return (
-        F.when(first == "O", F.lit("object")).when(first == "A", F.lit("array")).when(first == "S", F.lit("string"))
-        .when(first == "V", F.lit("null")).when(t == "BOOLEAN", F.lit("boolean")).when(t.isNotNull(), F.lit("number"))
-    )
+def _kind(value) -> str:
+    if isinstance(value, tuple):
+        return "number"
+    if value is None or isinstance(value, bool):
+        return "null" if value is None else "boolean"
+    return "string" if isinstance(value, str) else "array" if isinstance(value, list) else "object"
 
 
-def _below(node: Column, rules: Column) -> Column:
-    """The children of a node that have rules or lie above such."""
+def _is_date(text: str) -> bool:
+    m = _DATE.fullmatch(text)
+    if not m:
+        return False
+    year, month, day = map(int, m.groups())
+    return 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]
 
-    def known(children: Column, path, value) -> Column:
-        return F.transform(F.filter(children, lambda c: F.map_contains_key(rules, path(c))), lambda c: _at(path(c), value(c)))
 
-    members = known(
-        F.map_entries(F.try_variant_get(node["node"], "$", _OBJECT)), lambda e: F.concat(node["path"], F.lit("/"), _key(e["key"])), lambda e: e["value"]
-    )
-    items = known(F.try_variant_get(node["node"], "$", _LIST), lambda v: F.concat(node["path"], F.lit("/*")), lambda v: v)
-    children = F.when(node["kind"] == "object", members).when(node["kind"] == "array", items)
-    return F.coalesce(children, F.array().cast(_NODES))
+def _breaks(node, kind: str, path: str, rule: tuple, rules: dict) -> bool:
+    keyword, argument, value = rule
+    if keyword == "type":
+        return kind not in value and not (kind == "number" and "integer" in value and _WHOLE.fullmatch(node[0]))
+    if keyword == "enum":
+        return value is not None and None not in value and [node] not in value
+    if keyword == "format":
+        return kind == "string" and not _is_date(node)
+    if keyword == "required":
+        return kind == "object" and argument not in node
+    if keyword == "additionalProperties":
+        return kind == "object" and any(f"{path}/{_escaped(k)}" not in rules for k in node)
+    if keyword in ("minItems", "maxItems"):
+        return kind == "array" and (len(node) < value if keyword == "minItems" else len(node) > value)
+    if keyword in ("minLength", "maxLength"):
+        return kind == "string" and (len(node) < value if keyword == "minLength" else len(node) > value)
+    number = float(node[0]) if kind == "number" else None
+    return number is not None and (number < value if keyword == "minimum" else number > value)
 
 
-def _breaks(node: Column, rule: Column, rules: Column) -> Column:
-    value, path, kind, keyword, argument = node["node"], node["path"], node["kind"], rule["keyword"], rule["argument"]
-    bound, written = argument.try_cast("double"), F.to_json(value)
-    words = F.try_variant_get(value, "$", "string")
-    size = F.size(F.try_variant_get(value, "$", _LIST))
-    number = F.try_variant_get(value, "$", "double")
-    fields = F.try_variant_get(value, "$", _OBJECT)
-    whole = (kind == "number") & F.rlike(written, F.lit(r"^-?[0-9]+$"))
-    fits = F.exists(F.split(argument, ","), lambda t: (t == kind) | ((t == "integer") & whole))
-    listed = F.array_contains(F.transform(F.from_json(argument, _LIST), lambda v: F.to_json(v)), written)
-    date = F.rlike(words, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & words.try_cast("date").isNotNull()
-    extra = F.exists(F.map_keys(fields), lambda k: ~F.map_contains_key(rules, F.concat(path, F.lit("/"), _key(k))))
-    broken = (
-        F.when(keyword == "type", ~fits).when(keyword == "enum", ~listed)
-        .when(keyword == "format", (kind == "string") & ~F.coalesce(date, F.lit(False)))
-        .when(keyword == "required", (kind == "object") & ~F.map_contains_key(fields, argument))
-        .when(keyword == "additionalProperties", (kind == "object") & extra)
-        .when(keyword == "minItems", (kind == "array") & (size < bound)).when(keyword == "maxItems", (kind == "array") & (size > bound))
-        .when(keyword == "minLength", (kind == "string") & (F.length(words) < bound))
-        .when(keyword == "maxLength", (kind == "string") & (F.length(words) > bound))
-        .when(keyword == "minimum", (kind == "number") & (number < bound)).when(keyword == "maximum", (kind == "number") & (number > bound))
-    )
-    absent = (kind == "null") & ~F.endswith(path, F.lit("/*"))
-    return F.coalesce(broken & ~absent, F.lit(False))
+def _found(record: str, rules: dict) -> list[tuple[str, str, str]]:
+    """What a record breaks: distinct (path, keyword, argument), sorted. Only what has rules or lies above such is entered."""
+    found, todo = set(), [("", _parsed(record))]
+    while todo:
+        path, node = todo.pop()
+        kind = _kind(node)
+        if kind != "null" or path.endswith("/*"):  # else it counts as absent
+            found.update((path, r[0], r[1]) for r in rules.get(path, ()) if _breaks(node, kind, path, r, rules))
+        if kind == "object":
+            todo += [(p, v) for k, v in node.items() if (p := f"{path}/{_escaped(k)}") in rules]
+        elif kind == "array" and f"{path}/*" in rules:
+            todo += [(f"{path}/*", v) for v in node]
+    return sorted(found)
 
 
-def with_rules(records: DataFrame, tasks: DataFrame) -> tuple[DataFrame, int]:
-    """``records`` with the ``rules`` of their task (null if none), and the depth of the deepest rule.
+_VIOLATION = pa.list_(pa.struct([("path", pa.string()), ("keyword", pa.string()), ("argument", pa.string())]))
+
+
+def _written(json: Column) -> Column:
+    """A record in Spark's notation; null for what is no JSON. Keys that repeat stay, of which the reader takes the last."""
+    repeats = F.when(F.startswith(F.ltrim(json), F.lit("{")), F.to_json(F.from_json(json, "map<string,variant>")))
+    return F.coalesce(F.to_json(F.try_parse_json(json)), repeats)
+
+
+def _held_against(record: Column, rules: Column) -> Column:
+    """Violations of a record's JSON text, as Spark wrote it, by its task's rules; null without one of the two."""
+
+    @F.arrow_udf(VIOLATIONS)
+    def found(records: pa.Array, texts: pa.Array) -> pa.Array:
+        pairs = zip(records, texts, strict=True)  # one text at a time is a Python object
+        out = [_found(r.as_py(), _rules(t.as_py())) if r.is_valid and t.is_valid else None for r, t in pairs]
+        return pa.array([None if v is None else [dict(zip(("path", "keyword", "argument"), x, strict=True)) for x in v] for v in out], _VIOLATION)
+
+    return found(record, rules)
+
+
+def _rule_text(rules: Column) -> Column:
+    """One task's rules as JSON text; the members of an enumeration are written as the records are."""
+
+    def written(r: Column) -> Column:
+        listed = F.transform(F.from_json(r["argument"], "array<variant>"), lambda v: F.to_json(v))
+        return F.struct(r["keyword"].alias("keyword"), r["argument"].alias("argument"), F.when(r["keyword"] == "enum", listed).alias("listed"))
+
+    return F.to_json(F.transform_values(rules, lambda _, at: F.transform(at, written)), {"ignoreNullFields": "false"})
+
+
+def with_rules(records: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``records`` with the ``rules`` of their task as JSON text (null if none).
 
     ``tasks``: ``task_id, schema``; of several schemas of one task the first in order of text counts. Rules are
     broadcast up to ``BROADCAST`` bytes in all; beyond that both sides are shuffled, each task's records in salted parts.
     """
     one = tasks.where("task_id is not null").groupBy("task_id").agg(F.min("schema").alias("schema"))
-    rules = one.join(compile_schemas(one), "schema").select("task_id", "rules")
-    depth = F.array_max(F.transform(F.map_keys("rules"), lambda p: F.size(F.split(p, "/")) - 1))
-    size, deepest = rules.agg(F.sum(F.length(F.to_json("rules"))), F.max(depth)).first()
+    rules = one.join(compile_schemas(one), "schema").select("task_id", _rule_text(F.col("rules")).alias("rules"))
+    size = rules.agg(F.sum(F.length("rules"))).first()[0]
     if (size or 0) <= BROADCAST:
-        return records.join(F.broadcast(rules), "task_id", "left"), deepest or 0
+        return records.join(F.broadcast(rules), "task_id", "left")
     spread = records.withColumn("__part", F.pmod(F.xxhash64(*records.columns), F.lit(SALTS)))
     copies = rules.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return spread.join(copies, ["task_id", "__part"], "left").drop("__part"), deepest or 0
+    return spread.join(copies, ["task_id", "__part"], "left").drop("__part")
 
 
 def conformance(records: DataFrame, tasks: DataFrame, column: str = "record") -> DataFrame:
-    """``records`` (with ``task_id`` and JSON text) and ``checked``, ``violations``: distinct (path, keyword, argument), sorted."""
-    taken = {"rules", "checked", "violations", "__part", "__node0"} & {c.lower() for c in records.columns}
+    """``records`` (with ``task_id`` and JSON text) and ``checked``, ``violations``: distinct (path, keyword, argument), sorted.
+
+    Spark parses a record once and writes it in its own notation; the walk along the rules is one Arrow function.
+    """
+    taken = {"rules", "checked", "violations", "__part"} & {c.lower() for c in records.columns}
     if taken:
         raise ValueError(f"rename the columns {sorted(taken)}")
-    ruled, depth = with_rules(records, tasks)
-    parsed = F.try_parse_json(last_wins(F.col(column)))
-    df = ruled.withColumn("__node0", F.array(let(parsed, lambda v: _at(F.lit(""), v))))
-    for level in range(depth):
-        df = df.withColumn(f"__node{level + 1}", F.flatten(F.transform(f"__node{level}", lambda n: _below(n, F.col("rules")))))
-    nodes = F.concat(*(F.coalesce(F.col(f"__node{level}"), F.array().cast(_NODES)) for level in range(depth + 1)))
-
-    def broken(n: Column) -> Column:
-        mine = F.filter(F.try_element_at(F.col("rules"), n["path"]), lambda r: _breaks(n, r, F.col("rules")))
-        return F.transform(mine, lambda r: F.struct(n["path"].alias("path"), r["keyword"].alias("keyword"), r["argument"].alias("argument")))
-
-    checked = F.col("rules").isNotNull() & F.col("__node0")[0]["node"].isNotNull()
-    none = F.array().cast(VIOLATIONS)
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform(nodes, broken))))
-    return df.select(*records.columns, checked.alias("checked"), F.when(checked, F.coalesce(found, none)).otherwise(none).alias("violations"))
+    found = with_rules(records, tasks).withColumn("violations", _held_against(_written(F.col(column)), F.col("rules")))
+    checked, none = F.col("violations").isNotNull(), F.array().cast(VIOLATIONS)
+    return found.select(*records.columns, checked.alias("checked"), F.coalesce("violations", none).alias("violations"))
 
 
 def report(checked: DataFrame) -> DataFrame:
