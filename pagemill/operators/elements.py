@@ -1,8 +1,11 @@
-"""Elements of pages by full selectors, and the records of list pages; both need ``canon`` (see ``pages.with_canon``)."""
+"""Elements of pages by full selectors, and the records of list pages; both need ``canon`` (see ``pages.with_canon``).
+
+Pages go to Python a hundred rows at a time, not in Arrow batches of ten thousand: the work on a page outweighs its way
+there, and what a worker holds doesn't grow with the table.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,10 @@ from pagemill.functions import markup, outline, page, urls, values
 from pagemill.session import ship
 
 _FOUND = "struct<html:string,n:int,error:string>"
-_ITEM = pa.struct([("title", pa.string()), ("href", pa.string()), ("preview", pa.string()), ("date", pa.string())])
+
+
+def _mined(canon: str | None) -> list[dict] | None:
+    return None if canon is None else outline.mined(outline.Outline(canon))
 
 
 def _select(canon: str | None, selector: str | None) -> dict | None:
@@ -32,13 +38,7 @@ def select(pages: DataFrame, selector: Column, name: str = "selected") -> DataFr
     selector with anything else gives an error, not a guess. Null pages and selectors give null.
     """
     ship(pages.sparkSession)
-    kind = pa.struct([("html", pa.string()), ("n", pa.int32()), ("error", pa.string())])
-
-    @F.arrow_udf(_FOUND)
-    def found(canon: pa.Array, selectors: pa.Array) -> pa.Array:
-        return pa.array([_select(c, s) for c, s in zip(canon.to_pylist(), selectors.to_pylist(), strict=True)], kind)
-
-    return pages.withColumn(name, found(F.col("canon"), selector))
+    return pages.withColumn(name, F.udf(_select, _FOUND, useArrow=False)(F.col("canon"), selector))
 
 
 def text_of(selected: Column) -> Column:
@@ -53,10 +53,7 @@ def list_items(pages: DataFrame, *keys: str) -> DataFrame:
     """
     ship(pages.sparkSession)
 
-    @F.arrow_udf("array<struct<title:string,href:string,preview:string,date:string>>")
-    def items(canon: pa.Array) -> pa.Array:
-        return pa.array([outline.mined(outline.Outline(c)) if c is not None else None for c in canon.to_pylist()], pa.list_(_ITEM))
-
+    items = F.udf(_mined, "array<struct<title:string,href:string,preview:string,date:string>>", useArrow=False)
     day_first = F.regexp_replace("x.date", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1")
     rows = pages.select(*keys, F.col("url").alias("__page"), F.posexplode(items(F.col("canon"))).alias("i", "x"))
     return rows.select(

@@ -95,3 +95,12 @@ def test_lists(spark):
     assert got == {n: want for n, (_, want) in LISTS.items() if want}
     records = {r.page_id: r.record for r in elements.list_records(df).collect()}
     assert len(records) == len(rows) and '"total_count":3' in records["cards"] and '"items":[],"total_count":0' in records["null"]
+
+
+def test_pages_reach_python_in_small_batches(spark, sf_dir):
+    """What a worker holds is a hundred pages, whatever the size of Arrow batches."""
+    from pagemill.plans import pages
+
+    for query in (pages.list_records_mined, pages.list_items_mined, pages.page_selectors_full):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
