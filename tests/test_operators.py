@@ -388,3 +388,16 @@ def test_written_run_is_worked_out_once(spark):
     assert [tuple(r) for r in once.attempts.collect()] == [tuple(r) for r in lazy.attempts.collect()]
     plan = runs.errors(once.attempts)._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan and "html" not in plan.lower()
+
+
+def test_facts_of_groups_are_not_copied_by_salts(spark):
+    """Facts go to the chunks that there are, beside the items; only groups of several chunks are copied for the join."""
+    rows = spark.range(1000).select(F.when(F.col("id") < 500, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 100).cast("string"))).alias("g"), F.col("id").cast("string").alias("i"))
+    about = spark.createDataFrame([("hot", 1), ("g1", 2), ("g2", 3), ("g2", 3), ("g3", 4), ("g3", 5), ("unused", 6), (None, 7)], "g string, fact int")
+    c = runs.in_chunks(rows.unionByName(spark.createDataFrame([(None, "x")], "g string, i string")), "g", "i", F.struct("i"), size=100, about=about)
+    assert c.columns == ["g", "chunk", "fact", "items"]
+    got = sorted((r.g, r.fact, r.n) for r in c.groupBy("g", "fact").agg(F.sum(F.size("items")).alias("n")).collect())
+    assert got == [("g1", 2, 5), ("g2", 3, 10), ("g3", 4, 5), ("g3", 5, 5), ("hot", 1, 500)]
+    assert c.where("g = 'hot'").count() == 5 and c.where("items <> sort_array(items)").count() == 0
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "(n_chunks#" in plan[plan.index("Filter") :] and "> 1" in plan
