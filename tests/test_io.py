@@ -201,3 +201,11 @@ def test_yaml_is_parsed_once_and_in_all_tasks(spark, sf_dir):
 
     plan = flows.task_yaml_round_trip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("RoundRobinPartitioning")
+
+
+def test_media_files_are_written_by_several_tasks(spark, sf_dir):
+    """A folder a page: few splits of pages must not leave all the files to few tasks."""
+    from pagemill.plans import flows
+
+    files = flows.blob_index(spark, sf_dir).inputFiles()
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 1
