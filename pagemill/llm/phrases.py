@@ -2,7 +2,8 @@
 
 A stripe belongs to a language and a prefix of up to four words. Its entries count the prefix with each next word;
 entry 0 counts the prefix alone. Tasks fill stripes from their texts and hand them on in pieces by next word, so that
-the stripe of a frequent prefix is spread over many tasks; the pieces are merged elementwise. One structure gives
+the stripe of a frequent prefix is spread over many tasks; pieces travel in buckets, many to a row, and are merged
+elementwise. One structure gives
 
 * extensions: an entry is the frequency of a phrase one word longer,
 * prefix totals: entry 0 is the frequency of the prefix, a part of every cut,
@@ -26,8 +27,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +41,24 @@ from pagemill.llm.common import arrow, raw_texts, slices, stored, table
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one that holds it has at least this share of its occurrences, in percent.
 SUBSUMED = 100
-#: Pieces of a stripe.
-PIECES = 8
+#: Pieces of a stripe, and buckets of pieces: a row that a task hands on is a bucket.
+PIECES, BUCKETS = 64, 4096
+#: Windows of a partition of buckets, at most, if no task merged any.
+WINDOWS = 1 << 21
 #: Bits of the bitmap for a passed phrase, at least and at most; bits of a chunk that one task makes.
 KEY_BITS, LEAST_BITS, MOST_BITS, CHUNK_BITS = 32, 1 << 20, 1 << 29, 1 << 23
-#: Entries that a task holds before it merges them, and before it hands them on.
-MERGE, HOLD = 1 << 21, 1 << 22
-#: Bytes of words that a task holds before it hands them on.
-HOLD_BYTES = 160 << 20
+#: New entries that a task merges, merged ones that it merges anew (and hands on if half are left), and entries of a batch.
+MERGE, HOLD, BATCH = 1 << 19, 1 << 21, 1 << 18
+#: Bytes of words that a task holds before it merges them, and before it hands them on.
+MERGE_BYTES, HOLD_BYTES = 16 << 20, 48 << 20
+#: Bytes of a word that are hashed by eights; longer words one by one.
+SHORT = 32
 
 _STEP = 0x9E3779B97F4A7C15 | 1  # odd
-_BYTE = np.zeros(256, np.uint8)
-_BYTE[list(b".,;:!?\n\v\f\r")] = 2
-_BYTE[list(b" \t")] = 1
+_WORD, _BORDER = np.ones(256, bool), np.zeros(256, bool)
+_BORDER[list(b".,;:!?\n\v\f\r")] = True
+_WORD[list(b" \t.,;:!?\n\v\f\r")] = False
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,24 +73,25 @@ class Keys:
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.power, self.back = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            for name, factor in (("power", self.base), ("back", self.inverse)):
-                steps = np.full(n, factor, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
+        self.factor, self.length = (rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
+        self.secret = rng.bytes(16)
 
     def words(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """A hash of each run of bytes; never 0."""
-        self._grow(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.letters[raw] * self.power[: len(raw)], out=sums[1:])
-        return mix((sums[stop] - sums[start]) * self.back[start] + (stop - start).astype(np.uint64)) | np.uint64(1)
+        size = stop - start
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = raw
+        eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        out = mix((eight[start] & _BYTES[np.minimum(size, 8)]) * np.uint64(self.factor) + size.astype(np.uint64) * np.uint64(self.length))
+        for done in range(8, SHORT, 8):
+            rest = np.flatnonzero((size > done) & (size <= SHORT))
+            if not len(rest):
+                continue
+            part = eight[start[rest] + done] & _BYTES[np.minimum(size[rest] - done, 8)]
+            out[rest] = mix(out[rest] * np.uint64(_STEP) + part * np.uint64(self.factor))
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = int.from_bytes(blake2b(raw[start[i] : stop[i]], digest_size=8, key=self.secret).digest(), "little")
+        return out | np.uint64(1)
 
     @staticmethod
     def with_lang(words: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -101,22 +108,53 @@ class Keys:
         return self.words(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0]
 
 
-def _cut(batch: pa.RecordBatch, keys: Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Keys of a slice's words (with their language), whether a border follows each, and language numbers and names."""
-    docs = [t.lower() for t in raw_texts(batch)]
-    joined = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
-    kind = _BYTE[joined]
-    word = np.concatenate([[0], (kind == 0).view(np.int8), [0]])
-    edge = np.diff(word)
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    signs = np.concatenate([[0], np.cumsum(kind == 2)])
-    border = np.ones(len(start), bool)
-    border[:-1] = signs[start[1:]] != signs[stop[:-1]]
-    names, of_doc = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-    ends = np.cumsum([len(d) + 1 for d in docs])
-    lang = of_doc[np.searchsorted(ends, start, "right")]
-    seeds = np.array([keys.lang(str(n)) for n in names], np.uint64)
-    return keys.with_lang(keys.words(joined, start, stop), seeds[lang]), border, lang, (start, stop, joined), [str(n) for n in names]
+class Cut:
+    """A slice's words: runs of bytes, whether a border follows each, and numbers and names of their languages."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        docs = [t.lower() for t in raw_texts(batch)]
+        self.raw = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
+        self.inside = _WORD[self.raw]
+        edges = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
+        if self.inside[0]:
+            edges = np.concatenate([[0], edges])
+        self.start, self.stop = edges[::2], edges[1::2]
+        self.border = _BORDER[self.raw[self.stop]]
+        wide = np.flatnonzero(self.start[1:] - self.stop[:-1] > 1)  # more than one sign up to the next word
+        if len(wide):
+            signs = np.flatnonzero(_BORDER[self.raw])  # the last byte is one
+            self.border[wide] = signs[np.searchsorted(signs, self.stop[wide])] < self.start[wide + 1]
+        self.border[-1:] = True
+        names, of_doc = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+        self.names = [str(n) for n in names]
+        ends = np.cumsum([len(d) + 1 for d in docs])
+        self.lang = np.repeat(of_doc, np.diff(np.searchsorted(self.start, ends), prepend=0))
+
+    def keys(self, keys: Keys) -> np.ndarray:
+        """Keys of the words with their language."""
+        seeds = np.array([keys.lang(n) for n in self.names], np.uint64)
+        return keys.with_lang(keys.words(self.raw, self.start, self.stop), seeds[self.lang])
+
+    def counted(self, keys: Keys) -> pa.Table:
+        """``lang, key, word, n``: the different words, told apart by their bytes; and each language's total under no word."""
+        ends = np.cumsum(self.stop - self.start, dtype=np.int32)
+        data = [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends])), pa.py_buffer(self.raw[self.inside])]
+        found = pa.Array.from_buffers(pa.binary(), len(ends), data).dictionary_encode()
+        different, of = found.dictionary, found.indices.to_numpy()
+        both, n = np.unique(self.lang * np.int64(len(different)) + of, return_counts=True)
+        lang, word = both // max(len(different), 1), both % max(len(different), 1)
+        _, places, data = different.buffers()
+        place = np.frombuffer(places, np.int32)[: len(different) + 1].astype(np.int64) if len(different) else np.zeros(1, np.int64)
+        plain = keys.words(np.frombuffer(data, np.uint8) if len(different) else self.raw, place[:-1], place[1:])
+        seeds = np.array([keys.lang(x) for x in self.names], np.uint64)
+        names, every = pa.array(self.names, pa.string()), np.arange(len(self.names))
+        total = np.bincount(self.lang, minlength=len(self.names))
+        return pa.table({
+            "lang": pa.concat_arrays([names.take(pa.array(every)), names.take(pa.array(lang))]),
+            "key": np.concatenate([np.zeros(len(every), np.int64), keys.with_lang(plain[word], seeds[lang]).view(np.int64)]),
+            "word": pa.concat_arrays([pa.nulls(len(every), pa.binary()), different.take(pa.array(word))]),
+            "n": np.concatenate([total, n]),
+        })
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -126,79 +164,119 @@ def _texts(docs: DataFrame) -> DataFrame:
 def words(docs: DataFrame, seed: int) -> DataFrame:
     """The stripes of the empty prefix: ``lang, key, word, n``. Word null (key 0) is the language's total."""
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys(seed)
-        held: dict[str, dict[bytes | None, tuple[int, int]]] = {}
-        size = 0
-
-        def done():
-            rows = [(lang, k, w, n) for lang, found in held.items() for w, (k, n) in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["lang", "key", "word", "n"])
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by(["lang", "key", "word"], use_threads=False).aggregate([("n", "sum")])
+        return found.rename_columns({"n_sum": "n"}).select(["lang", "key", "word", "n"])
 
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, new = Keys(seed), [], 0
         for b in slices(batches):
-            key, _, lang, (start, stop, joined), names = _cut(b, keys)
-            raw = joined.tobytes()
-            for i, name in enumerate(names):
-                here = np.flatnonzero(lang == i)
-                found = [raw[a:z] for a, z in zip(start[here].tolist(), stop[here].tolist(), strict=True)]
-                known = dict(zip(found, key[here].view(np.int64).tolist(), strict=True))
-                mine = held.setdefault(name, {None: (0, 0)})
-                mine[None] = (0, mine[None][1] + len(here))
-                for w, n in Counter(found).items():
-                    was = mine.get(w)
-                    mine[w] = (known[w], n + was[1] if was else n)
-                    size += 0 if was else len(w) + 250
-            if size > HOLD_BYTES:
-                yield from done()
-                held.clear()
-                size = 0
+            held.append(Cut(b).counted(keys))
+            new += held[-1].nbytes
+            if new > MERGE_BYTES:
+                held, new = [merged(held)], 0
+                pa.default_memory_pool().release_unused()
+                if held[0].nbytes > HOLD_BYTES:
+                    yield from held.pop().to_batches(max_chunksize=BATCH)
         if held:
-            yield from done()
+            yield from merged(held).to_batches(max_chunksize=BATCH)
 
     counted = arrow(_texts(docs), fn, "lang string, key long, word binary, n long").repartition("lang", "key")
     return counted.groupBy("lang", "key", "word").agg(F.sum("n").alias("n"))
 
 
 class Held:
-    """Stripe entries of a task: phrase key, prefix key, next word's key and count; merged when they grow."""
+    """Stripe entries of a task: phrase key, prefix key, next word's key and count.
+
+    New entries are merged among themselves, and what comes of that with the rest only when all is too large to hold, so
+    a long task doesn't sort what it holds again and again.
+    """
 
     def __init__(self):
+        self.new: list[tuple] = []
         self.parts: list[tuple] = []
-        self.size = 0
+        self.fresh = self.size = 0
 
     def add(self, phrase: np.ndarray, prefix: np.ndarray, follow: np.ndarray) -> None:
-        _, at, n = np.unique(phrase, return_index=True, return_counts=True)
-        self.parts.append((prefix[at], follow[at], n))
-        self.size += len(at)
-        if self.size > MERGE and len(self.parts) > 1:
-            self.merge()
+        """Windows with a next word, as they come."""
+        self._add(phrase, prefix, follow, np.ones(len(phrase), np.int32))
+
+    def add_totals(self, prefix: np.ndarray) -> None:
+        prefix, n = np.unique(prefix, return_counts=True)
+        self._add(prefix, prefix, np.zeros(len(prefix), np.uint64), n)
+
+    def _add(self, *part: np.ndarray) -> None:
+        self.new.append(part)
+        self.fresh += len(part[0])
+        if self.fresh > MERGE:
+            self._settle()
+            if self.size > HOLD:
+                self.merge()
+
+    def _settle(self) -> None:
+        if self.new:
+            self.parts.append(self._merged(self.new))
+            self.fresh = 0
+            self.size += len(self.parts[-1][0])
 
     def merge(self) -> None:
-        prefix, follow, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((follow, prefix))
-        prefix, follow, n = prefix[order], follow[order], n[order]
-        new = np.ones(len(prefix), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (follow[1:] != follow[:-1])
+        self._settle()
+        if len(self.parts) > 1:
+            self.parts = [self._merged(self.parts)]
+            self.size = len(self.parts[0][0])
+
+    @staticmethod
+    def _merged(parts: list[tuple]) -> tuple:
+        """Takes the parts out of their list; one column at a time is held twice."""
+        columns = [list(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+
+        def column() -> np.ndarray:
+            x = columns.pop(0)
+            return np.concatenate(x)
+
+        phrase = column()
+        order = np.argsort(phrase)
+        phrase = phrase[order]
+        new = _steps(phrase)
+        prefix = column()[order]
+        # A prefix and a phrase's key leave one next word, but for a bit.
+        if (_steps(prefix) & ~new).any():  # phrases that share a key stay apart
+            follow = np.concatenate(columns[0])[order]
+            again = np.lexsort((follow, prefix))
+            order, phrase, prefix = order[again], phrase[again], prefix[again]
+            new = _steps(prefix) | _steps(follow[again])
         first = np.flatnonzero(new)
-        self.parts = [(prefix[first], follow[first], np.add.reduceat(n, first) if len(first) else n)]
-        self.size = len(first)
+        phrase, prefix = phrase[first], prefix[first]
+        follow = column()[order[first]]
+        return phrase, prefix, follow, np.add.reduceat(column()[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+
+    def full(self) -> bool:
+        """Whether merged entries are so many that more of them would soon have to be merged again."""
+        return self.size > HOLD // 2 and len(self.parts) == 1
 
-    def stripes(self) -> pa.RecordBatch:
-        """``prefix, piece, next, n``: one row for each piece of a stripe, with its entries as lists."""
+    def stripes(self) -> Iterator[pa.RecordBatch]:
+        """``bucket, prefix, next, n``: one row for each bucket, with the entries of its pieces of stripes as lists."""
         self.merge()
-        prefix, follow, n = self.parts[0]
-        piece = (follow >> np.uint64(8)).astype(np.int64) % PIECES
-        order = np.lexsort((piece, prefix))
-        prefix, follow, n, piece = prefix[order], follow[order], n[order], piece[order]
-        new = np.ones(len(prefix), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (piece[1:] != piece[:-1])
-        first = np.flatnonzero(new)
-        offsets = pa.array(np.append(first, len(prefix)), pa.int32())
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(prefix[first].view(np.int64)), pa.array(piece[first], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(follow.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))],
-            names=["prefix", "piece", "next", "n"],
-        )
+        phrase, prefix, follow, n = self.parts.pop()
+        self.size = 0
+        del phrase
+        bucket = mix(prefix + (follow >> np.uint64(8)) % np.uint64(PIECES) * np.uint64(_STEP)) % np.uint64(BUCKETS)
+        order = np.argsort(bucket << np.uint64(52) | prefix >> np.uint64(12))  # a stripe's entries side by side
+        bucket = bucket.astype(np.int32)[order]
+        starts = np.flatnonzero(_steps(bucket))
+        batch = starts // BATCH
+        for i in np.unique(batch):
+            rows = np.flatnonzero(batch == i)
+            a, z = starts[rows[0]], starts[rows[-1] + 1] if rows[-1] + 1 < len(starts) else len(bucket)
+            offsets = pa.array(np.append(starts[rows], z) - a, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order[a:z]].view(np.int64))) for x in (prefix, follow, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[rows]]), *lists], names=["bucket", "prefix", "next", "n"])
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it; the first one does."""
+    return np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])
 
 
 def _hit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -233,14 +311,19 @@ def bitmap(passed: DataFrame, entries: int, most: int = MOST_BITS) -> np.ndarray
     return out
 
 
-def stripes(docs: DataFrame, size: int, passed: DataFrame, entries: int, seed: int, least: int = LEAST, most: int = MOST_BITS) -> DataFrame:
-    """``prefix, next, n``: merged entries of the prefixes of ``size`` words, those of at least ``least``. ``next`` 0: the total."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(passed, entries, most))
+def stripes(docs: DataFrame, size: int, passed: DataFrame, entries: int, total: int, seed: int, least: int = LEAST, most: int = MOST_BITS) -> DataFrame:
+    """``prefix, next, n``: merged entries of the prefixes of ``size`` words, those of at least ``least``. ``next`` 0: the total.
+
+    ``total``: words of the corpus, by which the partitions of the merge are counted.
+    """
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(bitmap(passed, entries, most))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, bits = Keys(seed), Held(), shared.value
         for b in slices(batches):
-            key, border, *_ = _cut(b, keys)
+            cut = Cut(b)
+            key, border = cut.keys(keys), cut.border
             phrase, inside = key, np.ones(len(key), bool)
             for k in range(1, size):  # windows of k + 1 words that no border cuts
                 inside = inside[:-1] & ~border[k - 1 : len(border) - 1]
@@ -253,16 +336,18 @@ def stripes(docs: DataFrame, size: int, passed: DataFrame, entries: int, seed: i
             ends = at + size - 1  # the prefix's last word
             goes_on = known[at + 1] & ~border[ends]
             prefix, follow = phrase[at[goes_on]], key[ends[goes_on] + 1]
-            held.add(phrase[at], phrase[at], np.zeros(len(at), np.uint64))
+            held.add_totals(phrase[at])
             held.add(keys.longer(prefix, follow), prefix, follow)
-            if held.size > HOLD:
-                yield held.stripes()
-        if held.parts:
-            yield held.stripes()
-
-    pieces = arrow(_texts(docs), fn, "prefix long, piece int, next array<long>, n array<long>").repartition("prefix", "piece")
-    entry = pieces.select("prefix", "piece", F.explode(F.arrays_zip("next", "n")).alias("x")).select("prefix", "piece", F.col("x.next").alias("next"), F.col("x.n").alias("n"))
-    merged = entry.groupBy("prefix", "piece", "next").agg(F.sum("n").alias("n"))
+            if held.full():
+                yield from held.stripes()
+        if held.parts or held.new:
+            yield from held.stripes()
+
+    buckets = arrow(_texts(docs), fn, "bucket int, prefix array<long>, next array<long>, n array<long>")
+    dealt = buckets.repartition(max(context.defaultParallelism, -(-total // WINDOWS)), "bucket")
+    entry = dealt.select("bucket", "next", "n", F.posexplode("prefix").alias("i", "of"))
+    entry = entry.select("bucket", F.col("of").alias("prefix"), F.get("next", "i").alias("next"), F.get("n", "i").alias("n"))
+    merged = entry.groupBy("bucket", "prefix", "next").agg(F.sum("n").alias("n"))
     return merged.where(F.col("n") >= least).select("prefix", "next", "n")
 
 
@@ -292,6 +377,7 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most_b
         if _shared(vocabulary, "lang", "key"):
             continue
         n = vocabulary.where("word is null").select("lang", "n")
+        total = n.agg(F.sum("n")).first()[0] or 0
         some = vocabulary.where(F.col("word").isNotNull() & (F.col("n") >= least))
         first = stored(some.select("lang", "key", F.col("word").cast("string").alias("word")), "frequent-words")
         passed = first.select("lang", "key", F.col("word").alias("phrase"), F.array("word").alias("words"))
@@ -300,7 +386,7 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most_b
             entries = passed.count()
             if not entries:
                 break
-            found = stored(stripes(docs, size, passed.select("key"), entries, seed, least, most_bits), f"stripes-{size}")
+            found = stored(stripes(docs, size, passed.select("key"), entries, total, seed, least, most_bits), f"stripes-{size}")
             totals.append(found.where("next = 0").join(passed, F.col("prefix") == F.col("key")).select("lang", "phrase", F.col("n").alias("f")))
             named = found.where("next <> 0").join(passed.withColumnRenamed("key", "of"), F.col("prefix") == F.col("of"))
             named = named.join(first.select(F.col("key").alias("last"), "word"), F.col("next") == F.col("last"))

@@ -69,6 +69,43 @@ def test_op11_clashing_keys_are_seen(spark):
         phrases.frequent(spark.createDataFrame([("a", "x y")], "lang string, text string"), seeds=range(0))
 
 
+def test_op11_long_tasks_do_not_merge_all_for_each_slice(monkeypatch):
+    """What a task holds is merged when it has grown by a part of itself, and phrases that share a key stay apart."""
+    monkeypatch.setattr(phrases, "MERGE", 1000)
+    monkeypatch.setattr(phrases, "HOLD", 100_000)
+    merges, merge = [], phrases.Held.merge
+    monkeypatch.setattr(phrases.Held, "merge", lambda self: (merges.append(1), merge(self))[1])
+    held = phrases.Held()
+    for i in range(200):
+        key = np.arange(100 * i, 100 * i + 100, dtype=np.uint64)
+        held.add(key, key, key)
+    assert len(merges) < 20
+
+    held = phrases.Held()
+    one = np.ones(3, np.uint64)
+    held.add(one, np.array([5, 6, 5], np.uint64), one)
+    held.add_totals(one)
+    found = Counter()
+    for b in held.stripes():
+        for r in b.to_pylist():
+            found.update({(p, x): n for p, x, n in zip(r["prefix"], r["next"], r["n"], strict=True)})
+    assert found == {(5, 1): 2, (6, 1): 1, (1, 0): 3}
+
+
+def test_op11_words_of_any_length(spark):
+    """Hashes by eights and of long words one by one; borders within wide gaps."""
+    long = [c * n for n in (1, 7, 8, 9, 16, 17, 31, 32, 33, 34, 100) for c in "aé"] + ["a" * 32 + "b", "a" * 32 + "c"]
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b"]), "".join(rng.choice(long) + rng.choice([" ", "  ", " \t ", " , ", ". ", "\n\n"]) for _ in range(40))) for _ in range(150)]
+    rows += [("c", " ,x y"), ("c", ""), ("a", ". ")]
+    got = sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3), least=3).collect())
+    assert got and got == plain_phrases(rows, 3, phrases.TOP)
+    raw = np.frombuffer("".join(long).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in long])
+    keys = phrases.Keys(1).words(raw, np.append(0, ends[:-1]), ends)
+    assert len(set(keys.tolist())) == len(long) and keys.tolist() != phrases.Keys(2).words(raw, np.append(0, ends[:-1]), ends).tolist()
+
+
 def plain_alignment(rows):
     """Counts by walking both token lists side by side."""
     v, found, count = alignment.load(None, None), [], Counter()
