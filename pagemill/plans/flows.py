@@ -85,10 +85,10 @@ def artifact_sink(spark, sf_dir):
 def blob_index(spark, sf_dir):
     """Pages stored as media files, some of them made large; which pass a limit of one megabyte, with size and type."""
     out = shared_dir(spark, "media")
-    body = F.when(F.col("page_id") % 50 == 7, F.repeat("html", 400)).otherwise(F.col("html"))
-    # Making and moving a file each costs more than its bytes, so pages are dealt to tasks, and the tasks move their own files.
-    dealt = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", body.alias("value"))
-    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(out)
+    times = F.when(F.col("page_id") % 50 == 7, F.lit(400)).otherwise(F.lit(1))
+    # Making a file costs more than its bytes, so pages are dealt to tasks.
+    dealt = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    tables.write_files(dealt.select("page_id", F.col("html").alias("value"), times.alias("times")), out, "page_id")
     b = readers.blobs(spark, out, max_size_mb=1)
     return b.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "length", "mime_type")
 

@@ -7,9 +7,17 @@ valid, and a repeated write of a version replaces only that version's folder.
 
 from __future__ import annotations
 
+import os
+from urllib.parse import quote
+from zlib import crc32
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import ship
+
 _VERSIONS = "version BIGINT, path STRING"
 
 
@@ -88,6 +96,98 @@ def write_run_logs(manifests: DataFrame, index: DataFrame, errors: DataFrame, ba
     write_by_run(errors, f"{base}/error_log")
 
 
+#: Files of a folder: folders are listed by tasks, each as a whole.
+FOLDER = 1000
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder in the machines' own file system; ``None`` in any other store."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(root).toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
+class _Checked:
+    """A new file, with the CRC-32 of each 512 bytes beside it, as Hadoop's local file system makes and reads it.
+
+    Both get their names when they are whole.
+    """
+
+    def __init__(self, folder: str, name: str, attempt: int):
+        self.name, self.sums_name = f"{folder}/{name}", f"{folder}/.{name}.crc"
+        self.temporary = [f"{folder}/.{name}.{attempt}", f"{folder}/.{name}.{attempt}.crc"]
+        self.out, self.rest = open(self.temporary[0], "wb"), b""
+        self.sums = [b"crc\0" + (512).to_bytes(4, "big")]
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        data = memoryview(self.rest + data)
+        whole = len(data) // 512 * 512
+        self.sums += [crc32(data[i : i + 512]).to_bytes(4, "big") for i in range(0, whole, 512)]
+        self.rest = bytes(data[whole:])
+
+    def done(self) -> None:
+        self.out.close()
+        if self.rest:
+            self.sums.append(crc32(self.rest).to_bytes(4, "big"))
+        with open(self.temporary[1], "wb") as f:
+            f.write(b"".join(self.sums))
+        os.replace(self.temporary[1], self.sums_name)
+        os.replace(self.temporary[0], self.name)
+
+    def drop(self) -> None:
+        self.out.close()
+        for path in self.temporary:
+            if os.path.exists(path):
+                os.remove(path)
+
+
+def write_files(rows: DataFrame, base: str, key: str) -> None:
+    """A text file for each value of ``key``, with ``{key}={value}`` in its path.
+
+    ``rows``: ``key, value, times``; a row adds its value that many times and a line end. Rows of one key must be in one
+    partition, whose task makes the files. In a local or mounted file system Hadoop starts processes for each file, to set
+    its rights, unless its native library is there; so tasks open files themselves, some to a folder, with Hadoop's
+    checksums. Other stores get a folder for each file from Spark.
+    """
+    root = local_path(rows.sparkSession, base)
+    if root is None:
+        named = rows.select(key, F.repeat("value", F.col("times")).alias("value"))
+        named.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(base)
+        return
+    ship(rows.sparkSession)
+
+    def fn(batches):
+        context = TaskContext.get()
+        task, n, last, out = context.partitionId(), 0, None, None
+        try:
+            for b in batches:
+                for k, value, times in zip(*(b.column(c).to_pylist() for c in ("key", "value", "times")), strict=True):
+                    k = "__HIVE_DEFAULT_PARTITION__" if k is None else quote(k, safe="")
+                    if out is None or k != last:
+                        if out is not None:
+                            out.done()
+                        folder = f"{root}/{task:05d}-{n // FOLDER:05d}"
+                        if n % FOLDER == 0:
+                            os.makedirs(folder, exist_ok=True)
+                        out = _Checked(folder, f"{key}={k}-{task:05d}.txt", context.taskAttemptId())
+                        last, n = k, n + 1
+                    for _ in range(0 if value is None else times or 0):
+                        out.write(value)
+                    out.write(b"\n")
+            if out is not None:
+                out.done()
+                out = None
+        finally:
+            if out is not None:
+                out.drop()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    os.makedirs(root, exist_ok=True)
+    named = rows.sortWithinPartitions(key).select(F.col(key).cast("string").alias("key"), F.col("value").cast("binary").alias("value"), F.col("times").cast("long").alias("times"))
+    named.mapInArrow(fn, "n long").write.format("noop").mode("overwrite").save()
+
+
 _PACKED = "run_date DATE, run_id STRING, kind STRING, content STRING"
 _INDEX = "run_date DATE, run_id STRING, kind STRING, file STRING, n BIGINT"
 

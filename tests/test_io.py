@@ -209,3 +209,34 @@ def test_media_files_are_written_by_several_tasks(spark, sf_dir):
 
     files = flows.blob_index(spark, sf_dir).inputFiles()
     assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 1
+
+
+def test_media_files_share_folders(spark, sf_dir):
+    """A folder a page, made by Hadoop, was most of the time of storing them."""
+    from pagemill.plans import flows
+
+    files = flows.blob_index(spark, sf_dir).inputFiles()
+    assert files and len({f.rsplit("/", 1)[0] for f in files}) <= len(files) // 2
+
+
+def test_files_are_the_same_in_any_store(spark, tmp_path, monkeypatch):
+    """Rows of a key share a file; null values, null keys and keys with signs; folders that are full; a task that runs again."""
+    monkeypatch.setattr(tables, "FOLDER", 2)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./out", f"file://{tmp_path}")
+    rows = [(1, "a", 1), (1, "bé", 2), (2, None, 3), (3, "", 1), (None, "n", 1), (5, "x\ny", 400), (6, "c", 0), (6, "d", None)]
+    want = {"1": ["a", "bébé"], "2": [""], "3": [""], "__HIVE_DEFAULT_PARTITION__": ["n"], "5": ["x\ny" * 400], "6": ["", ""]}
+    for base in (f"file://{tmp_path}/plain", f"{tmp_path}/plain", "viewfs://files/out/other"):
+        df = spark.createDataFrame(rows, "id long, value string, times int").repartition(2, "id")
+        tables.write_files(df, base, "id")
+        got = readers.blobs(spark, base, content=True).collect()
+        found = {r.path.split("id=")[1].split("/")[0].split("-")[0].removesuffix(".txt"): bytes(r.content).decode() for r in got}
+        assert len(got) == len(want) and found.keys() == want.keys() and {r.mime_type for r in got} == {"text/plain"}
+        assert all(sorted(found[k].split("\n")) == sorted("\n".join([*v, ""]).split("\n")) for k, v in want.items())
+    assert not [p for p in tmp_path.rglob(".*") if not p.name.endswith(".crc")]
+    named = spark.createDataFrame([("a/b=c", "v", 1)], "id string, value string, times int")
+    tables.write_files(named, f"{tmp_path}/named", "id")
+    assert "id=a%2Fb%3Dc" in readers.blobs(spark, f"{tmp_path}/named").first().path
+    assert len(list((tmp_path / "named").rglob(".*.crc"))) == 1
+    next((tmp_path / "named").rglob("*.txt")).write_bytes(b"w\n")
+    with pytest.raises(Exception, match="(?i)checksum"):
+        readers.blobs(spark, f"{tmp_path}/named", content=True).collect()
